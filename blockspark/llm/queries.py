@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, packing
+from . import langid, minhash, packing, quality
 from .common import table
 
 
@@ -22,5 +22,13 @@ def op7_language_id(spark, sf_dir):
     return langid.predict(docs, filters).withColumn("held_out", crc_mod("doc_id", 4) == 2)
 
 
-QUERIES = {"op4_best_fit_packing": op4_best_fit_packing, "op7_language_id": op7_language_id}
+def op10_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark, sf_dir):
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_quality_rules": op5_quality_rules, "op10_minhash": op10_minhash, "op4_best_fit_packing": op4_best_fit_packing, "op7_language_id": op7_language_id}
 ORACLE_SQL: dict[str, str] = {}
