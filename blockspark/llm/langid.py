@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,3 +141,15 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
         return {"doc_id": ids, "lang_pred": [x[0] for x in got], "score": [x[1] for x in got]}
 
     return map_texts(docs, run, "doc_id long, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, filters: Filters) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text is in a known language: not ``und`` and with a known n-gram."""
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots, filters.false_rate))
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        f = Filters(*shared.value)
+        return texts.map(lambda t: bool(t) and f.score(t)[1] > 0).astype(bool)
+
+    return docs.where(known("text"))

@@ -21,16 +21,17 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and text (null: empty) with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long).
+    """docs' doc_id, text (null: empty) and whole ``row`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long).
 
     n_repeat_words counts the words inside 3-word windows that the text has twice or more.  Windows are compared by 64-bit hashes of
     their words.  Only texts with a repeated window sort their windows; the covered words follow from the gaps between the places.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("*", F.array_remove(F.split("text", f"{_WHITE}+"), "").alias("w"), F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD)).alias("lines"))
     n = F.greatest(F.size("w") - 2, F.lit(0))
     pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.xxhash64(a, b))
     d = d.select(
+        "row",
         "doc_id",
         "text",
         F.size("w").cast("long").alias("n_words"),
@@ -118,8 +119,16 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     Null and empty texts have no words and fail the base; repeated rows get a row each; an empty table gives none; extra columns are
     ignored.  kept: not base_failed, and no rule of the cascade rejects.
     """
-    order = [r for r, _, _ in order_rules(docs, rules, sample_rows)]
-    f = features(docs)
-    d = f.withColumn("base_failed", base_failed())
-    d = d.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict(order)))
+    d = _judged(docs, rules, sample_rows)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
+    """The rows of docs, all columns as they are, that neither the base nor a rule rejects."""
+    return _judged(docs, rules, sample_rows).where(F.col("rejected_by").isNull()).select("row.*")
+
+
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int) -> DataFrame:
+    order = [r for r, _, _ in order_rules(docs, rules, sample_rows)]
+    d = features(docs).withColumn("base_failed", base_failed())
+    return d.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict(order)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, quality
+from . import langid, minhash, packing, pii, quality
 from .common import table
 
 
@@ -30,5 +30,15 @@ def op5_quality_rules(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op10_minhash": op10_minhash, "op4_best_fit_packing": op4_best_fit_packing, "op7_language_id": op7_language_id}
+def op9_pii(spark, sf_dir):
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op9_pii": op9_pii, "op5_quality_rules": op5_quality_rules, "op10_minhash": op10_minhash, "op4_best_fit_packing": op4_best_fit_packing, "op7_language_id": op7_language_id}
 ORACLE_SQL: dict[str, str] = {}
