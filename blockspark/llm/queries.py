@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, pii, quality
+from . import embed_dedup, langid, minhash, packing, pii, quality, toxicity
 from .common import table
 
 
@@ -40,5 +40,16 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op9_pii": op9_pii, "op5_quality_rules": op5_quality_rules, "op10_minhash": op10_minhash, "op4_best_fit_packing": op4_best_fit_packing, "op7_language_id": op7_language_id}
+def op2_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.where(crc_mod("doc_id", 5) != 0), labels)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op8_embeddings(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op8_embeddings": op8_embeddings, "pipeline": pipeline, "op9_pii": op9_pii, "op5_quality_rules": op5_quality_rules, "op10_minhash": op10_minhash, "op4_best_fit_packing": op4_best_fit_packing, "op7_language_id": op7_language_id}
 ORACLE_SQL: dict[str, str] = {}
