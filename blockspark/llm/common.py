@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +121,38 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: A Bloom filter has at most 2**26 bits (8 MB), whatever the number of keys.
+MAX_BLOOM_LOG2 = 26
+
+
+def bloom_words(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A one-hash Bloom filter of a long column as 32-bit words, and the number of keys.
+
+    16 bits a key, up to the fixed limit; beyond it more false positives pass, which only costs rows where an exact join follows.  The
+    bits are joined by Spark; the driver gets the filter alone.
+    """
+    n = keys.count()
+    log2 = min(MAX_BLOOM_LOG2, max(10, (16 * n).bit_length()))
+    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << log2))
+    got = keys.select(F.shiftright(slot, 5).alias("word"), F.expr("1L").alias("one"), F.pmod(slot, F.lit(32)).cast("int").alias("at"))
+    got = got.select("word", F.call_function("shiftleft", "one", "at").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = np.zeros(1 << (log2 - 5), np.uint32)
+    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    return words, n
+
+
+def maybe_in(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
+    """The rows of df whose long ``column`` passes the filter; others are surely not among its keys."""
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def passes(slot: pd.Series) -> pd.Series:
+        s = slot.to_numpy(np.int64)
+        return pd.Series((shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & np.uint32(1) > 0)
+
+    return df.where(passes(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(len(words) * 32))))
+
+
 def tokenizer_path(name: str) -> str:
     """A public vocabulary file; executors have the same installation."""
     folder = os.environ.get("TOKENIZERS_DIR")

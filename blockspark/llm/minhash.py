@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, checkpoint, connected_components, map_texts, mix64, span_hashes
+from .common import arrow_schema, bloom_words, checkpoint, connected_components, map_texts, maybe_in, mix64, span_hashes
 
 WORDS, BANDS, ROWS = 5, 16, 4
 T = BANDS * ROWS
@@ -140,8 +140,12 @@ def _closure(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndar
 
 
 def _links(placed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) from the groups of ``placed`` (doc_id, g1, g2, g3, weight, label): each text and the least text joined with it."""
-    texts = placed.join(docs, "doc_id")
+    """Only texts that pass a Bloom filter of the placed doc_ids are shuffled.
+
+    Edges (a, b) from the groups of ``placed`` (doc_id, g1, g2, g3, weight, label): each text and the least text joined with it."""
+    placed = checkpoint(placed)
+    words, _ = bloom_words(placed.select("doc_id").distinct(), "doc_id")
+    texts = placed.join(maybe_in(docs, "doc_id", words), "doc_id")
 
     def run(group: pa.Table) -> pa.Table:
         order = np.lexsort((group["doc_id"].to_numpy(), -group["weight"].to_numpy()))
