@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embed_dedup, langid, minhash, packing, pii, quality, toxicity
+from . import embed_dedup, langid, licenses, minhash, packing, pieces, pii, quality, token_counts, toxicity
 from .common import table
 
 
@@ -51,5 +51,17 @@ def op8_embeddings(spark, sf_dir):
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op8_embeddings": op8_embeddings, "pipeline": pipeline, "op9_pii": op9_pii, "op5_quality_rules": op5_quality_rules, "op10_minhash": op10_minhash, "op4_best_fit_packing": op4_best_fit_packing, "op7_language_id": op7_language_id}
-ORACLE_SQL: dict[str, str] = {}
+def op1_sentencepiece(spark, sf_dir):
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("licenses", F.array_join("licenses", ","))
+
+
+def op6_token_counts(spark, sf_dir):
+    return token_counts.digest(token_counts.count_sections(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_license_scan": op3_license_scan, "op6_token_counts": op6_token_counts, "op2_toxicity": op2_toxicity, "op8_embeddings": op8_embeddings, "pipeline": pipeline, "op9_pii": op9_pii, "op5_quality_rules": op5_quality_rules, "op10_minhash": op10_minhash, "op4_best_fit_packing": op4_best_fit_packing, "op7_language_id": op7_language_id}
+ORACLE_SQL = {"op3_license_scan": licenses.oracle_sql()}
