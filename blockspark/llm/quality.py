@@ -47,7 +47,10 @@ def features(docs: DataFrame) -> DataFrame:
     at = F.sort_array(F.array_distinct(F.concat(F.transform("same", lambda r: r["a"]), F.transform("same", lambda r: r["b"]))))
     d = d.withColumn("at", at).drop("same")
     covered = F.aggregate(F.zip_with("at", F.slice("at", F.lit(2), F.greatest(F.size("at"), F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3))), F.lit(0), lambda s, x: s + x)
-    return d.withColumn("n_repeat_words", F.when(F.col("at").isNotNull(), covered).otherwise(0).cast("long")).drop("at")
+    d = d.withColumn("n_repeat_words", F.when(F.col("at").isNotNull(), covered).otherwise(0).cast("long"))
+    # a generator keeps later filters above: pushed below, they would evaluate all of the above once for each mention
+    counts = F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    return d.select("row", "doc_id", "text", F.inline(F.array(counts)))
 
 
 @dataclass(frozen=True)
