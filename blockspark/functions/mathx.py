@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHIFT = 7
 
@@ -98,7 +99,7 @@ def log_q_value(n: int, k: int) -> float:
     return log_f + math.sqrt(n) * growth - math.log(n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def log_q(n: pd.Series, k: pd.Series) -> pd.Series:
     """The full ln q(n, k); iterative, so Arrow batches it, and each different pair is computed once."""
     pairs = pd.DataFrame({"n": n.to_numpy(np.int64), "k": k.to_numpy(np.int64)})

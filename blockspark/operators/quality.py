@@ -9,21 +9,19 @@ from ..functions.mathx import lbinom, lgamma, log_q_approx
 from .blockmodel import block_matrix, edge_blocks
 from .graph import degrees, with_totals
 
-_ZERO = F.lit(0.0)
-
 
 def communities(edges: DataFrame, assign: DataFrame) -> DataFrame:
     """(b, n, k_out, k_in, internal) of every block; degrees count edges to unlabelled vertices too."""
-    d = assign.join(degrees(edges), "v", "left").groupBy("b").agg(F.count("*").alias("n"), F.coalesce(F.sum("k_out"), _ZERO).alias("k_out"), F.coalesce(F.sum("k_in"), _ZERO).alias("k_in"))
+    d = assign.join(degrees(edges), "v", "left").groupBy("b").agg(F.count("*").alias("n"), F.coalesce(F.sum("k_out"), F.lit(0.0)).alias("k_out"), F.coalesce(F.sum("k_in"), F.lit(0.0)).alias("k_in"))
     inner = edge_blocks(edges, assign).where("r = s").groupBy(F.col("r").alias("b")).agg(F.sum("w").alias("internal"))
-    return d.join(inner, "b", "left").select("b", "n", "k_out", "k_in", F.coalesce("internal", _ZERO).alias("internal"))
+    return d.join(inner, "b", "left").select("b", "n", "k_out", "k_in", F.coalesce("internal", F.lit(0.0)).alias("internal"))
 
 
 def modularity(edges: DataFrame, assign: DataFrame) -> DataFrame:
     """One row (modularity): directed and weighted; 0 without edges."""
-    m = edges.agg(F.coalesce(F.sum("w"), _ZERO).alias("m"))
+    m = edges.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("m"))
     term = F.col("internal") / F.col("m") - F.col("k_out") / F.col("m") * (F.col("k_in") / F.col("m"))
-    return with_totals(communities(edges, assign), m).agg(F.coalesce(F.sum(F.when(F.col("m") > 0, term)), _ZERO).alias("modularity"))
+    return with_totals(communities(edges, assign), m).agg(F.coalesce(F.sum(F.when(F.col("m") > 0, term)), F.lit(0.0)).alias("modularity"))
 
 
 def modularity_unweighted(edges: DataFrame, assign: DataFrame) -> DataFrame:
@@ -53,7 +51,7 @@ def mdl_approx(edges: DataFrame, assign: DataFrame) -> DataFrame:
 
     The other quantity that goes by the name of inverse H-norm.
     """
-    d = assign.join(degrees(edges), "v", "left").select("v", "b", F.coalesce("k_out", _ZERO).alias("k_out"), F.coalesce("k_in", _ZERO).alias("k_in"))
+    d = assign.join(degrees(edges), "v", "left").select("v", "b", F.coalesce("k_out", F.lit(0.0)).alias("k_out"), F.coalesce("k_in", F.lit(0.0)).alias("k_in"))
     own = d.agg(F.sum(lgamma(F.col("k_out") + 1) + lgamma(F.col("k_in") + 1)).alias("own"), F.count("*").alias("v"))
     c = d.groupBy("b").agg(F.sum("k_out").alias("k_out"), F.sum("k_in").alias("k_in"), F.count("*").alias("n"))
     per = c.agg(F.count("*").alias("b"), F.sum(lgamma(F.col("k_out") + 1) + lgamma(F.col("k_in") + 1)).alias("blocks"), F.sum(lgamma(F.col("n") + 1)).alias("sizes"), F.sum(log_q_approx(F.col("k_out"), F.col("n")) + log_q_approx(F.col("k_in"), F.col("n"))).alias("prior"))
