@@ -15,8 +15,15 @@ _SHIFT = 7
 
 
 def lgamma(x: Column) -> Column:
-    """ln Gamma(x) for x >= 1: the recurrence moves x by 7, then Stirling's series; absolute error about 1e-11 up to x = 2000."""
-    x = x.cast("double")
+    """ln Gamma(x) for x >= 1: the recurrence moves x by 7, then Stirling's series; absolute error about 1e-11 up to x = 2000.
+
+    x is bound once as a lambda's variable: written out, it would stand some twenty times in the expression, and a few such terms
+    exceed the size of a method that Spark compiles.
+    """
+    return F.element_at(F.transform(F.array(x.cast("double")), _lgamma), 1)
+
+
+def _lgamma(x: Column) -> Column:
     z = x + _SHIFT
     product = reduce(lambda a, b: a * b, [x + k for k in range(1, _SHIFT)], x)
     series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3))) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7)))

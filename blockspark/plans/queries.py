@@ -721,3 +721,67 @@ def coverage_report(t):
 @query(None)
 def farthest_points(t):
     return tu.farthest_points(_metrics(t), "graph", _MET, 8)
+
+
+# --- partitioning: stochastic, so checked by invariants and recovery ---------------------------------------------------------------
+
+
+def _small():
+    from .sbp import SbpConfig
+
+    return SbpConfig(proposals=4, max_sweeps=1, batches=1, algorithm="async", max_rounds=12)
+
+
+@query(None)
+def sbp_bottom_up(t):
+    from .sbp import bottom_up
+
+    return bottom_up(t.g_nn(), t.v_nn(), _small()).assign
+
+
+@query(None)
+def sbp_top_down(t):
+    from .sbp import top_down
+
+    return top_down(t.g_nn(), t.v_nn(), _small()).assign
+
+
+@query(None)
+def sbp_split_scores(t):
+    from .sbp import SbpConfig, split_scores, split_sides
+
+    a = t.p_nn()
+    return split_scores(t.g_nn(), a, split_sides(t.g_nn(), a, SbpConfig(proposals=4), "q"))
+
+
+@query(None)
+def sbp_merge_phase(t):
+    from .sbp import merge_phase
+
+    own = bmod.relabel(t.v_nn().select("v", F.col("v").alias("b")))
+    return merge_phase(g.checkpoint(t.g_nn()), g.checkpoint(own), 5, _small(), "q")
+
+
+@query(None)
+def planted_graph(t):
+    from ..operators.synth import community_sizes, planted
+
+    return planted(t.spark, community_sizes(400, 4), 4000, 0.05, seed=1)[0]
+
+
+@query("select v as vertices, e as edges, k as communities, r as replica from (values (1000::bigint, 5000::bigint), (5000, 10000), (10000, 50000)) s(v, e), (values (4), (8), (16), (32)) c(k), range(500) t(r)")
+def corpus_plan(t):
+    from ..operators.synth import corpus_plan as plan
+
+    return plan(t.spark, [(1000, 5000), (5000, 10000), (10000, 50000)], [4, 8, 16, 32], 500)
+
+
+@query(None)
+def train_recommend(t):
+    from ..operators import model
+
+    d = _utility(t).join(t.part.groupBy(F.regexp_extract("p_brand", r"(\d+)\s*$", 1).cast("int").alias("config")).agg(F.avg("p_size").alias("size"), F.first("p_brand").alias("brand")), "config")
+    parts = tu.split_graphs(d)
+    fit = d.join(parts, "graph")
+    m = model.train(fit.where("part = 'train'"), ["alpha", "size", "config"], [], trees=10, depth=4)
+    return tu.by_alpha(tu.evaluate(tu.ranked(model.predict(m, fit.where("part = 'test'"), ["alpha", "size", "config"]), "prediction")))

@@ -21,6 +21,10 @@ from ..operators.graph import checkpoint, connected_components, global_rank, ind
 from .search import Bracket, Candidate, should_stop
 
 
+#: Up to as many blocks, merges are applied in order on the driver; beyond, all at once as components.
+DRIVER_BLOCKS = 4096
+
+
 @dataclass(frozen=True)
 class SbpConfig:
     seed: int = 1
@@ -49,7 +53,7 @@ class Result:
 
 def _state(edges: DataFrame, assign: DataFrame, cfg: SbpConfig):
     bm = checkpoint(bmod.block_matrix(edges, assign))
-    blocks = checkpoint(bmod.block_table(bm, assign))
+    blocks = bmod.block_table(bm, assign)
     mdl = (bmod.mdl_parametric if cfg.parametric else bmod.mdl_nonparametric)(bm, blocks).first()["mdl"]
     return bm, blocks, float(mdl)
 
@@ -67,17 +71,41 @@ def _block_neighbors(bm: DataFrame) -> DataFrame:
 
 def propose_merges(bm: DataFrame, blocks: DataFrame, cfg: SbpConfig, seed: str) -> DataFrame:
     """(a, b): for each block up to ``proposals`` others, by a weighted neighbour and then one of its weighted neighbours."""
-    near = checkpoint(_block_neighbors(bm))
+    near = _block_neighbors(bm)
     trials = blocks.select(F.col("b").alias("a")).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(cfg.proposals))))
     first = _draw(trials.join(near.select(F.col("u").alias("a"), F.col("b").alias("u"), "w"), "a").where("u <> a"), ["a", "trial"], "u", "w", f"{seed}u")
     second = _draw(first.join(near, "u").where("b <> a"), ["a", "trial"], "b", "w", f"{seed}b")
-    some = global_rank(blocks.select("b"), [F.asc("b")], "k")
-    n = blocks.agg(F.count("*").alias("n"))
-    lone = trials.join(second, ["a", "trial"], "left_anti").crossJoin(F.broadcast(n)).withColumn("k", F.floor(hash_uniform(f"{seed}k", F.col("a"), F.col("trial")) * F.col("n")) + 1)
-    lone = lone.join(some, "k").select("a", "b").where("a <> b")
+    n = blocks.agg(F.count("*").alias("n"))  # blocks are numbered 0 .. n - 1
+    lone = trials.join(second, ["a", "trial"], "left_anti").crossJoin(F.broadcast(n)).select("a", F.floor(hash_uniform(f"{seed}k", F.col("a"), F.col("trial")) * F.col("n")).cast("long").alias("b")).where("a <> b")
     return second.select("a", "b").union(lone).distinct()
 
 
+def _merge_in_order(assign: DataFrame, best: DataFrame, merges: int) -> DataFrame:
+    """assign after the best merges, one after another; one whose two blocks are joined already is passed over.
+
+    For at most DRIVER_BLOCKS blocks, whatever the number of vertices.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    rows = best.orderBy("delta", "a", "b").collect()
+    for r in rows:
+        if not merges:
+            break
+        a, b = sorted((find(r["a"]), find(r["b"])))
+        if a != b:
+            root[b] = a
+            merges -= 1
+    names = {r["a"] for r in rows}
+    new = {x: i for i, x in enumerate(sorted({find(x) for x in names}))}
+    table = assign.sparkSession.createDataFrame([(x, new[find(x)]) for x in names], "b long, new long")
+    return assign.join(F.broadcast(table), "b").select("v", F.col("new").alias("b"))  # at most DRIVER_BLOCKS rows
+
+
 def merge_phase(edges: DataFrame, assign: DataFrame, target: int, cfg: SbpConfig, seed: str) -> DataFrame:
     """assign with at most about ``target`` blocks: each block's best merge, the best ones first; chains of merges are components."""
     bm, blocks, _ = _state(edges, assign, cfg)
@@ -85,6 +113,14 @@ def merge_phase(edges: DataFrame, assign: DataFrame, target: int, cfg: SbpConfig
     while n > target:
         score = dl.merge_delta_parametric if cfg.parametric else dl.merge_delta
         best = dl.best_merges(score(bm, blocks, propose_merges(bm, blocks, cfg, f"{seed}|{n}")))
+        if n <= DRIVER_BLOCKS:
+            assign = checkpoint(_merge_in_order(assign, best, n - target))
+            bm, blocks, _ = _state(edges, assign, cfg)
+            now = blocks.count()
+            if now == n:
+                break
+            n = now
+            continue
         # a pair that chooses each other is one merge
         pairs = best.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "delta").groupBy("src", "dst").agg(F.min("delta").alias("delta"))
         taken = global_rank(pairs, [F.asc("delta"), F.asc("src"), F.asc("dst")]).where(F.col("rank") <= n - target)
@@ -101,7 +137,7 @@ def merge_phase(edges: DataFrame, assign: DataFrame, target: int, cfg: SbpConfig
 
 def propose_moves(edges: DataFrame, assign: DataFrame, bm: DataFrame, movers: DataFrame, seed: str) -> DataFrame:
     """(v, to): for each mover the block of a weighted neighbour's weighted neighbour block."""
-    near = checkpoint(_block_neighbors(bm))
+    near = _block_neighbors(bm)
     own = neighbors(edges).where("v <> nbr").join(movers.select("v"), "v")
     u = _draw(own.join(assign.select(F.col("v").alias("nbr"), F.col("b").alias("u")), "nbr").groupBy("v", "u").agg(F.sum("w").alias("w")), ["v"], "u", "w", f"{seed}u")
     return _draw(u.join(near, "u").withColumnRenamed("b", "to"), ["v"], "to", "w", f"{seed}t").select("v", "to")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,8 +115,6 @@ def last_document(text: str | None) -> str | None:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, document): each file's last JSON document, as text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def last(texts: pd.Series) -> pd.Series:
         return texts.map(last_document)
