@@ -223,14 +223,15 @@ def masked(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
 
     Rows are joined with their spans by doc_id, so doc_ids must be different; null texts stay null.
     """
-    spans = find_spans(docs, thresholds).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id")
+    id_, found = "__pii_doc_id", "__pii_spans"
+    spans = find_spans(docs, thresholds).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(id_), F.col("spans").alias(found))
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return texts.combine(spans, lambda t, s: t if t is None or s is None else mask_text(t, s))
 
-    d = docs.join(spans, F.col("doc_id") == F.col("_id"), "left")
-    return d.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask("text", "spans"))).select(docs.columns)
+    d = docs.join(spans, F.col("doc_id") == F.col(id_), "left")
+    return d.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(mask("text", found))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mask_text(text: str, spans) -> str:
