@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = rb"\x20\x09-\x0D"
 #: Texts are handed to numpy in slices of about this many bytes, whatever the Arrow batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,15 +40,16 @@ def map_texts(df: DataFrame, fn: Callable[[list, list], dict], schema: str, colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_schema = None
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= SLICE_BYTES or i + 1 == len(texts):
-                    got = fn(ids[at : i + 1], texts[at : i + 1])
-                    out_schema = out_schema or arrow_schema(schema)
-                    yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=False) for f in out_schema], schema=out_schema)
-                    at, size = i + 1, 0
+            # one slice at a time becomes Python objects; a text longer than a slice is one of its own
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(ends):
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+                got = fn(batch.column(0).slice(at, to - at).to_pylist(), batch.column(1).slice(at, to - at).to_pylist())
+                out_schema = out_schema or arrow_schema(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=False) for f in out_schema], schema=out_schema)
+                at = to
 
     return df.select(*columns).mapInArrow(run, schema)
 
