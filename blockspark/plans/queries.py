@@ -88,6 +88,11 @@ def weight_default(t):
     return g.weights_or_one(t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_discount").alias("w")))
 
 
+@query("select cast(l_suppkey as bigint) as src, l_partkey as dst, case when (select bool_or(l_discount is null) or not bool_or(l_discount <> 0) from lineitem) then 1.0 else l_discount end as w from lineitem")
+def weight_default_all(t):
+    return g.weights_or_one(t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_discount").alias("w")))
+
+
 @query(sql("select a.v as src, b.v as dst, w from g_nn join v_nn a on a.v = src join v_nn b on b.v = dst where src % 2 = 0 and dst % 2 = 0", "g_nn", "v_nn").replace("a.v as src, b.v as dst", "a.v // 2 as src, b.v // 2 as dst"))
 def induced_subgraph(t):
     return g.induced(t.g_nn(), t.v_nn().where("v % 2 = 0").select("v", F.expr("v div 2").alias("new_id")))
@@ -105,6 +110,12 @@ def connected_components(t):
     return g.connected_components(e, g.vertex_set(e))
 
 
+# the whole graph; recursive SQL is too slow for it
+@query(None)
+def connected_components_all(t):
+    return g.connected_components(t.g_cs(), t.v_cs())
+
+
 _DEG = "deg as (select x, count(*) as d from (select u as x from g_pp union all select v from g_pp) group by x)"
 _TRI = _DEG + """, o as (select case when du.d < dv.d or (du.d = dv.d and u < v) then u else v end as a, case when du.d < dv.d or (du.d = dv.d and u < v) then v else u end as b from g_pp join deg du on du.x = u join deg dv on dv.x = v),
 tri as (select o1.a as a, o1.b as b, o2.b as c from o o1 join o o2 on o1.a = o2.a and o1.b <> o2.b join o o3 on o3.a = o1.b and o3.b = o2.b),
@@ -549,6 +560,17 @@ def early_stop_window(t):
     return sm.early_stop(p, 0.001)
 
 
+_PROF_ALL = "pf as (select event_type as run, row_number() over (partition by event_type order by event_id) as iteration, -value / 100 as delta, 100.0 as start_mdl from events)"
+
+
+@query(sql("select run, iteration, round(delta, 6) as delta, start_mdl, round(average, 6) as average, delta = 0 or (iteration >= 3 and average < 0.001 * start_mdl) as stop from (select *, -sum(delta) over (partition by run order by iteration rows between 2 preceding and current row) / 3 as average from pf)", extra=_PROF_ALL), 6)
+def early_stop_window_all(t):
+    from pyspark.sql import Window
+
+    p = t.events.select(F.col("event_type").alias("run"), F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).cast("long").alias("iteration"), (-F.col("value") / 100).alias("delta"), F.lit(100.0).alias("start_mdl"))
+    return sm.early_stop(p, 0.001)
+
+
 # --- tuning ------------------------------------------------------------------------------------------------------------------------
 
 _ALPHAS = [0.0, 0.5, 1.0]
@@ -675,6 +697,32 @@ def rank_pivot(t):
     return tu.rank_pivot(_parameters(t), [1, 2, 3, 4, 5])
 
 
+# over all runs (their means) and all configurations
+_PM_ALL = _AV + ", pm as (select graph, config, round(inverse_hnorm, 9) as f1, round(modularity, 9) as nmi, round(conductance, 9) as inverse_hnorm, round(modularity, 9) as conductance, round(teps, 3) as runtime from av), pk as (select *, row_number() over (partition by graph order by f1 * 1000000 + nmi * 1000 + inverse_hnorm - conductance * 0.001 - runtime * 0.000001 desc nulls last, config) as rank from pm)"
+
+
+def _parameters_all(t):
+    m = _averaged(t)
+    return tu.parameter_ranking(m.select("graph", "config", F.round("inverse_hnorm", 9).alias("f1"), F.round("modularity", 9).alias("nmi"), F.round("conductance", 9).alias("inverse_hnorm"), F.round("modularity", 9).alias("conductance"), F.round("teps", 3).alias("runtime")))
+
+
+@query(sql("select graph, config, cast(rank as integer) as rank from pk", "m_raw", extra=_PM_ALL))
+def parameter_ranking_all(t):
+    return _parameters_all(t).select("graph", "config", "rank")
+
+
+@query(sql("select config, round(avg(rank), 6) as avg_rank, round(median(rank), 6) as median_rank, count(*) filter (rank = 1) as wins, round(avg(f1), 6) as avg_f1, round(avg(nmi), 6) as avg_nmi, round(avg(runtime), 6) as avg_runtime from pk group by config", "m_raw", extra=_PM_ALL), 6)
+def average_parameter_rank_all(t):
+    return tu.average_parameter_rank(_parameters_all(t))
+
+
+@query(sql("select graph, " + ", ".join(f"cast(max(case when config = {c} then rank end) as integer) as c{c}" for c in range(1, 26)) + " from pk group by graph", "m_raw", extra=_PM_ALL))
+def rank_pivot_all(t):
+    r = _parameters_all(t)
+    configs = sorted(x["config"] for x in r.select("config").distinct().collect())  # the tested configurations, a short list
+    return tu.rank_pivot(r, configs)
+
+
 @query("select l_orderkey, l_linenumber, case when lower(trim(x)) in ('0', '0.0', 'false', 'off') then 'off' else 'on' end as switch from (select l_orderkey, l_linenumber, case l_linenumber % 4 when 0 then ' TRUE' when 1 then '0.0' when 2 then 'Off ' else '1' end as x from lineitem)")
 def config_switch_normalize(t):
     x = F.when(F.col("l_linenumber") % 4 == 0, " TRUE").when(F.col("l_linenumber") % 4 == 1, "0.0").when(F.col("l_linenumber") % 4 == 2, "Off ").otherwise("1")
