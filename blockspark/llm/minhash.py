@@ -5,7 +5,8 @@ hashing, up to T of them, and then T rounds that each hold one bin fixed, so eve
 sketches exactly when the same element is least in the same round.  The share of equal coordinates estimates the Jaccard similarity
 with the concentration of independent samples.
 
-Banding.  BANDS bands of ROWS coordinates: at similarity 0.85 a pair is missed with probability (1 - 0.85**4)**16 < 1e-5.
+Banding.  Bands of ROWS coordinates, as many as miss a pair at the threshold with probability (1 - s**4)**bands < 1e-5: 16 at a
+similarity of 0.85, 24 at 0.8.
 
 Verification.  Documents with the same set are one class.  The classes of a bucket are tied to the bucket's leader; tied classes form
 clusters, and every candidate pair lies inside one.  A cluster's texts meet in groups of bounded size with the cluster's leader in
@@ -16,6 +17,7 @@ groups leave apart in a cluster then meets all of the cluster's groups, so no li
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from .common import arrow_schema, bloom_words, checkpoint, connected_components,
 
 WORDS, BANDS, ROWS = 5, 16, 4
 T = BANDS * ROWS
+MISS = 1e-5
 #: Classes in a verification group.
 GROUP = 256
 
@@ -50,48 +53,59 @@ def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     return [np.unique(h[e - k : e]) for e, k in zip(w_ends.tolist(), windows.tolist())]
 
 
-_EDGES = (np.arange(T, dtype=np.uint64) << np.uint64(58)) if T == 64 else None
+def bands_for(percent: int) -> int:
+    """The least multiple of 8 of bands that miss a pair of ``percent`` similarity with probability under MISS; BANDS at 85."""
+    n = 8
+    while (1 - (percent / 100) ** ROWS) ** n >= MISS:
+        n += 8
+    return n
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """T coordinates of a non-empty sorted set of 64-bit words.  A word's top six bits are its bin, the rest its value."""
-    out = np.zeros(T, np.uint64)
-    filled = np.zeros(T, bool)
+@lru_cache
+def _edges(t: int) -> np.ndarray:
+    """The least word of each of t bins of equal width."""
+    return np.array([-(-(i << 64) // t) for i in range(t)], np.uint64)
+
+
+def sketch(elements: np.ndarray, t: int = T) -> np.ndarray:
+    """t coordinates of a non-empty sorted set of 64-bit words.  A word's place among t equal ranges is its bin."""
+    out = np.zeros(t, np.uint64)
+    filled = np.zeros(t, bool)
     h = elements
-    for i in range(2 * T):
+    for i in range(2 * t):
         if i:
             h = mix64(elements ^ np.uint64(i * 0x9E3779B97F4A7C15 % 2**64))
-        if i < T:
+        if i < t:
             h = np.sort(h) if i else h
-            at = np.searchsorted(h, _EDGES)
+            at = np.searchsorted(h, _edges(t))
             ends = np.append(at[1:], len(h))
             new = (at < ends) & ~filled
             out[new] = h[at[new]]
             filled |= new
-        elif not filled[i - T]:
-            out[i - T] = h.min()
-            filled[i - T] = True
+        elif not filled[i - t]:
+            out[i - t] = h.min()
+            filled[i - t] = True
         if filled.all():
             break
     return out
 
 
 def bands(sketches: np.ndarray) -> np.ndarray:
-    """(documents, BANDS) keys from (documents, T) coordinates; the band's number is part of a key."""
-    x = sketches.reshape(-1, BANDS, ROWS)
-    key = mix64(np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), x.shape[:2]))
+    """(documents, bands) keys from (documents, bands * ROWS) coordinates; the band's number is part of a key."""
+    x = sketches.reshape(len(sketches), -1, ROWS)
+    key = mix64(np.broadcast_to(np.arange(1, x.shape[1] + 1, dtype=np.uint64), x.shape[:2]))
     for r in range(ROWS):
         key = mix64(key ^ x[:, :, r])
     return key
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, digest, bands) of every row; digest and bands are null where the set is empty."""
 
     def run(ids, texts):
         sets = shingles(texts)
         full = [i for i, s in enumerate(sets) if len(s)]
-        keys = bands(np.array([sketch(sets[i]) for i in full])).view(np.int64).tolist() if full else []
+        keys = bands(np.array([sketch(sets[i], n_bands * ROWS) for i in full])).view(np.int64).tolist() if full else []
         own, digest = [None] * len(sets), [None] * len(sets)
         for i, k in zip(full, keys):
             own[i], digest[i] = k, hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
@@ -172,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     columns are ignored.  Rows with a null doc_id are linked with nothing.
     """
     docs = docs.select("doc_id", "text")
-    described = checkpoint(describe(docs))
+    described = checkpoint(describe(docs, bands_for(percent)))
     reps = described.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = checkpoint(described.join(reps, "digest", "left").select("doc_id", "n_shingles", "rep", F.expr("case when doc_id = rep then bands end").alias("bands")))
     classes = member.where("bands is not null").dropDuplicates(["rep"]).select("rep", "bands")

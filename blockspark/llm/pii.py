@@ -178,13 +178,13 @@ def revealing_terms(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> D
     return checkpoint(best.select("t", "b.support", "b.documents", "b.disclosure", "b.information"))
 
 
-def find_spans(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+def find_spans(docs: DataFrame, thresholds: Thresholds = Thresholds(), revealing: DataFrame | None = None) -> DataFrame:
     """(doc_id, spans) of every row: spans holds "kind:start:end" by kind (email, ip, card, phone, term), then start; code points.
 
     Null texts are empty; repeated rows and rows of one doc_id get a row each, each by its own text; an empty table gives no rows; extra
-    columns are ignored.
+    columns are ignored.  ``revealing`` holds the terms that another table has shown to give entities away.
     """
-    revealing = revealing_terms(docs, thresholds)
+    revealing = revealing_terms(docs, thresholds) if revealing is None else revealing
     bits, n = _bloom(revealing)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -221,17 +221,27 @@ def find_spans(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFr
 def masked(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """docs with every span of ``text`` replaced by its kind in brackets; overlapping spans become one, named after the first.
 
-    Rows are joined with their spans by doc_id, so doc_ids must be different; null texts stay null.
+    Rows are joined with their spans by doc_id, so doc_ids must be different, and rows without one by the hash of their text; null texts
+    stay null.
     """
     id_, found = "__pii_doc_id", "__pii_spans"
-    spans = find_spans(docs, thresholds).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(id_), F.col("spans").alias(found))
+    revealing = revealing_terms(docs, thresholds)
+    nameless = docs.where("doc_id is null and text is not null").select(F.xxhash64("text").alias("doc_id"), "text")
+    some = not nameless.isEmpty()
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return texts.combine(spans, lambda t, s: t if t is None or s is None else mask_text(t, s))
 
-    d = docs.join(spans, F.col("doc_id") == F.col(id_), "left")
-    return d.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(mask("text", found))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    def replaced(rows: DataFrame, own: DataFrame, key) -> DataFrame:
+        spans = find_spans(own, thresholds, revealing).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(id_), F.col("spans").alias(found))
+        d = rows.join(spans, key == F.col(id_), "left")
+        return d.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(mask("text", found))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    if not some:
+        return replaced(docs, docs, F.col("doc_id"))
+    named = docs.where("doc_id is not null")
+    return replaced(named, named, F.col("doc_id")).union(replaced(docs.where("doc_id is null"), nameless, F.xxhash64("text")))
 
 
 def mask_text(text: str, spans) -> str:

@@ -23,7 +23,7 @@ def op7_language_id(spark, sf_dir):
 
 
 def op10_minhash(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op5_quality_rules(spark, sf_dir):

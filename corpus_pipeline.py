@@ -30,9 +30,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.dropDuplicates(["doc_id"]), "doc_id", "left_semi")
+    """Keeps one document of each group of near copies (similarity of 0.8 or more), the one with the smallest doc_id.
+
+    Rows without a doc_id are no one's copies and stay.
+    """
+    kept = minhash.near_duplicates(docs, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").union(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
