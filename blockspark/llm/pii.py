@@ -8,8 +8,11 @@ how strongly.  For a term t and an entity e (kind and text)
     documents(t)     = documents of the whole corpus that hold t
     disclosure(e, t) = near(e, t) / documents(t), an estimate of P(e | t)
     information      = log2(disclosure / P(e)), P(e) = documents(e) / all documents
+    share(e, t)      = information / log2(1 / P(e)), the part of what there is to learn about e that t tells
 
-A term whose support, disclosure and information reach the thresholds gives the entity away wherever it stands; its spans are added
+A term whose support, disclosure and share reach the thresholds gives the entity away wherever it stands; all three mean the same in
+small and large tables, for rare and common entities.  The share only excludes terms of an entity that stands nearly everywhere, which
+any word would predict.  The spans of such a term are added
 as kind ``term`` (outside base spans) and it is generalised like the rest.
 
 Three scans of the texts.  The first yields base spans and contexts, the second documents(t) for terms that pass a fixed-size Bloom
@@ -47,7 +50,7 @@ BLOOM_LOG2 = 22
 class Thresholds:
     support: int = 2
     disclosure: float = 0.9
-    information: float = 8.0
+    share: float = 0.5
 
 
 def _luhn(digits: str) -> bool:
@@ -173,7 +176,8 @@ def revealing_terms(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> D
     everything = docs.count()
     scored = near.join(documents, "t").join(entities, "entity").withColumn("disclosure", F.col("near") / F.col("documents"))
     scored = scored.withColumn("information", F.log2(F.col("disclosure") * everything / F.col("entity_documents")))
-    scored = scored.where((F.col("disclosure") >= thresholds.disclosure) & (F.col("information") >= thresholds.information))
+    most = F.log2(everything / F.col("entity_documents"))
+    scored = scored.where((F.col("disclosure") >= thresholds.disclosure) & (most > 0) & (F.col("information") >= thresholds.share * most))
     best = scored.groupBy("t").agg(F.max(F.struct("disclosure", "information", "support", "documents")).alias("b"))
     return checkpoint(best.select("t", "b.support", "b.documents", "b.disclosure", "b.information"))
 

@@ -37,3 +37,17 @@ def test_bands_miss_less_than_one_in_100000():
 def test_rows_without_id_are_masked_each_by_its_own_text(spark):
     out = pii.masked(documents(spark, [(1, "x a@b.org"), (None, "mail c@d.org now"), (None, "to e@f.org"), (None, None), (None, "plain")]))
     assert sorted((r["text"] or "" for r in out.collect())) == sorted(["x [EMAIL]", "mail [EMAIL] now", "to [EMAIL]", "", "plain"])
+
+
+def test_terms_are_found_in_small_tables_and_beside_common_entities(spark):
+    words = ["red", "blue", "green", "grey", "pink"]
+    told = [f"the zanzibar {w} wrote from jane@example.com about {w} things" for w in words]
+    plain = [f"plain text about the {w} things of the day and what they wrote from home {i}" for i, w in enumerate(words * 19)]
+    small = documents(spark, enumerate(told + plain))
+    hot = documents(spark, enumerate([f"{told[i % 5]} {i}" for i in range(1000)] + [f"{plain[i % 95]} {i}" for i in range(2000)]))
+    for docs, n in ((small, 5), (hot, 1000)):
+        spans = {r["doc_id"]: r["spans"] for r in pii.find_spans(docs).collect()}
+        assert all("term:4:12" in spans[i] for i in range(n)) and not any(spans[i] for i in range(n, len(spans)))
+    # an address in all texts but one is foretold by any word: none of them reveals it
+    everywhere = documents(spark, enumerate([f"the {w} day {i} jane@example.com" for i, w in enumerate(words * 20)] + ["the day"]))
+    assert not any(s.startswith("term") for r in pii.find_spans(everywhere).collect() if r["doc_id"] == 100 for s in r["spans"])
