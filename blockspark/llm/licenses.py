@@ -3,6 +3,9 @@
 A text is cut into sentences, a sentence is normalised (lower case, letters and digits alone, single spaces) and looked up among the
 known license sentences.  The identifiers of those found, in order, are then matched against ordered rules: a rule is a sequence of
 identifiers that must stand next to each other in it.  A longer rule is met before a shorter one and consumes its identifiers.
+
+A line feed may end a sentence (a notice on its own line) or wrap it: a known sentence is found over consecutive lines too, the longest
+one first, though not over a line without letters or digits.  ``oracle_sql`` ends sentences at every line feed, so it has no wrapped ones.
 """
 
 from __future__ import annotations
@@ -95,11 +98,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     numbers, rules = compiled()
     known = F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])
-    cut = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), _END, "$1\n"), "\n")
-    # only sentences with a word that every known one has some of are worth normalising
-    likely = F.filter(cut, lambda s: s.rlike(r"(?i)licen|permission|redistribut|free software|unencumbered|copyright|warrant"))
-    forms = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
-    found = docs.select("doc_id", F.filter(forms, lambda s: s.isin(*numbers)).alias("forms"))
+    # lower case leaves no A-Z, so H marks a sure end of a sentence and S a line feed, which may be one; all else becomes single spaces
+    marked = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[.;:!?][ \t\r\f\x0B\n]+", "H")
+    marked = F.regexp_replace(F.translate(marked, "\n", "S"), r"[^a-z0-9HS]+", " ")
+    marked = F.regexp_replace(F.trim(F.regexp_replace(marked, " ?([HS]) ?", "$1")), "SS+", "H")
+    sentence = "|".join(n.replace(" ", "[ S]") for n in sorted(numbers, key=len, reverse=True))
+    matches = F.regexp_extract_all(marked, F.lit(f"(?<![^HS])(?:{sentence})(?![^HS])"), F.lit(0))
+    found = docs.select("doc_id", F.transform(matches, lambda s: F.translate(s, "S", " ")).alias("forms"))
     ids = F.transform("forms", lambda s: F.element_at(known, s))
     d = found.select("doc_id", F.size("forms").cast("long").alias("n_sentences"), F.array_join(F.transform(ids, lambda k: F.concat(F.lit(","), k.cast("string"), F.lit(","))), "").alias("left"))
     matched: list[Column] = []

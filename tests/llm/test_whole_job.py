@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from blockspark.llm import minhash, pii
+from blockspark.llm import licenses, minhash, pii
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +51,32 @@ def test_terms_are_found_in_small_tables_and_beside_common_entities(spark):
     # an address in all texts but one is foretold by any word: none of them reveals it
     everywhere = documents(spark, enumerate([f"the {w} day {i} jane@example.com" for i, w in enumerate(words * 20)] + ["the day"]))
     assert not any(s.startswith("term") for r in pii.find_spans(everywhere).collect() if r["doc_id"] == 100 for s in r["spans"])
+
+
+def test_every_license_rule_on_one_line_and_wrapped(spark):
+    import textwrap
+
+    numbers, rules = licenses.compiled()
+    texts, want = [], []
+    for name, ids in licenses.RULES:
+        whole = [licenses.SENTENCES[i] for i in ids]
+        for text in (" ".join(whole), "\n".join(whole), textwrap.fill("  ".join(whole), 40), "\r\n".join(textwrap.wrap(" ".join(whole), 60)), "# " + textwrap.fill(" ".join(whole), 30, break_long_words=False).replace("\n", "\n# "), "A heading\n" + textwrap.fill(" ".join(whole), 50) + "\n\nmore text"):
+            texts.append(text)
+            want.append(([name], sum(len(licenses.sentences_of(s)) for s in whole)))
+    texts += ["Released under\n\nthe MIT License.", "Released under the MIT License", "my tool\nReleased under the MIT License\nmy name", "not Released under the MIT License.", "This is version 2.0.\nv. 2.1"]
+    want += [([], 0), (["MIT"], 1), (["MIT"], 1), ([], 0), ([], 0)]
+    out = sorted(licenses.scan(documents(spark, enumerate(texts))).collect(), key=lambda r: r["doc_id"])
+    assert [(r["licenses"], r["n_sentences"]) for r in out] == want
+
+
+def test_license_scan_equals_its_sql(spark):
+    import duckdb
+
+    mpl = licenses.SENTENCES["mpl2_notice"]
+    rows = [(i, t) for i, t in enumerate([None, "", mpl, f"x\n{mpl}\ny", "2.0. 2.0", "a | b\nS H\nReleased under the MIT License."])]
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for docs in (documents(spark, rows).select("doc_id", "text"), real):
+        con = duckdb.connect()
+        con.register("documents", docs.toArrow())
+        got = [(r["doc_id"], r["n_sentences"], ",".join(r["licenses"]), r["n_matches"]) for r in licenses.scan(docs).collect()]
+        assert sorted(got) == sorted(con.execute(licenses.oracle_sql()).fetchall())
