@@ -51,26 +51,31 @@ def detach(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertex_degree(edges, vertices).where("degree > 1").select("v")
 
 
-def snowball(edges: DataFrame, vertices: DataFrame, share: float, seed: int = 0, rounds: int = 30) -> DataFrame:
+def snowball(edges: DataFrame, vertices: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """(v, layer): breadth-first layers from one seed until floor(share * V) vertices; the last layer is cut by hash.
 
-    Where a component ends early, the unvisited vertex of least hash starts anew.
+    Where a component ends early, the unvisited vertices of least hash start anew: one, then two, four and so on at each further end, so
+    that many small components take few rounds.
     """
     target = int(vertices.count() * share)
     nbr = checkpoint(neighbors(edges).where("v <> nbr").select("v", "nbr").distinct())
     order = vertices.withColumn("u", hash_uniform(seed, F.col("v")))
     found = checkpoint(order.orderBy("u", "v").limit(min(1, target)).select("v", F.lit(0).alias("layer")))
     have = found.count()
-    for layer in range(1, rounds + 1):
-        if have >= target:
-            break
+    layer, seeds = 0, 1
+    while have < target:
+        layer += 1
         front = found.where(F.col("layer") == layer - 1).join(nbr, "v").select(F.col("nbr").alias("v")).distinct().join(found, "v", "left_anti")
         front = checkpoint(front.withColumn("u", hash_uniform(seed, F.col("v"))))
         if front.isEmpty():
-            front = order.join(found, "v", "left_anti").orderBy("u", "v").limit(1)
+            front = order.join(found, "v", "left_anti").orderBy("u", "v").limit(seeds)
+            seeds *= 2
         new = checkpoint(front.orderBy("u", "v").limit(target - have).select("v", F.lit(layer).alias("layer")))
-        have += new.count()
-        found = found.union(new)
+        n = new.count()
+        if not n:  # no vertex is left
+            break
+        have += n
+        found = checkpoint(found.union(new))
     return found
 
 
@@ -100,10 +105,10 @@ def majority_round(edges: DataFrame, assign: DataFrame, vertices: DataFrame) ->
     return votes.groupBy("v").agg(F.max(F.struct("w", (-F.col("b")).alias("minus"))).alias("x")).select("v", (-F.col("x.minus")).alias("b"))
 
 
-def extend(edges: DataFrame, assign: DataFrame, vertices: DataFrame, blocks: int, seed: int = 0, rounds: int = 50) -> DataFrame:
-    """(v, b) of all vertices: synchronous majority rounds until nothing changes; the rest by hash."""
+def extend(edges: DataFrame, assign: DataFrame, vertices: DataFrame, blocks: int, seed: int = 0) -> DataFrame:
+    """(v, b) of all vertices: synchronous majority rounds until nothing changes; the rest, that no path reaches, by hash."""
     assign = checkpoint(assign.select("v", "b"))
-    for _ in range(rounds):
+    while True:
         new = checkpoint(majority_round(edges, assign, vertices))
         if new.isEmpty():
             break

@@ -227,7 +227,7 @@ def top_down(edges: DataFrame, vertices: DataFrame, cfg: SbpConfig = SbpConfig()
 # --- splits ------------------------------------------------------------------------------------------------------------------------
 
 
-def split_sides(edges: DataFrame, assign: DataFrame, cfg: SbpConfig, seed: str, rounds: int = 12) -> DataFrame:
+def split_sides(edges: DataFrame, assign: DataFrame, cfg: SbpConfig, seed: str) -> DataFrame:
     """(b, trial, v, side): ``proposals`` halvings of every block.
 
     random: by hash, with a share of 20 to 80 % of its own for each trial.  connectivity: two seeds grow in synchronous layers; a vertex
@@ -244,7 +244,7 @@ def split_sides(edges: DataFrame, assign: DataFrame, cfg: SbpConfig, seed: str,
     keyed = trials.withColumn("u", u)
     seeds = keyed.groupBy("b", "trial").agg(F.min(F.struct("u", "v")).alias("lo"), F.max(F.struct("u", "v")).alias("hi"))
     sides = checkpoint(seeds.select("b", "trial", F.explode(F.array(F.struct(F.col("lo.v").alias("v"), F.lit(0).alias("side")), F.struct(F.col("hi.v").alias("v"), F.lit(1).alias("side")))).alias("x")).select("b", "trial", "x.v", "x.side").dropDuplicates(["b", "trial", "v"]))
-    for _ in range(rounds):
+    while True:
         votes = sides.withColumnRenamed("v", "nbr").join(near, ["b", "nbr"]).groupBy("b", "trial", "v").agg(F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(-F.col("w"))).alias("vote"))
         new = checkpoint(votes.join(sides, ["b", "trial", "v"], "left_anti").select("b", "trial", "v", F.when(F.col("vote") >= 0, 0).otherwise(1).alias("side")))
         if new.isEmpty():
