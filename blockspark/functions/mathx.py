@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -42,11 +42,6 @@ def log_q_approx(n: Column, k: Column) -> Column:
     return lbinom(n - 1, k - 1) - lgamma(k + 1)
 
 
-def xlogx(m: Column, d: Column) -> Column:
-    """m ln(m / d), 0 where m is 0."""
-    return F.when(m == 0, F.lit(0.0)).otherwise(m * (F.log(m) - F.log(d)))
-
-
 def cell_entropy(m: Column, d_out: Column, d_in: Column) -> Column:
     """m (ln m - ln d_out - ln d_in), 0 where m is 0."""
     return F.when(m == 0, F.lit(0.0)).otherwise(m * (F.log(m) - (F.log(d_out) + F.log(d_in))))
@@ -63,53 +58,82 @@ def hash_uniform(seed: int | str, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def _dilog(x: float) -> float:
-    """Li2(x) for 0 <= x <= 1 by its series, reflected above 1/2."""
-    if x > 0.5:
-        return math.pi**2 / 6 - (math.log(x) * math.log1p(-x) if 0 < x < 1 else 0.0) - _dilog(1 - x)
-    total, term, k = 0.0, 1.0, 0
-    while True:
-        k += 1
-        term *= x
-        add = term / (k * k)
-        total += add
-        if add < 1e-17:
-            return total
+#: Below this total, partitions are counted; above it, the asymptotic form of Szekeres holds to a few thousandths.
+EXACT_PARTITIONS = 200
+
+
+@lru_cache(1)
+def _partition_counts() -> np.ndarray:
+    """ln of the number of partitions of n into at most k parts, n and k up to EXACT_PARTITIONS."""
+    size = EXACT_PARTITIONS + 1
+    count = np.zeros((size, size), object)
+    count[0, :] = 1
+    for k in range(1, size):
+        for n in range(1, size):
+            count[n, k] = count[n, k - 1] + (count[n - k, k] if n >= k else 0)
+    return np.array([[math.log(c) if c > 0 else 0.0 for c in row] for row in count])
+
 
+def spence(x):
+    """The dilogarithm Li2(1 - x) for 0 <= x <= 1: a quadrature of t / (e^t - 1) from -ln(1 - x) on, exact to about 1e-13."""
+    y = 1.0 - np.asarray(x, float)
+    node, weight = _NODES
+    # Li2(y) = integral of -ln(1 - s) / s over 0 <= s <= y, with s = y u^2 so that the end at 1 is smooth
+    u = (node + 1) / 2
+    s = y[..., None] * (1 - (1 - u) ** 3)
+    ds = y[..., None] * 3 * (1 - u) ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = np.where(s > 1e-12, -np.log1p(-np.minimum(s, 1 - 1e-300)) / np.where(s > 0, s, 1.0), 1.0)
+    f = np.where(np.isfinite(f), f, 0.0)
+    out = (f * ds * (weight / 2)).sum(axis=-1)
+    return float(out) if out.ndim == 0 else out
 
-def spence(x: float) -> float:
-    """The dilogarithm Li2(1 - x)."""
-    return _dilog(1 - x)
 
+_NODES = np.polynomial.legendre.leggauss(64)
 
-def _get_v(u: float, tolerance: float = 1e-8) -> float:
-    """The fixed point v = u sqrt(spence(e^-v))."""
-    v, delta = u, 1.0
-    while delta > tolerance:
-        n = u * math.sqrt(spence(math.exp(-v)))
-        delta, v = abs(n - v), n
-    return v
+
+def _saddle(u: np.ndarray) -> np.ndarray:
+    """The root v > 0 of v = u sqrt(Li2(1 - e^-v)), by bisection of all at once: the right side grows slower than v."""
+    lo, hi = np.zeros(len(u)), u * math.pi / math.sqrt(6) + 1e-9
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        below = mid < u * np.sqrt(spence(np.exp(-mid)))
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return (lo + hi) / 2
+
+
+def log_q_values(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """ln q(n, k), q the number of partitions of n into at most k parts: 0 for n <= 0 or k < 1.
+
+    Counted for small n; for k under the fourth root of n by the number of compositions over k!; otherwise the asymptotic form
+    q ~ f(u) exp(sqrt(n) g(u)) / n, u = k / sqrt(n), with v as above, f = v / (2 pi sqrt(2) u) / sqrt(1 - (1 + u^2 / 2) e^-v) and
+    g = 2 v / u - u ln(1 - e^-v).
+    """
+    n, k = np.asarray(n, np.int64), np.asarray(k, np.int64)
+    out = np.zeros(len(n))
+    some = (n > 0) & (k > 0)
+    k = np.minimum(k, np.maximum(n, 1))
+    exact = some & (n <= EXACT_PARTITIONS)
+    out[exact] = _partition_counts()[n[exact], k[exact]]
+    few = some & ~exact & (k < np.maximum(n, 1) ** 0.25)
+    out[few] = [math.lgamma(a) - math.lgamma(b) - math.lgamma(a - b + 1) - math.lgamma(b + 1) for a, b in zip(n[few].tolist(), k[few].tolist(), strict=True)]
+    rest = some & ~exact & ~few
+    if rest.any():
+        a = n[rest].astype(float)
+        u = k[rest] / np.sqrt(a)
+        v = _saddle(u)
+        tail = np.exp(-v)
+        f = np.log(v) - np.log(2 * math.pi * math.sqrt(2) * u) - np.log1p(-(1 + u * u / 2) * tail) / 2
+        out[rest] = f + np.sqrt(a) * (2 * v / u - u * np.log1p(-tail)) - np.log(a)
+    return out
 
 
 def log_q_value(n: int, k: int) -> float:
-    """ln q(n, k): 0 for n <= 0 or k < 1; small k by binomials, else the asymptotic form."""
-    if n <= 0 or k < 1:
-        return 0.0
-    k = min(k, n)
-    if k < n**0.25:
-        return math.lgamma(n) - math.lgamma(k) - math.lgamma(n - k + 1) - math.lgamma(k + 1)
-    u = k / math.sqrt(n)
-    v = _get_v(u)
-    decay = math.exp(-v)
-    log_f = math.log(v / (math.pi * u * math.sqrt(8))) - 0.5 * math.log1p(-decay * (1 + u * u / 2))
-    growth = 2 * v / u - u * math.log1p(-decay)
-    return log_f + math.sqrt(n) * growth - math.log(n)
+    return float(log_q_values(np.array([n]), np.array([k]))[0])
 
 
 @F.pandas_udf(T.DoubleType())
 def log_q(n: pd.Series, k: pd.Series) -> pd.Series:
-    """The full ln q(n, k); iterative, so Arrow batches it, and each different pair is computed once."""
-    pairs = pd.DataFrame({"n": n.to_numpy(np.int64), "k": k.to_numpy(np.int64)})
-    keys = pairs.drop_duplicates()
-    keys["q"] = [log_q_value(int(a), int(b)) for a, b in zip(keys["n"], keys["k"], strict=True)]
-    return pairs.merge(keys, on=["n", "k"], how="left")["q"]
+    """The full ln q(n, k); a root search, so Arrow batches it, and each different pair is computed once."""
+    pairs, back = np.unique(np.stack([n.to_numpy(np.int64), k.to_numpy(np.int64)]), axis=1, return_inverse=True)
+    return pd.Series(log_q_values(pairs[0], pairs[1])[back.ravel()])

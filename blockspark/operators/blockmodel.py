@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathx import cell_entropy, lbinom, lgamma, log_q, safe_log
@@ -83,10 +83,28 @@ def one_block(assign: DataFrame) -> DataFrame:
 
 
 def mdl(edges: DataFrame, assign: DataFrame, parametric: bool = False, directed: bool = True) -> DataFrame:
-    """One row (mdl) of a partition; unlabelled vertices and their edges don't count."""
+    """One row (mdl) of a partition; unlabelled vertices and their edges don't count.
+
+    Directed, the block matrix is made once: each cell gives its own term and its weight to the blocks at its two ends.
+    """
     bm = block_matrix(edges, assign)
-    blocks = block_table(bm, assign)
-    return mdl_parametric(bm, blocks) if parametric else mdl_nonparametric(bm, blocks, directed)
+    if not directed:
+        return mdl_nonparametric(bm, block_table(bm, assign), directed)
+    term, zero = (-_xlogx(F.col("m")) if parametric else -lgamma(F.col("m") + 1)), F.lit(0.0)
+    ends = F.array(F.struct(F.col("r").alias("b"), F.col("m").alias("o"), zero.alias("i"), term.alias("x")), F.struct(F.col("s").alias("b"), zero.alias("o"), F.col("m").alias("i"), zero.alias("x")))
+    own = bm.select(F.explode(ends).alias("e")).groupBy("e.b").agg(F.sum("e.o").alias("o"), F.sum("e.i").alias("i"), F.sum("e.x").alias("x"))
+    y = assign.groupBy("b").agg(F.count("*").alias("n")).join(own, "b", "left").fillna(0.0)
+    block = _xlogx(F.col("o")) + _xlogx(F.col("i")) if parametric else (F.col("o") + F.col("i")) * safe_log(F.col("n")) - lgamma(F.col("n") + 1)
+    t = y.agg(F.sum("o").alias("e"), F.sum("n").alias("v"), F.count("*").alias("b"), (F.sum("x") + F.sum(block)).alias("sum"))
+    e, v, b = F.col("e"), F.col("v"), F.col("b")
+    if parametric:
+        q = b * b / e
+        return t.select((e * ((1 + q) * F.log(1 + q) - q * F.log(q)) + v * F.log(b) + F.col("sum")).alias("mdl"))
+    return t.select((F.col("sum") + lbinom(v - 1, b - 1) + lgamma(v + 1) + F.log(v) + lbinom((b * b).cast("double") + e - 1, e)).alias("mdl"))
+
+
+def _xlogx(x: Column) -> Column:
+    return F.when(x > 0, x * F.log(x)).otherwise(0.0)
 
 
 def mdl_null(edges: DataFrame, assign: DataFrame, parametric: bool = False) -> DataFrame:
@@ -131,11 +149,11 @@ def _approx(n, k):
 
 
 def relabel(assign: DataFrame) -> DataFrame:
-    """(v, b): blocks numbered 0, 1, ... in order; empty numbers vanish.  The blocks themselves are ranked, not the vertices."""
-    from pyspark.sql import Window
+    """(v, b): blocks numbered 0, 1, ... in order; empty numbers vanish.  No task holds all blocks."""
+    from .graph import global_rank
 
-    dense = assign.select("b").distinct().withColumn("new", (F.row_number().over(Window.orderBy("b")) - 1).cast("long"))
-    return assign.join(dense, "b").select("v", F.col("new").alias("b"))
+    dense = global_rank(assign.select("b").distinct(), [F.asc("b")], "new")
+    return assign.join(dense, "b").select("v", (F.col("new") - 1).cast("long").alias("b"))
 
 
 def validate(edges: DataFrame, assign: DataFrame, bm: DataFrame) -> DataFrame:

@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job in the folder named by spark.checkpoint.dir (a temporary one where none is set)."""
+    """Cut the lineage of an iterative job in the folder named by spark.checkpoint.dir.
+
+    A temporary folder is used only where that is unset and all runs on this machine (tests); else it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint()
 
 
@@ -111,10 +117,12 @@ def triangles(pairs: DataFrame) -> DataFrame:
 
     Edges point from lower to higher (degree, id), so no vertex has more than sqrt(2E) of them and a hub doesn't square.
     """
-    deg = neighbors(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("w"))).groupBy("v").agg(F.count("*").alias("d"))
+    pairs = checkpoint(pairs.select("u", "v"))
+    deg = pairs.select(F.explode(F.array("u", "v")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
     e = pairs.join(deg.select(F.col("v").alias("u"), F.col("d").alias("du")), "u").join(deg.select("v", F.col("d").alias("dv")), "v")
     up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
     e = e.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b"))
+    e = checkpoint(e)
     wedge = e.join(e.select("a", F.col("b").alias("c")), "a").where("b <> c")
     return wedge.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).select("a", "b", "c")
 
@@ -123,14 +131,20 @@ def rank(order: list[Column], *partition: str) -> Column:
     return F.row_number().over((Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*order))
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank", buckets: int | None = None) -> DataFrame:
-    """df with its 1-based place in the total order, without one task holding all rows.
+def range_parts(df: DataFrame, order: list[Column], amount: Column, buckets: int | None = None) -> DataFrame:
+    """df in consecutive ranges of the order, with the range (_part) and the sum of ``amount`` over all ranges before it (_before).
 
-    A range partitioning sorts the rows into consecutive partitions; each counts its rows, and a running sum over the partitions (one
-    row each) gives every partition its first rank.  The order must be total.
+    A range partitioning sorts the rows into consecutive partitions; each sums its rows, and a running sum over the partitions (one row
+    each) gives every partition its start.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = checkpoint(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    first = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    return part.join(F.broadcast(first), "_part").withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_first")).drop("_part", "_first")
+    sums = part.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    before = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return part.join(F.broadcast(before), "_part")  # a row a partition
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank", buckets: int | None = None) -> DataFrame:
+    """df with its 1-based place in the total order, without one task holding all rows.  The order must be total."""
+    part = range_parts(df, order, F.lit(1), buckets)
+    return part.withColumn(name, (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")).cast("long")).drop("_part", "_before")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,18 +11,30 @@ from .blockmodel import block_matrix, edge_blocks
 from .graph import degrees, with_totals
 
 
+def flows(edges: DataFrame, assign: DataFrame) -> DataFrame:
+    """(b, k_out, k_in, internal) of every block that an edge touches, and of null, the unlabelled vertices: sum(k_out) is all weight.
+
+    Edges are read once: they are summed to pairs of blocks, and each pair counts for the blocks at its two ends.
+    """
+    a = assign.select(F.col("v").alias("src"), F.col("b").alias("r"))
+    b = assign.select(F.col("v").alias("dst"), F.col("b").alias("s"))
+    pairs = edges.join(a, "src", "left").join(b, "dst", "left").groupBy("r", "s").agg(F.sum("w").alias("m"))
+    zero, inner = F.lit(0.0), F.when(F.col("r") == F.col("s"), F.col("m")).otherwise(0.0)
+    ends = F.array(F.struct(F.col("r").alias("b"), F.col("m").alias("o"), zero.alias("i"), inner.alias("x")), F.struct(F.col("s").alias("b"), zero.alias("o"), F.col("m").alias("i"), zero.alias("x")))
+    return pairs.select(F.explode(ends).alias("e")).groupBy("e.b").agg(F.sum("e.o").alias("k_out"), F.sum("e.i").alias("k_in"), F.sum("e.x").alias("internal"))
+
+
 def communities(edges: DataFrame, assign: DataFrame) -> DataFrame:
     """(b, n, k_out, k_in, internal) of every block; degrees count edges to unlabelled vertices too."""
-    d = assign.join(degrees(edges), "v", "left").groupBy("b").agg(F.count("*").alias("n"), F.coalesce(F.sum("k_out"), F.lit(0.0)).alias("k_out"), F.coalesce(F.sum("k_in"), F.lit(0.0)).alias("k_in"))
-    inner = edge_blocks(edges, assign).where("r = s").groupBy(F.col("r").alias("b")).agg(F.sum("w").alias("internal"))
-    return d.join(inner, "b", "left").select("b", "n", "k_out", "k_in", F.coalesce("internal", F.lit(0.0)).alias("internal"))
+    sizes, zero = assign.groupBy("b").agg(F.count("*").alias("n")), F.lit(0.0)
+    return sizes.join(flows(edges, assign), "b", "left").select("b", "n", *[F.coalesce(c, zero).alias(c) for c in ("k_out", "k_in", "internal")])
 
 
 def modularity(edges: DataFrame, assign: DataFrame) -> DataFrame:
     """One row (modularity): directed and weighted; 0 without edges."""
-    m = edges.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("m"))
-    term = F.col("internal") / F.col("m") - F.col("k_out") / F.col("m") * (F.col("k_in") / F.col("m"))
-    return with_totals(communities(edges, assign), m).agg(F.coalesce(F.sum(F.when(F.col("m") > 0, term)), F.lit(0.0)).alias("modularity"))
+    own = F.col("b").isNotNull()
+    x = flows(edges, assign).agg(F.sum("k_out").alias("m"), F.sum(F.when(own, F.col("internal"))).alias("inside"), F.sum(F.when(own, F.col("k_out") * F.col("k_in"))).alias("chance"))
+    return x.select(F.when(F.col("m") > 0, F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.coalesce("chance", F.lit(0.0)) / (F.col("m") * F.col("m"))).otherwise(0.0).alias("modularity"))
 
 
 def modularity_unweighted(edges: DataFrame, assign: DataFrame) -> DataFrame:
@@ -103,45 +116,50 @@ def agreement(predicted: DataFrame, truth: DataFrame, vertices: int | Column | N
     return x.select(*[F.when(F.col("total").isNotNull(), c).alias(k) for k, c in ({"precision": F.col("precision"), "recall": F.col("recall")} | out).items()])
 
 
+#: Cells of a contingency table that the driver matches (a square of this many blocks is 8 MB).
+MATCH_BLOCKS = 1024
+
+
 def matching_accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """One row (accuracy): vertices on the diagonal after the best one-to-one matching of blocks.
 
-    The contingency table, blocks by blocks whatever the graph's size, is matched on the driver by successive shortest paths.
+    The contingency table is matched on the driver by shortest augmenting paths; more than MATCH_BLOCKS blocks are an error.
     """
-    cells = contingency(predicted, truth).select("p", "t", "n").collect()
-    ps, ts = sorted({c["p"] for c in cells}), sorted({c["t"] for c in cells})
-    size = max(len(ps), len(ts))
-    cost = [[0] * size for _ in range(size)]
-    for c in cells:
-        cost[ps.index(c["p"])][ts.index(c["t"])] = -c["n"]
-    total = sum(c["n"] for c in cells)
-    spark = predicted.sparkSession
-    return spark.createDataFrame([(-assignment_cost(cost) / total if total else None,)], "accuracy double")
-
-
-def assignment_cost(cost: list[list[float]]) -> float:
+    table = contingency(predicted, truth).select("p", "t", "n")
+    cells = table.limit(MATCH_BLOCKS * MATCH_BLOCKS + 1).toPandas()
+    p, t = (np.unique(cells[c].to_numpy(), return_inverse=True) for c in ("p", "t"))
+    size = max(len(p[0]), len(t[0]))
+    if size > MATCH_BLOCKS:
+        raise ValueError(f"a matching of {size} blocks; at most {MATCH_BLOCKS} are matched")
+    cost = np.zeros((size, size))
+    cost[p[1], t[1]] = -cells["n"].to_numpy(float)
+    total = float(cells["n"].sum())
+    return predicted.sparkSession.createDataFrame([(-assignment_cost(cost) / total if total else None,)], "accuracy double")
+
+
+def assignment_cost(cost) -> float:
     """The least total of a one-to-one assignment of a square matrix, by shortest augmenting paths with potentials."""
+    cost = np.asarray(cost, float)
     n = len(cost)
-    row_potential, col_potential, owner = [0.0] * n, [0.0] * (n + 1), [-1] * (n + 1)
+    row_p, col_p, owner = np.zeros(n), np.zeros(n + 1), np.full(n + 1, -1)
     for row in range(n):
         owner[n], col = row, n
-        best, via, used = [float("inf")] * n, [n] * n, set()
+        best, via, free = np.full(n, np.inf), np.full(n, n), np.ones(n, bool)
+        seen = []
         while owner[col] >= 0:
-            used.add(col)
+            seen.append(col)
+            if col < n:
+                free[col] = False
             r = owner[col]
-            free = [c for c in range(n) if c not in used]
-            for c in free:
-                reduced = cost[r][c] - row_potential[r] - col_potential[c]
-                if reduced < best[c]:
-                    best[c], via[c] = reduced, col
-            nearest = min(free, key=best.__getitem__)
+            reduced = cost[r] - row_p[r] - col_p[:n]
+            closer = free & (reduced < best)
+            best[closer], via[closer] = reduced[closer], col
+            nearest = int(np.argmin(np.where(free, best, np.inf)))
             step = best[nearest]
-            for c in used:
-                row_potential[owner[c]] += step
-                col_potential[c] -= step
-            for c in free:
-                best[c] -= step
+            row_p[owner[seen]] += step
+            col_p[seen] -= step
+            best[free] -= step
             col = nearest
         while col != n:
             owner[col], col = owner[via[col]], via[col]
-    return sum(cost[owner[c]][c] for c in range(n))
+    return float(sum(cost[owner[c]][c] for c in range(n)))

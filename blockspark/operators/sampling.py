@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import hash_uniform
-from .graph import checkpoint, global_rank, neighbors, vertex_degree
+from .graph import checkpoint, global_rank, neighbors, range_parts, vertex_degree
 
 
 def degree_product_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -98,6 +98,34 @@ def expansion_snowball(edges: DataFrame, vertices: DataFrame, share: float, seed
     return found
 
 
+def degree_product_snowball(edges: DataFrame, vertices: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """(v): as snowball, each round adding the ends of the best half of the frontier's edges by the product of their ends' degrees."""
+    target = int(vertices.count() * share)
+    d = checkpoint(vertex_degree(edges, vertices))
+    nbr = neighbors(edges).where("v <> nbr").select("v", "nbr").distinct()
+    at = lambda key, name: d.select(F.col("v").alias(key), F.col("degree").alias(name))
+    nbr = checkpoint(nbr.join(at("v", "p"), "v").join(at("nbr", "q"), "nbr").select("v", "nbr", (F.col("p") * F.col("q")).alias("product")))
+    order = vertices.withColumn("u", hash_uniform(seed, F.col("v")))
+    found = checkpoint(order.orderBy("u", "v").limit(min(1, target)).select("v"))
+    have, seeds = found.count(), 1
+    while have < target:
+        front = found.join(nbr, "v").groupBy(F.col("nbr").alias("v")).agg(F.max("product").alias("product")).join(found, "v", "left_anti")
+        front = checkpoint(front)
+        n = front.count()
+        if n:
+            new = front.orderBy(F.desc("product"), "v").limit(min(target - have, (n + 1) // 2)).select("v")
+        else:
+            new = order.join(found, "v", "left_anti").orderBy("u", "v").limit(min(target - have, seeds)).select("v")
+            seeds *= 2
+        new = checkpoint(new)
+        got = new.count()
+        if not got:
+            break
+        have += got
+        found = checkpoint(found.union(new))
+    return found
+
+
 def majority_round(edges: DataFrame, assign: DataFrame, vertices: DataFrame) -> DataFrame:
     """(v, b) of unassigned vertices with an assigned neighbour: the block with most weight to it, the smallest of equals."""
     near = neighbors(edges).where("v <> nbr").join(vertices, "v", "left_semi").join(assign, "v", "left_anti")
@@ -135,10 +163,11 @@ def serpentine(ranked: DataFrame, threads: int) -> DataFrame:
 
 def contiguous(loads: DataFrame, order: str, load: str, threads: int) -> DataFrame:
     """loads with ``thread``: consecutive rows share a thread while their running load is within its share of the total."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum(load).over(Window.partitionBy(F.lit(0)))
-    before = F.coalesce(F.sum(load).over(w), F.lit(0))
-    return loads.withColumn("thread", F.least(F.floor(before * threads / total), F.lit(threads - 1)).cast("long"))
+    parts = range_parts(loads, [F.asc(order)], F.col(load))
+    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum(load).over(w), F.lit(0))
+    out = parts.crossJoin(F.broadcast(loads.agg(F.sum(load).alias("_total"))))
+    return out.withColumn("thread", F.least(F.floor(before * threads / F.col("_total")), F.lit(threads - 1)).cast("long")).drop("_part", "_before", "_total")
 
 
 def early_stop(profile: DataFrame, threshold: float, run: str = "run", iteration: str = "iteration", delta: str = "delta", start: str = "start_mdl") -> DataFrame:

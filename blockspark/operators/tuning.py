@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mathx import hash_uniform
+from ..functions.mathx import hash_uniform, log_q_approx
 from .graph import with_totals
 
 # fixed values: other names of measurement columns
@@ -224,3 +224,30 @@ def farthest_points(df: DataFrame, key: str, columns: list[str], count: int) ->
         p = dist([best[0][c] for c in columns])
         state = checkpoint(state.where(F.col(key) != best[0][key]).withColumn("near", p if place == 1 else F.least("near", p)))
     return df.sparkSession.createDataFrame(chosen, f"{key} {dict(df.dtypes)[key]}, place int")
+
+
+def assemble_sweep(edges: DataFrame, parts: DataFrame, runs: DataFrame) -> DataFrame:
+    """(graph, config, run, modularity, conductance, inverse_hnorm, teps) of every run of a sweep, all in one job.
+
+    edges(graph, src, dst, w), parts(graph, config, run, v, b) and runs(graph, config, run, runtime in seconds); teps is thousands of
+    edge rows a second.  Edges meet each run's labels; what leaves the joins is a row for each pair of blocks.
+    """
+    keys = ["graph", "config", "run"]
+    a, b = parts.select(*keys, F.col("v").alias("src"), F.col("b").alias("r")), parts.select(*keys, F.col("v").alias("dst"), F.col("b").alias("s"))
+    pairs = edges.join(a, ["graph", "src"]).join(b, [*keys, "dst"], "left").groupBy(*keys, "r", "s").agg(F.sum("w").alias("m"))
+    zero = F.lit(0.0)
+    ends = F.array(F.struct(F.col("r").alias("b"), F.col("m").alias("o"), zero.alias("i"), F.when(F.col("r") == F.col("s"), F.col("m")).otherwise(zero).alias("x")), F.struct(F.col("s").alias("b"), zero.alias("o"), F.col("m").alias("i"), zero.alias("x")))
+    flows = pairs.select(*keys, F.explode(ends).alias("e")).groupBy(*keys, "e.b").agg(F.sum("e.o").alias("k_out"), F.sum("e.i").alias("k_in"), F.sum("e.x").alias("internal"))
+    c = parts.groupBy(*keys, "b").agg(F.count("*").alias("n")).join(flows, [*keys, "b"], "left").fillna(0.0)
+    totals = edges.groupBy("graph").agg(F.sum("w").alias("m"), F.count("*").alias("e"))
+    c = c.join(totals, "graph")
+    q = c.groupBy(*keys).agg(
+        F.sum(F.col("internal") / F.col("m") - F.col("k_out") / F.col("m") * (F.col("k_in") / F.col("m"))).alias("modularity"),
+        F.avg(F.when(F.col("k_out") > 0, (F.col("k_out") - F.col("internal")) / F.col("k_out")).otherwise(0.0)).alias("conductance"),
+        F.sum(log_q_approx(F.floor("internal"), F.col("n"))).alias("parts"),
+        F.sum("n").alias("v"),
+        F.first("m").alias("m"),
+        F.first("e").alias("e"),
+    )
+    base = log_q_approx(F.floor("m"), F.col("v"))
+    return q.join(runs, keys, "left").select(*keys, "modularity", "conductance", F.when(base == 0, 0.0).otherwise(1 - F.col("parts") / base).alias("inverse_hnorm"), (F.col("e") / F.col("runtime") / 1000).alias("teps"))

@@ -78,6 +78,12 @@ def islands(t):
     return g.islands(t.g_cs(), t.v_cs())
 
 
+# the same graph without its light edges, which leaves many vertices alone
+@query(sql("select v from v_cs where v not in (select src from g_cs where w > 2 union select dst from g_cs where w > 2)", "g_cs", "v_cs"))
+def islands_of_heavy_edges(t):
+    return g.islands(t.g_cs().where("w > 2"), t.v_cs())
+
+
 @query(sql("select src as v, dst as nbr, w from g_nn union all select dst, src, w from g_nn", "g_nn"))
 def neighbors(t):
     return g.neighbors(t.g_nn())
@@ -392,6 +398,13 @@ def blockmodel_validate(t):
     return bmod.validate(t.g_cs(), a, bm)
 
 
+# cells that a deliberately wrong matrix (the diagonal and every seventh row off by one) has otherwise
+@query(sql("select r, s, m from bm where r = s or r % 7 = 0 union all select r, s, m + 1 from bm where r = s or r % 7 = 0", "g_cs", "p_split", extra=_model("p_split")))
+def blockmodel_validate_wrong(t):
+    a, bm, _ = _on(t)
+    return bmod.validate(t.g_cs(), a, bm.withColumn("m", F.col("m") + F.when(F.expr("r = s or r % 7 = 0"), 1.0).otherwise(0.0)))
+
+
 # --- changes of the description length ---------------------------------------------------------------------------------------------
 
 _NM = "bm as (select a.b as r, c.b as s, sum(w) as m from g_nn join p_nn a on a.v = src join p_nn c on c.v = dst group by 1, 2), bl as (select x.b, x.n, coalesce(o.d, 0.0) as d_out, coalesce(i.d, 0.0) as d_in from (select b, count(*) as n from p_nn group by b) x left join (select r, sum(m) as d from bm group by r) o on o.r = x.b left join (select s, sum(m) as d from bm group by s) i on i.s = x.b)"
@@ -456,6 +469,43 @@ def delta_mdl_vertex_moves(t):
     return dl.move_delta(t.g_nn(), a, bm, blocks, moves)
 
 
+_PARAMETRIC_MOVES = (
+    'ox as (select mover, "to", r, sum(m) as d from mm group by all), ix as (select mover, "to", s, sum(m) as d from mm group by all), '
+    'lx as (select mm.mover, mm."to", sum(m * (ln(m) - ln(ox.d) - ln(ix.d))) as lp from mm join ox using (mover, "to", r) join ix using (mover, "to", s) group by all), '
+    'nx as (select mover, "to", cast(count(distinct b) as double) as nb, count(*) as v from pa group by all), ex as (select sum(m) as e from bm), '
+    'b0 as (select sum(m * (ln(m) - ln(o.d_out) - ln(i.d_in))) as lp from bm join bl o on o.b = r join bl i on i.b = s), z0 as (select cast(count(*) as double) as nb, sum(n) as v from bl), '
+)
+
+
+def _term(b: str) -> str:
+    return f"(e * ((1 + {b} * {b} / e) * ln(1 + {b} * {b} / e) - {b} * {b} / e * ln({b} * {b} / e)) + z0.v * ln({b}))"
+
+
+@query(sql('select lx.mover as v, lx."to", round(b0.lp - lx.lp + ' + _term("nx.nb") + " - " + _term("z0.nb") + ', 4) as delta from lx join nx using (mover, "to"), ex, b0, z0', "g_nn", "p_nn", extra=(_NM + ", " + _MOVES + _PARAMETRIC_MOVES).rstrip(", ")), 4)
+def delta_mdl_vertex_moves_parametric(t):
+    a, bm, blocks, _ = _nn(t)
+    moves = a.select("v").crossJoin(F.broadcast(blocks.select(F.col("b").alias("to"))))  # blocks: regions
+    return dl.move_delta(t.g_nn(), a, bm, blocks, moves, parametric=True)
+
+
+#: The state after every move is made anew; nothing is shared with the batched correction.
+_HASTINGS = (
+    'ne as (select x.v, p_nn.b as t, count(*) as c from (select src as v, dst as nbr from g_nn where src <> dst union all select dst, src from g_nn where src <> dst) x join p_nn on p_nn.v = nbr group by all), '
+    "dg as (select bl.b, d_out + d_in - coalesce(m, 0) as d from bl left join bm on r = b and s = b), nb as (select count(*) as k from bl), "
+    'fo as (select mv.v, mv."to", sum(c * (coalesce(x.m, 0) + coalesce(y.m, 0) + 1) / (dg.d + k)) as p from mv join ne on ne.v = mv.v join dg on dg.b = t left join bm x on x.r = mv."to" and x.s = t left join bm y on y.r = t and y.s = mv."to", nb group by all), '
+    'da as (select mover, "to", b, sum(m) as d from (select mover, "to", r as b, m from mm union all select mover, "to", s, m from mm where r <> s) group by all), '
+    'ba as (select mv.v, mv."to", sum(c * (coalesce(x.m, 0) + coalesce(y.m, 0) + 1) / (coalesce(da.d, 0) + k)) as p from mv join p_nn on p_nn.v = mv.v join ne on ne.v = mv.v left join da on da.mover = mv.v and da."to" = mv."to" and da.b = t '
+    'left join mm x on x.mover = mv.v and x."to" = mv."to" and x.r = p_nn.b and x.s = t left join mm y on y.mover = mv.v and y."to" = mv."to" and y.r = t and y.s = p_nn.b, nb group by all), '
+)
+
+
+@query(sql('select v, "to", round(ba.p / fo.p, 6) as correction from ba join fo using (v, "to")', "g_nn", "p_nn", extra=(_NM + ", " + _MOVES.replace("dg as", "dgm as").replace("join dg ", "join dgm ") + _HASTINGS).rstrip(", ")), 6)
+def hastings_correction(t):
+    a, bm, blocks, _ = _nn(t)
+    moves = a.select("v").crossJoin(F.broadcast(blocks.select(F.col("b").alias("to"))))  # blocks: regions
+    return dl.hastings(t.g_nn(), a, bm, blocks, moves)
+
+
 def _u_sql(x: str) -> str:
     return f"(cast('0x' || substr(md5({x}), 1, 8) as bigint) / 4294967296.0)"
 
@@ -528,6 +578,11 @@ def sample_random(t):
     return sm.sample_random(t.v_cs(), 0.2, 3)
 
 
+@query(sql("select v from vr where first <= (select first from vr where place = (select floor(count(*) * 0.3) from v_cs))", "g_cs", "v_cs", extra=_EP + ", er as (select src, dst, row_number() over (order by product desc, src, dst) as k from ep), vf as (select v, min(k) as first from (select src as v, k from er union all select dst, k from er) group by v), vr as (select v, first, row_number() over (order by first, v) as place from vf)"))
+def sample_degree_product(t):
+    return sm.high_influence_vertices(t.g_cs(), t.v_cs(), 0.3)
+
+
 _KNOWN = "kn as (select v, b from p_nation where v % 3 = 0), vo as (select x.v, kn.b, sum(w) as w from (select src as v, dst as nbr, w from g_cs union all select dst, src, w from g_cs) x join kn on kn.v = nbr where x.v % 3 <> 0 and x.v <> nbr group by 1, 2)"
 
 
@@ -774,24 +829,53 @@ def farthest_points(t):
 # --- partitioning: stochastic, so checked by invariants and recovery ---------------------------------------------------------------
 
 
-def _small():
+def _search(run, t, **settings):
+    """The partition of the nation graph with the default configuration, but for ``settings``."""
     from .sbp import SbpConfig
 
-    return SbpConfig(proposals=4, max_sweeps=1, batches=1, algorithm="async", max_rounds=12)
+    return run(t.g_nn(), t.v_nn(), cfg=SbpConfig(**settings)).assign
 
 
 @query(None)
 def sbp_bottom_up(t):
     from .sbp import bottom_up
 
-    return bottom_up(t.g_nn(), t.v_nn(), _small()).assign
+    return _search(bottom_up, t)
 
 
 @query(None)
 def sbp_top_down(t):
     from .sbp import top_down
 
-    return top_down(t.g_nn(), t.v_nn(), _small()).assign
+    return _search(top_down, t)
+
+
+@query(None)
+def sbp_top_down_mix(t):
+    from .sbp import top_down
+
+    return _search(top_down, t, mix=True, split="snowball", seeds="degree_weighted")
+
+
+@query(None)
+def sbp_async_parametric(t):
+    from .sbp import bottom_up
+
+    return _search(bottom_up, t, algorithm="async", parametric=True)
+
+
+@query(None)
+def sbp_sampled(t):
+    from .sbp import sampled
+
+    return _search(sampled, t)
+
+
+@query(None)
+def sbp_dnc(t):
+    from .sbp import divide_and_conquer
+
+    return _search(divide_and_conquer, t)
 
 
 @query(None)
@@ -799,15 +883,15 @@ def sbp_split_scores(t):
     from .sbp import SbpConfig, split_scores, split_sides
 
     a = t.p_nn()
-    return split_scores(t.g_nn(), a, split_sides(t.g_nn(), a, SbpConfig(proposals=4), "q"))
+    return split_scores(t.g_nn(), a, split_sides(t.g_nn(), a, SbpConfig(), "q"))
 
 
 @query(None)
 def sbp_merge_phase(t):
-    from .sbp import merge_phase
+    from .sbp import SbpConfig, merge_phase
 
     own = bmod.relabel(t.v_nn().select("v", F.col("v").alias("b")))
-    return merge_phase(g.checkpoint(t.g_nn()), g.checkpoint(own), 5, _small(), "q")
+    return merge_phase(t.g_nn(), own, 5, SbpConfig(), "q")
 
 
 @query(None)
@@ -833,3 +917,64 @@ def train_recommend(t):
     fit = d.join(parts, "graph")
     m = model.train(fit.where("part = 'train'"), ["alpha", "size", "config"], [], trees=10, depth=4)
     return tu.by_alpha(tu.evaluate(tu.ranked(model.predict(m, fit.where("part = 'test'"), ["alpha", "size", "config"]), "prediction")))
+
+
+_RB_ALL = _RB.replace("range(10)", "range(100)")
+
+
+@query(sql(f"select alpha, {_EVA}, count(*) as pairs from ev group by alpha", "m_raw", extra=_evaluated(_RB_ALL)), 6)
+def random_baseline_all(t):
+    return tu.random_baseline(_utility(t), 100, 7)
+
+
+_LOGS = "lg as (select o_orderkey, 'iteration 1\nRuntime (s) = ' || o_custkey || '\niteration ' || (o_orderkey % 97) || case when o_orderkey % 3 = 0 then '\nTotal runtime: ' || (o_orderkey % 1000) || '.5' else '' end || '\nRuntime: ' || (o_custkey + 1) as text from orders)"
+
+
+@query("with " + _LOGS + " select o_orderkey, case when o_orderkey % 3 = 0 then (o_orderkey % 1000) + 0.5 else cast(o_custkey + 1 as double) end as runtime, o_orderkey % 97 as iterations from lg join orders using (o_orderkey)")
+def log_scrape(t):
+    from ..sources.readers import log_metrics
+
+    total = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("\nTotal runtime: "), F.col("o_orderkey") % 1000, F.lit(".5"))).otherwise("")
+    text = F.concat(F.lit("iteration 1\nRuntime (s) = "), "o_custkey", F.lit("\niteration "), F.col("o_orderkey") % 97, total, F.lit("\nRuntime: "), F.col("o_custkey") + 1)
+    return log_metrics(t.orders.select("o_orderkey", text.alias("text"))).select("o_orderkey", "runtime", "iterations")
+
+
+@query("select c_nationkey as path, row_number() over (partition by c_nationkey order by c_custkey) - 1 as v, c_custkey as b from customer")
+def json_results_explode(t):
+    from ..sources.readers import result_partition
+
+    lists = t.customer.groupBy(F.col("c_nationkey").alias("path")).agg(F.sort_array(F.collect_list("c_custkey")).alias("x"))
+    docs = lists.select("path", F.concat(F.lit('{"Runtime (s)": 1.5, "Results": '), F.to_json("x"), F.lit("}")).alias("document"))
+    return result_partition(docs)
+
+
+_SWEEP = (
+    "cf as (select c as config, r as run from range(2, 6) t(c), range(1, 4) u(r)), pt as (select config, run, v, (v + run) % config as b from v_nn, cf), "
+    "fl as (select config, run, x.b as r, y.b as s, sum(w) as m from g_nn join pt x on x.v = src join pt y using (config, run) where y.v = dst group by all), "
+    "cm as (select p.config, p.run, p.b, p.n, coalesce(o.k, 0.0) as k_out, coalesce(i.k, 0.0) as k_in, coalesce(z.m, 0.0) as internal from (select config, run, b, count(*) as n from pt group by all) p left join (select config, run, r as b, sum(m) as k from fl group by all) o using (config, run, b) left join (select config, run, s as b, sum(m) as k from fl group by all) i using (config, run, b) left join (select config, run, r as b, m from fl where r = s) z using (config, run, b)), "
+    "tm as (select sum(w) as m, count(*) as e from g_nn)"
+)
+
+
+@query(sql("select 'nations' as graph, config, run, round(sum(internal / m - k_out / m * (k_in / m)), 6) as modularity, round(avg(case when k_out > 0 then (k_out - internal) / k_out else 0.0 end), 6) as conductance, round(1 - sum(" + lq("floor(internal)", "n") + ") / " + lq("floor(any_value(m))", "sum(n)") + ", 6) as inverse_hnorm, round(any_value(e) / (config * 0.5 + run) / 1000, 6) as teps from cm, tm group by config, run", "g_nn", "v_nn", extra=_SWEEP), 6)
+def sweep_measurements(t):
+    configs = t.spark.range(2, 6).select(F.col("id").alias("config")).crossJoin(F.broadcast(t.spark.range(1, 4).select(F.col("id").alias("run")))).withColumn("graph", F.lit("nations"))  # twelve rows
+    parts = t.v_nn().crossJoin(F.broadcast(configs)).withColumn("b", (F.col("v") + F.col("run")) % F.col("config"))
+    return tu.assemble_sweep(t.g_nn().withColumn("graph", F.lit("nations")), parts, configs.withColumn("runtime", F.col("config") * 0.5 + F.col("run")))
+
+
+@query(None)
+def recommend(t):
+    from ..operators import model
+
+    conf = t.part.groupBy(F.regexp_extract("p_brand", r"(\d+)\s*$", 1).cast("int").alias("config")).agg(F.avg("p_size").alias("size"))
+    graphs = t.measurements().groupBy("graph").agg(F.count("*").alias("rows"))
+    numeric = ["alpha", "size", "config", "rows"]
+    m = model.train(_utility(t).join(conf, "config").join(graphs, "graph"), numeric, [], trees=10, depth=4)
+    return model.recommend(m, graphs, conf, _ALPHAS, numeric)
+
+
+# the exact prior is a root search; tests compare it with counted partitions
+@query(None)
+def mdl_degree_corrected(t):
+    return rounded(bmod.mdl_degree_corrected(t.g_cs(), t.p_nation(25)), 4)

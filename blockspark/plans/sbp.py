@@ -1,16 +1,24 @@
 """Stochastic block partitioning as rounds of DataFrame jobs.
 
 A round proposes for all blocks (or all vertices of a batch) at once, scores every proposal exactly against the same state, accepts by
-the Metropolis rule with hash uniforms, applies the accepted ones together and makes the block matrix anew.  Batches are synchronous:
-trajectories differ from a sequential sweep's, the objective is the same, and the best state seen is the one returned.  The state (one
-row a vertex) stays distributed; the driver holds the bracket's numbers and lengths.
+the Metropolis rule with hash uniforms and applies the accepted ones together.  Batches are synchronous: trajectories differ from a
+sequential sweep's, the objective is the same, and the best state seen is the one returned.
+
+A block matrix of at most MODEL_CELLS cells (known beforehand from the numbers of edges and blocks) is handed to the tasks, which score a
+batch in one Arrow pass; a larger one stays a table and is joined.  So it is with the vertices' blocks: up to BROADCAST_VERTICES are
+handed to the tasks, more stay a table.  All ways draw the same proposals from the same uniforms and follow the same rules, so the
+result does not depend on which one is taken.  Edges are always rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import hash_uniform, lbinom, lgamma, safe_log
@@ -18,11 +26,12 @@ from ..operators import blockmodel as bmod
 from ..operators import delta as dl
 from ..operators import sampling as sm
 from ..operators.graph import checkpoint, connected_components, global_rank, induced, neighbors
+from .cells import Cells
 from .search import Bracket, Candidate, should_stop
 
-
-#: Up to as many blocks, merges are applied in order on the driver; beyond, all at once as components.
-DRIVER_BLOCKS = 4096
+#: The largest block matrix that tasks may hold (24 bytes a cell), and the largest assignment that is broadcast (16 bytes a vertex).
+MODEL_CELLS = 1 << 20
+BROADCAST_VERTICES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -34,13 +43,17 @@ class SbpConfig:
     batches: int = 2
     max_sweeps: int = 100
     beta: float = 3.0
-    mh_share: float = 0.1  # of the vertices, those on high-influence edges, are moved one batch after another
+    mh_share: float = 0.1  # of the vertices: those on high-influence edges are moved before the others
     algorithm: str = "hybrid"  # or async (all vertices in batches)
-    split: str = "connectivity"  # or random
+    split: str = "connectivity"  # or random, snowball, single_snowball
+    seeds: str = "random"  # of snowballs; or degree_weighted, high_degree
     min_split_share: float = 0.001
     max_rounds: int = 60
     mix: bool = False  # top-down: narrow the bracket by merges
+    exact_merges: bool = False  # score a merge anew once one of its blocks has changed
     parametric: bool = False
+    model_cells: int = MODEL_CELLS
+    broadcast_vertices: int = BROADCAST_VERTICES
 
 
 @dataclass
@@ -51,153 +64,467 @@ class Result:
     history: list[tuple[int, float]] = field(default_factory=list)
 
 
-def _state(edges: DataFrame, assign: DataFrame, cfg: SbpConfig):
-    bm = checkpoint(bmod.block_matrix(edges, assign))
-    blocks = bmod.block_table(bm, assign)
-    mdl = (bmod.mdl_parametric if cfg.parametric else bmod.mdl_nonparametric)(bm, blocks).first()["mdl"]
-    return bm, blocks, float(mdl)
+@dataclass
+class Graph:
+    """What stays the same in a search: edges, each vertex's neighbours, and the vertices with their turn (``high`` ones come first)."""
+
+    edges: DataFrame  # (src, dst, w)
+    near: DataFrame  # (v, nbr, o, i): weight to and from each neighbour; a loop once, as o of v itself
+    vertices: DataFrame  # (v, high)
+    n_edges: int
+    n_vertices: int
+    hybrid: bool
+    #: Of a graph whose vertices' blocks tasks hold: the vertices in order, and a row a vertex (at, v, high, [(at, o, i)]).
+    order: np.ndarray | None = None
+    rows: DataFrame | None = None
+
+    @staticmethod
+    def of(edges: DataFrame, vertices: DataFrame, cfg: SbpConfig) -> Graph:
+        edges = checkpoint(edges.groupBy("src", "dst").agg(F.sum(F.col("w").cast("double")).alias("w")))
+        vertices = checkpoint(vertices.select("v").distinct())
+        graph = Graph(edges, edges, vertices, edges.count(), vertices.count(), cfg.algorithm == "hybrid" and cfg.max_sweeps > 0)
+        if graph.hybrid:
+            high = sm.high_influence_vertices(edges, vertices, cfg.mh_share).select("v", F.lit(True).alias("high"))
+            vertices = vertices.join(high, "v", "left").select("v", F.coalesce("high", F.lit(False)).alias("high"))
+        else:
+            vertices = vertices.withColumn("high", F.lit(False))
+        end = lambda v, nbr, o, i: F.struct(F.col(v).alias("v"), F.col(nbr).alias("nbr"), o.alias("o"), i.alias("i"))
+        w, zero = F.col("w"), F.lit(0.0)
+        both = F.array(end("src", "dst", w, zero), end("dst", "src", zero, w))
+        ends = edges.select(F.explode(F.when(F.col("src") == F.col("dst"), F.slice(both, 1, 1)).otherwise(both)).alias("e")).select("e.*")
+        graph.vertices = checkpoint(vertices)
+        if graph.n_vertices <= cfg.broadcast_vertices:
+            graph.order = np.sort(graph.vertices.select("v").toArrow()["v"].to_numpy())
+            at = F.broadcast(edges.sparkSession.createDataFrame(pa.table({"nbr": graph.order, "at": np.arange(len(graph.order))})))
+            lists = ends.join(at, "nbr").groupBy("v").agg(F.collect_list(F.struct("at", "o", "i")).alias("near"))  # at most two a vertex
+            own = graph.vertices.join(at.withColumnRenamed("nbr", "v"), "v").join(lists, "v", "left")
+            none = F.expr("array()").cast("array<struct<at:bigint,o:double,i:double>>")
+            graph.rows = checkpoint(own.select("at", "v", "high", F.coalesce("near", none).alias("near")).coalesce(max(1, graph.n_edges >> 18)))
+        else:
+            graph.near = checkpoint(ends)
+        return graph
+
+    def assign(self, labels: np.ndarray) -> DataFrame:
+        """(v, b) of the blocks by vertex, in order."""
+        return self.edges.sparkSession.createDataFrame(pa.table({"v": self.order, "b": labels}))
+
+    def map(self, shared: object, run: Callable, schema: str) -> pa.Table:
+        """What run(the shared value, at, v, high, owner, near, o, i) gives for the vertices of each batch of rows."""
+        held = self.edges.sparkSession.sparkContext.broadcast(shared)
 
+        def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = batch.column("near")
+                owner = np.repeat(np.arange(len(near)), np.diff(near.offsets.to_numpy()))
+                to, o, i = (near.flatten().field(k).to_numpy() for k in range(3))
+                yield run(held.value, batch.column("at").to_numpy(), batch.column("v").to_numpy(), batch.column("high").to_numpy(zero_copy_only=False), owner, to, o, i)
 
-def _draw(df: DataFrame, keys: list[str], pick: str, weight: str, seed: str) -> DataFrame:
-    """One row of each group, drawn with probability in proportion to weight: the least exponential of rate weight."""
-    wait = -F.log(1 - hash_uniform(seed, *[F.col(k) for k in keys], F.col(pick))) / F.col(weight)
-    return df.groupBy(*keys).agg(F.min(F.struct(wait.alias("wait"), F.col(pick).alias("pick"))).alias("x")).select(*keys, F.col("x.pick").alias(pick))
+        return self.rows.mapInArrow(batches_of, schema).toArrow()
+
+
+@dataclass
+class State:
+    """An assignment with blocks 0 .. blocks - 1, as labels in the vertices' order or as a table (v, b), with its model and length."""
+
+    blocks: int
+    mdl: float
+    moved: int = 0
+    labels: np.ndarray | None = None
+    table_assign: DataFrame | None = None
+    cells: Cells | None = None  # else:
+    matrix: DataFrame | None = None  # (r, s, m)
+    table: DataFrame | None = None  # (b, n, d_out, d_in)
+
+    def assign(self, graph: Graph) -> DataFrame:
+        return graph.assign(self.labels) if self.labels is not None else self.table_assign.select("v", "b")
+
+
+def look(graph: Graph, assign: DataFrame | np.ndarray, blocks: int, cfg: SbpConfig) -> State:
+    """The state of labels or of assign(v, b[, moved]); one job if the matrix is surely small."""
+    fits = min(graph.n_edges, blocks * blocks) <= cfg.model_cells
+    if isinstance(assign, np.ndarray) and fits:
+
+        def partial(labels, at, v, high, owner, to, o, i):
+            key, where = np.unique(labels[at[owner]] * blocks + labels[to], return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(where, o, len(key)))], names=["key", "m"])
+
+        got = graph.map(assign, partial, "key long, m double")
+        key, where = np.unique(got["key"].to_numpy(), return_inverse=True)
+        m = np.bincount(where, got["m"].to_numpy(), len(key))
+        key, m = key[m != 0], m[m != 0]
+        cells = Cells(key // blocks, key % blocks, m, np.bincount(assign, minlength=blocks), cfg.parametric)
+        return State(blocks, cells.mdl(), labels=assign, cells=cells)
+    labels = assign if isinstance(assign, np.ndarray) else None
+    a = graph.assign(assign) if labels is not None else assign
+    matrix = bmod.block_matrix(graph.edges, a.select("v", "b"))
+    moved = 0 if labels is not None or "moved" not in a.columns else a.where("moved").count()
+    held = State(blocks, 0.0, moved, labels, None if labels is not None else a)
+    if fits:
+        sizes = a.groupBy("b").agg(F.count("*").cast("double").alias("n"))
+        got = matrix.select("r", "s", "m").union(sizes.select("b", F.lit(None).cast("long"), "n")).toArrow()
+        r, m, block = got["r"].to_numpy(), got["m"].to_numpy(), got["s"].is_null().to_numpy()
+        n = np.zeros(blocks, np.int64)
+        n[r[block]] = m[block]
+        held.cells = Cells(r[~block], got["s"].drop_null().to_numpy(), m[~block], n, cfg.parametric)
+        held.mdl = held.cells.mdl()
+        return held
+    held.matrix = checkpoint(matrix)
+    held.table = checkpoint(bmod.block_table(held.matrix, a))
+    held.mdl = float((bmod.mdl_parametric if cfg.parametric else bmod.mdl_nonparametric)(held.matrix, held.table).first()["mdl"])
+    return held
+
+
+def _lot(v, turn: int):
+    """The vertex of each block with the least lot stays where it is in this turn, so that no block is emptied."""
+    return ((v % 2147483648 + 7919 * turn % 65536) * 2654435761) % 4294967296
+
+
+def _stayers(v: np.ndarray, labels: np.ndarray, turn: int) -> np.ndarray:
+    """Whether each vertex is its block's stayer."""
+    order = np.lexsort((v, _lot(v, turn), labels))
+    first = np.concatenate([[True], np.diff(labels[order]) != 0])
+    out = np.zeros(len(v), bool)
+    out[order[first]] = True
+    return out
+
+
+def uniforms(seed: str, *keys: np.ndarray) -> np.ndarray:
+    """functions.mathx.hash_uniform of whole numbers."""
+    rows = zip(*(k.tolist() for k in keys), strict=True)
+    return np.array([int(hashlib.md5("|".join([seed, *map(str, r)]).encode()).hexdigest()[:8], 16) for r in rows], float) / 4294967296.0
+
+
+# --- proposals -----------------------------------------------------------------------------------------------------------------------
+
+
+def _draw(df: DataFrame, keys: list[str], pick: str, weight: str, x: str) -> DataFrame:
+    """One row of each group in proportion to weight: the first, by ``pick``, whose running weight passes x times the group's."""
+    whole = Window.partitionBy(*keys)
+    run = df.withColumn("__hi", F.sum(weight).over(whole.orderBy(pick))).withColumn("__all", F.sum(weight).over(whole))
+    return run.where((F.col("__hi") > F.col(x) * F.col("__all")) & (F.col("__hi") - F.col(weight) <= F.col(x) * F.col("__all"))).drop("__hi", "__all", weight)
 
 
 def _block_neighbors(bm: DataFrame) -> DataFrame:
-    """(u, b, w): weight between blocks u and b, both ways; the diagonal from row and column."""
-    return bm.select(F.explode(F.array(F.struct(F.col("r").alias("u"), F.col("s").alias("b"), "m"), F.struct(F.col("s").alias("u"), F.col("r").alias("b"), "m"))).alias("e")).groupBy("e.u", "e.b").agg(F.sum("e.m").alias("w"))
+    """(u, b, w): weight between blocks u and b, both ways; the diagonal once."""
+    both = F.array(F.struct(F.col("r").alias("u"), F.col("s").alias("b"), "m"), F.struct(F.col("s").alias("u"), F.col("r").alias("b"), "m"))
+    return bm.select(F.explode(F.when(F.col("r") == F.col("s"), F.slice(both, 1, 1)).otherwise(both)).alias("e")).groupBy("e.u", "e.b").agg(F.sum("e.m").alias("w"))
 
 
-def propose_merges(bm: DataFrame, blocks: DataFrame, cfg: SbpConfig, seed: str) -> DataFrame:
-    """(a, b): for each block up to ``proposals`` others, by a weighted neighbour and then one of its weighted neighbours."""
-    near = _block_neighbors(bm)
-    trials = blocks.select(F.col("b").alias("a")).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(cfg.proposals))))
-    first = _draw(trials.join(near.select(F.col("u").alias("a"), F.col("b").alias("u"), "w"), "a").where("u <> a"), ["a", "trial"], "u", "w", f"{seed}u")
-    second = _draw(first.join(near, "u").where("b <> a"), ["a", "trial"], "b", "w", f"{seed}b")
-    n = blocks.agg(F.count("*").alias("n"))  # blocks are numbered 0 .. n - 1
-    lone = trials.join(second, ["a", "trial"], "left_anti").crossJoin(F.broadcast(n)).select("a", F.floor(hash_uniform(f"{seed}k", F.col("a"), F.col("trial")) * F.col("n")).cast("long").alias("b")).where("a <> b")
-    return second.select("a", "b").union(lone).distinct()
+def _other(own: str, x: str, blocks: int) -> Column:
+    """A block that isn't ``own``, all alike; own itself if it is the only one."""
+    pick = F.floor(F.col(x) * (blocks - 1)).cast("long")
+    return F.when(F.lit(blocks > 1), pick + (pick >= F.col(own)).cast("long")).otherwise(F.col(own))
+
 
+def _trials(blocks: DataFrame, cfg: SbpConfig, seed: str) -> DataFrame:
+    """(a, trial, x1, x2, x3) from (b): the uniforms of every proposal."""
+    t = blocks.select(F.col("b").alias("a")).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(cfg.proposals))))
+    return t.select("a", "trial", *[hash_uniform(f"{seed}m{k}", F.col("a"), F.col("trial")).alias(f"x{k}") for k in (1, 2, 3)])
 
-def _merge_in_order(assign: DataFrame, best: DataFrame, merges: int) -> DataFrame:
-    """assign after the best merges, one after another; one whose two blocks are joined already is passed over.
 
-    For at most DRIVER_BLOCKS blocks, whatever the number of vertices.
+def propose_merges(bm: DataFrame, blocks: DataFrame, cfg: SbpConfig, seed: str, n: int | None = None) -> DataFrame:
+    """(a, b): for each block up to ``proposals`` others, by a weighted neighbour and then one of its weighted neighbours."""
+    n = blocks.count() if n is None else n
+    near, trials = _block_neighbors(bm), _trials(blocks, cfg, seed)
+    first = _draw(trials.join(near.select(F.col("u").alias("a"), F.col("b").alias("u"), "w"), "a").where("u <> a"), ["a", "trial"], "u", "w", "x1")
+    second = _draw(first.join(near, "u").where("b <> a"), ["a", "trial"], "b", "w", "x2").select("a", "trial", "b")
+    every = trials.join(second, ["a", "trial"], "left").select("a", F.coalesce("b", _other("a", "x3", n)).alias("b"))
+    return every.where("a <> b").distinct()
+
+
+def propose_moves(graph: Graph, state: State, movers: DataFrame) -> DataFrame:
+    """(v, was, to, x3): for each mover (v, was, x1, x2, x3) the block of a weighted neighbour's weighted neighbour block."""
+    near = _block_neighbors(state.matrix)
+    own = neighbors(graph.edges).where("v <> nbr").withColumnRenamed("w", "o").join(movers, "v").join(state.assign(graph).select(F.col("v").alias("nbr"), F.col("b").alias("u")), "nbr")
+    keys = ["v", "was", "x1", "x2", "x3"]
+    first = _draw(own.groupBy(*keys, "u").agg(F.sum("o").alias("w")), ["v"], "u", "w", "x1")
+    first = movers.join(first.select("v", "u"), "v", "left")
+    loops = graph.edges.where("src = dst").select(F.col("src").alias("v")).distinct().withColumn("loop", F.lit(True))
+    first = first.join(loops, "v", "left").withColumn("u", F.coalesce("u", F.when(F.col("loop"), F.col("was"))))
+    # running weights once a block; a mover meets the one neighbour in whose range its uniform falls
+    w = Window.partitionBy("u")
+    ranges = near.withColumn("hi", F.sum("w").over(w.orderBy("b"))).withColumn("all", F.sum("w").over(w))
+    t = F.col("x2") * F.col("all")
+    second = first.join(ranges, "u").where((t < F.col("hi")) & (t >= F.col("hi") - F.col("w"))).select("v", F.col("b").alias("to"))
+    every = first.join(second, "v", "left").withColumn("to", F.coalesce("to", _other("was", "x2", state.blocks)))
+    return every.select("v", "was", "to", "x3").where("to <> was")
+
+
+# --- merges --------------------------------------------------------------------------------------------------------------------------
+
+
+def _pairs_scored(graph: Graph, state: State, cfg: SbpConfig, seed: str) -> DataFrame:
+    """(a, b, delta): each block's best proposed merge; ties go to the smallest b."""
+    if state.cells is None:
+        score = dl.merge_delta_parametric if cfg.parametric else dl.merge_delta
+        return dl.best_merges(score(state.matrix, state.table, propose_merges(state.matrix, state.table, cfg, seed, state.blocks)))
+    spark = graph.edges.sparkSession
+    shared, trials = spark.sparkContext.broadcast(state.cells), np.arange(1, cfg.proposals + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            a, trial = np.repeat(own, len(trials)), np.tile(trials, len(own))
+            b = cells.propose_merges(a, *(uniforms(f"{seed}m{k}", a, trial) for k in (1, 2, 3)))
+            a, b = a[a != b], b[a != b]
+            d = cells.merge_deltas(a, b)
+            order = np.lexsort((b, d, a))
+            first = order[np.concatenate([[True], np.diff(a[order]) != 0])] if len(a) else order
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (a, b, d)], names=["a", "b", "delta"])
+
+    return spark.range(0, state.blocks, 1, max(1, state.blocks * cfg.proposals // 20000)).mapInArrow(run, "a long, b long, delta double")
+
+
+def forest(best: DataFrame, blocks: int) -> DataFrame:
+    """best(a, b, delta) without the last merge, in the order of (delta, a, b), of every cycle a -> b -> ... -> a.
+
+    Each block has one row at most, so a component has one cycle at most and what is left is what merging in order would not pass over.
+    Blocks on cycles are found by doubling the steps: after as many as there are blocks, all are on one.
     """
-    root: dict[int, int] = {}
+    jump = best.select("a", F.col("b").alias("to"))
+    for _ in range(max(1, int(blocks - 1).bit_length())):
+        jump = checkpoint(jump.join(jump.select(F.col("a").alias("to"), F.col("to").alias("far")), "to", "left").select("a", F.coalesce("far", "to").alias("to")))
+    ring = best.join(jump.select(F.col("to").alias("a")).distinct(), "a", "left_semi")
+    part = connected_components(ring.select(F.col("a").alias("src"), F.col("b").alias("dst")), ring.select(F.col("a").alias("v")))
+    last = ring.join(part, ring["a"] == part["v"]).groupBy("component").agg(F.max(F.struct("delta", "a", "b")).alias("x")).select("x.a")
+    return best.join(last, "a", "left_anti")
+
+
+def _roots_in_order(a: np.ndarray, b: np.ndarray, merges: int, blocks: int) -> np.ndarray:
+    """The least block that each block ends in after the first ``merges`` merges that join two different ones."""
+    root = np.arange(blocks)
 
     def find(x: int) -> int:
-        while x in root:
+        while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    rows = best.orderBy("delta", "a", "b").collect()
-    for r in rows:
+    for p, q in zip(a.tolist(), b.tolist(), strict=True):
         if not merges:
             break
-        a, b = sorted((find(r["a"]), find(r["b"])))
-        if a != b:
-            root[b] = a
+        lo, hi = sorted((find(p), find(q)))
+        if lo != hi:
+            root[hi] = lo
             merges -= 1
-    names = {r["a"] for r in rows}
-    new = {x: i for i, x in enumerate(sorted({find(x) for x in names}))}
-    table = assign.sparkSession.createDataFrame([(x, new[find(x)]) for x in names], "b long, new long")
-    return assign.join(F.broadcast(table), "b").select("v", F.col("new").alias("b"))  # at most DRIVER_BLOCKS rows
+    return np.array([find(x) for x in range(blocks)])
+
+
+def _roots(best: DataFrame, state: State, merges: int, cfg: SbpConfig) -> DataFrame | np.ndarray:
+    """The number of the block that each block becomes a part of after at most ``merges`` of the best merges: an array, or (b, root)."""
+    if cfg.exact_merges:
+        # a merge is taken if none with a block of it comes before it; the others are scored anew in the next round
+        best = checkpoint(best)
+        ends = best.select(F.explode(F.array("a", "b")).alias("x"), F.struct("delta", "a", "b").alias("k")).groupBy("x").agg(F.min("k").alias("k"))
+        at = lambda c: ends.select(F.col("x").alias(c), F.col("k").alias(f"k{c}"))
+        own = F.struct("delta", "a", "b")
+        best = best.join(at("a"), "a").join(at("b"), "b").where((F.col("ka") == own) & (F.col("kb") == own)).select("a", "b", "delta")
+    if state.cells is not None:
+        got = best.toArrow()  # a row a block of a model that tasks hold
+        a, b = got["a"].to_numpy(), got["b"].to_numpy()
+        order = np.lexsort((b, a, got["delta"].to_numpy()))
+        return np.unique(_roots_in_order(a[order], b[order], merges, state.blocks), return_inverse=True)[1]
+    best = checkpoint(best)
+    taken = global_rank(forest(best, state.blocks), [F.asc("delta"), F.asc("a"), F.asc("b")]).where(F.col("rank") <= merges)
+    roots = checkpoint(connected_components(taken.select(F.col("a").alias("src"), F.col("b").alias("dst")), state.table.select(F.col("b").alias("v"))))
+    new = global_rank(roots.select("component").distinct(), [F.asc("component")])
+    return checkpoint(roots.join(new, "component").select(F.col("v").alias("b"), (F.col("rank") - 1).cast("long").alias("root")))
+
+
+def _merged(graph: Graph, state: State, roots: DataFrame | np.ndarray, cfg: SbpConfig) -> State:
+    """state with every block's number replaced by its root's."""
+    if isinstance(roots, np.ndarray):
+        blocks = int(roots.max()) + 1
+        if state.labels is not None:
+            return look(graph, roots[state.labels], blocks, cfg)
+        roots = F.broadcast(graph.edges.sparkSession.createDataFrame(pa.table({"b": np.arange(len(roots)), "root": roots})))  # a model that tasks hold
+    else:
+        blocks = int(roots.agg(F.max("root")).first()[0]) + 1
+    assign = checkpoint(state.assign(graph).join(roots, "b").select("v", F.col("root").alias("b")))
+    return look(graph, _labels(graph, assign), blocks, cfg)
+
+
+def _labels(graph: Graph, assign: DataFrame) -> DataFrame | np.ndarray:
+    """assign(v, b) as labels if the graph's blocks are held so."""
+    if graph.order is None:
+        return assign
+    got = assign.select("v", "b").toArrow()
+    return got["b"].to_numpy()[np.argsort(got["v"].to_numpy())]
+
+
+def merge_state(graph: Graph, state: State, target: int, cfg: SbpConfig, seed: str) -> State:
+    """state after each block's best merge, the best ones first, until ``target`` blocks are left or none can merge."""
+    while state.blocks > target:
+        best = _pairs_scored(graph, state, cfg, f"{seed}|{state.blocks}")
+        new = _merged(graph, state, _roots(best, state, state.blocks - target, cfg), cfg)
+        if new.blocks == state.blocks:
+            break
+        state = new
+    return state
 
 
 def merge_phase(edges: DataFrame, assign: DataFrame, target: int, cfg: SbpConfig, seed: str) -> DataFrame:
-    """assign with at most about ``target`` blocks: each block's best merge, the best ones first; chains of merges are components."""
-    bm, blocks, _ = _state(edges, assign, cfg)
-    n = blocks.count()
-    while n > target:
-        score = dl.merge_delta_parametric if cfg.parametric else dl.merge_delta
-        best = dl.best_merges(score(bm, blocks, propose_merges(bm, blocks, cfg, f"{seed}|{n}")))
-        if n <= DRIVER_BLOCKS:
-            assign = checkpoint(_merge_in_order(assign, best, n - target))
-            bm, blocks, _ = _state(edges, assign, cfg)
-            now = blocks.count()
-            if now == n:
-                break
-            n = now
-            continue
-        # a pair that chooses each other is one merge
-        pairs = best.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "delta").groupBy("src", "dst").agg(F.min("delta").alias("delta"))
-        taken = global_rank(pairs, [F.asc("delta"), F.asc("src"), F.asc("dst")]).where(F.col("rank") <= n - target)
-        roots = connected_components(taken.select("src", "dst"), blocks.select(F.col("b").alias("v")))
-        merged = assign.join(roots.select(F.col("v").alias("b"), "component"), "b").select("v", F.col("component").alias("b"))
-        assign = checkpoint(bmod.relabel(merged))
-        bm, blocks, _ = _state(edges, assign, cfg)
-        now = blocks.count()
-        if now == n:
-            break
-        n = now
-    return assign
-
-
-def propose_moves(edges: DataFrame, assign: DataFrame, bm: DataFrame, movers: DataFrame, seed: str) -> DataFrame:
-    """(v, to): for each mover the block of a weighted neighbour's weighted neighbour block."""
-    near = _block_neighbors(bm)
-    own = neighbors(edges).where("v <> nbr").join(movers.select("v"), "v")
-    u = _draw(own.join(assign.select(F.col("v").alias("nbr"), F.col("b").alias("u")), "nbr").groupBy("v", "u").agg(F.sum("w").alias("w")), ["v"], "u", "w", f"{seed}u")
-    return _draw(u.join(near, "u").withColumnRenamed("b", "to"), ["v"], "to", "w", f"{seed}t").select("v", "to")
-
-
-def apply_moves(assign: DataFrame, moves: DataFrame) -> DataFrame:
-    """assign after all moves(v, to), but no block loses its last vertex: if all would leave, the least stays."""
-    x = assign.join(moves, "v", "left")
-    w = Window.partitionBy("b")
-    stays = F.sum(F.when(F.col("to").isNull() | (F.col("to") == F.col("b")), 1).otherwise(0)).over(w)
-    arrives = moves.groupBy(F.col("to").alias("b")).agg(F.count("*").alias("into"))
-    first = F.min("v").over(w)
-    x = x.withColumn("stays", stays).withColumn("first", first).join(arrives, "b", "left")
-    keep = F.col("to").isNull() | ((F.col("stays") == 0) & F.col("into").isNull() & (F.col("v") == F.col("first")))
-    return x.select("v", F.when(keep, F.col("b")).otherwise(F.col("to")).alias("b"))
-
-
-def sweep(edges: DataFrame, assign: DataFrame, movers: DataFrame, cfg: SbpConfig, seed: str) -> DataFrame:
-    """One pass over the movers in ``batches`` batches, each scored against the state that the one before left."""
-    for k in range(cfg.batches):
-        bm, blocks, _ = _state(edges, assign, cfg)
-        part = movers.where(F.floor(hash_uniform(f"{seed}p", F.col("v")) * cfg.batches) == k)
-        scored = dl.move_delta(edges, assign, bm, blocks, propose_moves(edges, assign, bm, part, f"{seed}|{k}"))
-        # non-parametric acceptance: downhill always, uphill with probability exp(-beta * delta)
-        accept = (F.col("delta") < 0) | (hash_uniform(f"{seed}|{k}a", F.col("v")) <= F.exp(-cfg.beta * F.col("delta")))
-        assign = checkpoint(apply_moves(assign, scored.where(accept).select("v", "to")))
-    return assign
-
-
-def fine_tune(edges: DataFrame, assign: DataFrame, cfg: SbpConfig, seed: str, bounded: bool) -> tuple[DataFrame, float]:
-    """Sweeps until the length settles; the best state and its length."""
-    vertices = assign.select("v")
-    _, _, mdl = _state(edges, assign, cfg)
-    best, start, changes = (assign, mdl), mdl, []
-    high = checkpoint(sm.high_influence_vertices(edges, vertices, cfg.mh_share)) if cfg.algorithm == "hybrid" and cfg.max_sweeps else None
-    for i in range(cfg.max_sweeps):
-        if high is not None:
-            assign = sweep(edges, assign, high, cfg, f"{seed}|{i}h")
-            assign = sweep(edges, assign, vertices.join(high, "v", "left_anti"), cfg, f"{seed}|{i}l")
-        else:
-            assign = sweep(edges, assign, vertices, cfg, f"{seed}|{i}")
-        _, _, now = _state(edges, assign, cfg)
-        changes.append(now - mdl)
-        mdl = now
-        if mdl < best[1]:
-            best = (assign, mdl)
-        if should_stop(changes, start, bounded):
+    """assign(v, b) with ``target`` blocks, if as many merges are possible; blocks are numbered 0, 1, ..."""
+    graph = Graph.of(edges, assign, replace(cfg, algorithm="async"))
+    return merge_state(graph, start_state(graph, assign, cfg), target, cfg, seed).assign(graph)
+
+
+def start_state(graph: Graph, assign: DataFrame, cfg: SbpConfig) -> State:
+    """The state of assign(v, b) with its blocks numbered anew."""
+    assign = checkpoint(bmod.relabel(assign))
+    return look(graph, _labels(graph, assign), int(assign.agg(F.max("b")).first()[0]) + 1, cfg)
+
+
+# --- moves ---------------------------------------------------------------------------------------------------------------------------
+
+
+def _proposed(cells: Cells, was, x1, x2, loop, owner, t, o, i) -> np.ndarray:
+    """A block for each mover: that of a weighted neighbour's weighted neighbour block; a random other one without neighbours.
+
+    Mover ``owner[k]`` has weight o[k] to and i[k] from block t[k]; rows are in order of mover and block.
+    """
+    total = np.bincount(owner, o + i, len(was))
+    run = np.cumsum(o + i)
+    before = np.concatenate([[0.0], np.cumsum(total)[:-1]]) if len(was) else total
+    at = np.clip(np.searchsorted(run, before + x1 * total, side="right"), 0, max(0, len(t) - 1))
+    u = np.where(total > 0, t[at] if len(t) else -1, np.where(loop > 0, was, -1))
+    to = np.where(u >= 0, cells.draw(np.maximum(u, 0), x2), -1)
+    return np.where(to >= 0, to, cells.random_other(was, x2))
+
+
+def _scored(cells: Cells, v, was, stays, xs, loop, owner, t, o, i, c) -> pa.RecordBatch:
+    """(v, was, to, delta, correction, x3) of the movers that don't stay."""
+    to = _proposed(cells, was, xs[0], xs[1], loop, owner, t, o, i)
+    ok = (to != was) & ~stays
+    place, use = np.cumsum(ok) - 1, ok[owner]
+    delta, fix = cells.move_deltas(was[ok], to[ok], loop[ok], place[owner[use]], t[use], o[use], i[use], c[use])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (v[ok], was[ok], to[ok], delta, fix, xs[2][ok])], names=["v", "was", "to", "delta", "correction", "x3"])
+
+
+SCORED = "v long, was long, to long, delta double, correction double, x3 double"
+
+
+def score_moves(graph: Graph, state: State, cfg: SbpConfig, seed: str, turn: int, high: bool | None = None, batch: int | None = None) -> DataFrame | pa.Table:
+    """(v, was, to, delta, correction, x3): a proposal for each vertex of a batch (all where none is named); rows of both kinds alike."""
+    if state.labels is not None and state.cells is not None:
+        stays = _stayers(graph.order, state.labels, turn)
+
+        def run(shared, at, v, is_high, owner, near, o, i):
+            cells, labels, stays = shared
+            mine = np.ones(len(v), bool) if high is None else is_high == high
+            if batch is not None:
+                mine[mine] = np.floor(uniforms(f"{seed}p", v[mine]) * cfg.batches) == batch
+            place, use = np.cumsum(mine) - 1, mine[owner]
+            at_near, w_owner = near[use], place[owner[use]]
+            own, at, v = at[owner[use]], at[mine], v[mine]
+            loops = own == at_near
+            n = len(v)
+            # a row a mover and block, in order
+            key, where = np.unique(w_owner * cells.blocks + labels[at_near], return_inverse=True)
+            add = lambda w: np.bincount(where, np.where(loops, 0.0, w), len(key))
+            sums = (add(o[use]), add(i[use]), add(np.ones(len(where))))
+            keep = sums[2] > 0
+            sums = tuple(x[keep] for x in sums)
+            loop = np.bincount(w_owner, np.where(loops, o[use], 0.0), n)
+            xs = [uniforms(f"{seed}v{k}", v) for k in (1, 2, 3)]
+            return _scored(cells, v, labels[at], stays[at], xs, loop, key[keep] // cells.blocks, key[keep] % cells.blocks, *sums)
+
+        return graph.map((state.cells, state.labels, stays), run, SCORED)
+    draws = [hash_uniform(f"{seed}v{k}", F.col("v")).alias(f"x{k}") for k in (1, 2, 3)]
+    mine = F.lit(True) if high is None else F.col("high") == high
+    if batch is not None:
+        mine &= F.floor(hash_uniform(f"{seed}p", F.col("v")) * cfg.batches) == batch
+    assign = state.assign(graph)
+    stay = assign.groupBy("b").agg(F.min_by("v", F.struct(_lot(F.col("v"), turn), "v")).alias("v")).select("v", F.lit(True).alias("stays"))
+    at = graph.vertices.where(mine).select("v").join(assign.withColumnRenamed("b", "was"), "v").select("v", "was", *draws)
+    if state.cells is None:
+        moves = checkpoint(propose_moves(graph, state, at.join(stay, "v", "left_anti")))
+        scored = dl.move_delta(graph.edges, assign, state.matrix, state.table, moves.select("v", "to"), cfg.parametric)
+        fix = dl.hastings(graph.edges, assign, state.matrix, state.table, moves.select("v", "to")) if cfg.parametric else moves.select("v", "to", F.lit(1.0).alias("correction"))
+        return moves.join(scored, ["v", "to"]).join(fix, ["v", "to"]).select("v", "was", "to", "delta", "correction", "x3")
+    shared = graph.edges.sparkSession.sparkContext.broadcast(state.cells)
+    nbr = assign.select(F.col("v").alias("nbr"), F.col("b").alias("t"))
+    rest = F.col("v") != F.col("nbr")
+    sums = graph.near.join(nbr, "nbr").groupBy("v", "t").agg(*[F.sum(F.when(rest, F.col(c)).otherwise(0.0)).alias(c) for c in ("o", "i")], F.sum(F.when(~rest, F.col("o")).otherwise(0.0)).alias("l"), F.count_if(rest).alias("c"))
+    # at most a row for each block of a model that tasks hold
+    lists = sums.groupBy("v").agg(F.sum("l").alias("loop"), F.sort_array(F.collect_list(F.struct("t", "o", "i", "c"))).alias("near"))
+    none = F.expr("array()").cast("array<struct<t:bigint,o:double,i:double,c:bigint>>")
+    rows = at.join(lists, "v", "left").join(stay, "v", "left").select("v", "was", "x1", "x2", "x3", F.coalesce("loop", F.lit(0.0)).alias("loop"), F.coalesce("stays", F.lit(False)).alias("stays"), F.coalesce("near", none).alias("near"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, was, x1, x2, x3, loop = (b.column(c).to_numpy() for c in ("v", "was", "x1", "x2", "x3", "loop"))
+            near = b.column("near")
+            owner = np.repeat(np.arange(len(v)), np.diff(near.offsets.to_numpy()))
+            t, o, i, c = (near.flatten().field(k).to_numpy() for k in range(4))
+            use = c > 0
+            yield _scored(shared.value, v, was, b.column("stays").to_numpy(zero_copy_only=False), (x1, x2, x3), loop, owner[use], t[use], o[use], i[use], c[use].astype(float))
+
+    return rows.mapInArrow(score, SCORED)
+
+
+def _chance(delta, correction, cfg: SbpConfig, exp, least):
+    """The probability to accept a change: exp(-beta delta), times the Hastings correction if parametric."""
+    e = exp(least(-cfg.beta * delta, 700.0))
+    return e * correction if cfg.parametric else e
+
+
+def _moved(graph: Graph, state: State, scored: DataFrame | pa.Table, cfg: SbpConfig) -> State:
+    """state after the accepted moves: u <= chance."""
+    if isinstance(scored, pa.Table):
+        delta, fix = scored["delta"].to_numpy(), scored["correction"].to_numpy()
+        ok = scored["x3"].to_numpy() <= _chance(delta, fix, cfg, np.exp, np.minimum)
+        labels = state.labels.copy()
+        labels[np.searchsorted(graph.order, scored["v"].to_numpy()[ok])] = scored["to"].to_numpy()[ok]
+        if not ok.any():
+            return replace(state, moved=0)
+        new = look(graph, labels, state.blocks, cfg)
+        new.moved = int(ok.sum())
+        return new
+    moves = scored.where(F.col("x3") <= _chance(F.col("delta"), F.col("correction"), cfg, F.exp, lambda a, b: F.least(a, F.lit(b)))).select("v", "to")
+    assign = checkpoint(state.assign(graph).join(moves, "v", "left").select("v", F.coalesce("to", "b").alias("b"), F.col("to").isNotNull().alias("moved")))
+    moved = assign.where("moved").count()
+    new = look(graph, _labels(graph, assign) if state.labels is not None else assign, state.blocks, cfg)
+    new.moved = moved
+    return new
+
+
+def sweep(graph: Graph, state: State, cfg: SbpConfig, seed: str, number: int = 0) -> State:
+    """Every vertex once, in batches that are each scored against the state that the one before left; high-influence vertices first."""
+    moved = 0
+    for h, high in enumerate([True, False] if graph.hybrid else [None]):
+        for k in range(cfg.batches):
+            turn = (number * 2 + h) * cfg.batches + k
+            state = _moved(graph, state, score_moves(graph, state, cfg, f"{seed}|{h}|{k}", turn, high, k), cfg)
+            moved += state.moved
+    return replace(state, moved=moved)
+
+
+def fine_tune(graph: Graph, state: State, cfg: SbpConfig, seed: str, bounded: bool) -> State:
+    """Sweeps until the length settles; the best state met."""
+    best, start, changes, moves = state, state.mdl, [], []
+    for i in range(cfg.max_sweeps if state.blocks > 1 else 0):
+        before = state.mdl
+        state = sweep(graph, state, cfg, f"{seed}|{i}", i)
+        changes.append(state.mdl - before)
+        moves.append(state.moved)
+        if state.mdl < best.mdl:
+            best = state
+        if should_stop(changes, start, bounded, moves):
             break
     return best
 
 
-def _search(edges: DataFrame, assign: DataFrame, cfg: SbpConfig, grow: bool) -> Result:
+# --- search --------------------------------------------------------------------------------------------------------------------------
+
+
+def _search(graph: Graph, state: State, cfg: SbpConfig, grow: bool) -> Result:
     bracket = Bracket(grow=grow, rate=cfg.split_rate if grow else cfg.reduction)
     history = []
-    assign = checkpoint(assign)
-    mdl = _state(edges, assign, cfg)[2]
     for i in range(cfg.max_rounds):
-        n = assign.select("b").distinct().count()
-        history.append((n, mdl))
-        bracket.add(Candidate(n, mdl, assign))
+        history.append((state.blocks, state.mdl))
+        bracket.add(Candidate(state.blocks, state.mdl, state))
         step = bracket.next()
         if step is None:
             break
@@ -205,33 +532,62 @@ def _search(edges: DataFrame, assign: DataFrame, cfg: SbpConfig, grow: bool) ->
         merges = target < start.blocks
         if grow and bracket.bounded and cfg.mix and bracket.many is not None and target < bracket.many.blocks:
             start, merges = bracket.many, True
-        assign = (merge_phase if merges else split_phase)(edges, start.model, target, cfg, f"{cfg.seed}|{i}")
-        assign, mdl = fine_tune(edges, assign, cfg, f"{cfg.seed}|{i}", bracket.bounded)
-        if not merges and assign.select("b").distinct().count() == start.blocks:
+        state = (merge_state if merges else split_state)(graph, start.model, target, cfg, f"{cfg.seed}|{i}")
+        if state.blocks == start.blocks:
             break
+        state = fine_tune(graph, state, cfg, f"{cfg.seed}|{i}", bracket.bounded)
     best = bracket.best
-    return Result(best.model, best.blocks, best.mdl, history)
+    return Result(best.model.assign(graph), best.blocks, best.mdl, history)
 
 
 def bottom_up(edges: DataFrame, vertices: DataFrame, cfg: SbpConfig = SbpConfig(), start: DataFrame | None = None) -> Result:
     """From every vertex a block of its own (or from ``start``) by merges and fine-tuning to the least description length."""
-    edges = checkpoint(edges)
-    return _search(edges, bmod.relabel(start if start is not None else vertices.select("v", F.col("v").alias("b"))), cfg, grow=False)
+    graph = Graph.of(edges, vertices, cfg)
+    if not graph.n_vertices:
+        return Result(vertices.select("v", F.col("v").alias("b")), 0, 0.0)
+    return _search(graph, start_state(graph, start if start is not None else graph.vertices.select("v", F.col("v").alias("b")), cfg), cfg, grow=False)
 
 
 def top_down(edges: DataFrame, vertices: DataFrame, cfg: SbpConfig = SbpConfig()) -> Result:
     """From one block by splits and fine-tuning; with ``mix``, once bounded, by merges from the larger side."""
-    return _search(checkpoint(edges), vertices.select("v", F.lit(0).cast("long").alias("b")), cfg, grow=True)
+    graph = Graph.of(edges, vertices, cfg)
+    if not graph.n_vertices:
+        return Result(vertices.select("v", F.col("v").alias("b")), 0, 0.0)
+    return _search(graph, start_state(graph, bmod.one_block(graph.vertices), cfg), cfg, grow=True)
 
 
 # --- splits ------------------------------------------------------------------------------------------------------------------------
 
 
+def _split_seeds(trials: DataFrame, near: DataFrame, cfg: SbpConfig, seed: str) -> DataFrame:
+    """(b, trial, v, side): two vertices of each block and trial.
+
+    random: the least and the greatest hash.  degree_weighted: the same among the tenth of highest degree inside the block.
+    high_degree: the two of highest degree.  Blocks of less than ten vertices always go by hash.
+    """
+    u = hash_uniform(f"{seed}s", F.col("trial"), F.col("v"))
+    keyed = trials.withColumn("u", u)
+    if cfg.seeds != "random":
+        degree = near.groupBy("b", "v").agg(F.sum("w").alias("degree"))
+        own = trials.select("b", "v").distinct().join(degree, ["b", "v"], "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
+        sizes = own.groupBy("b").agg(F.count("*").alias("n"))
+        ranked = global_rank(own, [F.asc("b"), F.desc("degree"), F.asc("v")], "at")
+        first = ranked.groupBy("b").agg(F.min("at").alias("first"))
+        place = ranked.join(first, "b").join(sizes, "b").withColumn("place", F.col("at") - F.col("first"))
+        keep = F.when(F.col("n") < 10, F.lit(True)).otherwise(F.col("place") < (F.greatest(F.lit(2), F.floor(F.col("n") / 10)) if cfg.seeds == "degree_weighted" else 2))
+        keyed = keyed.join(place.where(keep).select("b", "v"), ["b", "v"])
+    ends = keyed.groupBy("b", "trial").agg(F.min(F.struct("u", "v")).alias("lo"), F.max(F.struct("u", "v")).alias("hi"))
+    two = F.array(F.struct(F.col("lo.v").alias("v"), F.lit(0).alias("side")), F.struct(F.col("hi.v").alias("v"), F.lit(1).alias("side")))
+    return ends.select("b", "trial", F.explode(two).alias("x")).select("b", "trial", "x.v", "x.side").dropDuplicates(["b", "trial", "v"])
+
+
 def split_sides(edges: DataFrame, assign: DataFrame, cfg: SbpConfig, seed: str) -> DataFrame:
-    """(b, trial, v, side): ``proposals`` halvings of every block.
+    """(b, trial, v, side): ``proposals`` halvings of every block, all grown together in synchronous layers.
 
-    random: by hash, with a share of 20 to 80 % of its own for each trial.  connectivity: two seeds grow in synchronous layers; a vertex
-    joins the side with more edge weight to it, side 0 of equals; what no layer reaches goes by hash.
+    random: by hash, with a share of 20 to 80 % of its own for each trial.  connectivity: two seeds grow; a vertex joins the side with
+    more edge weight to it, side 0 of equals.  snowball: a vertex that one side reaches joins it in its turn, which comes in a layer
+    with the side's share; one that both reach goes by share.  single_snowball: one seed grows to its share of the block, the last
+    layer cut by hash; the rest is the other side.  Else what no layer reaches goes by hash.
     """
     trials = assign.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(cfg.proposals))))
     u = hash_uniform(f"{seed}s", F.col("trial"), F.col("v"))
@@ -239,18 +595,39 @@ def split_sides(edges: DataFrame, assign: DataFrame, cfg: SbpConfig, seed: str)
     by_hash = F.when(u < share, 0).otherwise(1)
     if cfg.split == "random":
         return trials.select("b", "trial", "v", by_hash.alias("side"))
-    inner = checkpoint(bmod.edge_blocks(edges, assign).where("r = s and src <> dst").select("src", "dst", "w", F.col("r").alias("b")))
-    near = checkpoint(inner.select("b", F.col("src").alias("v"), F.col("dst").alias("nbr"), "w").union(inner.select("b", F.col("dst").alias("v"), F.col("src").alias("nbr"), "w")))
-    keyed = trials.withColumn("u", u)
-    seeds = keyed.groupBy("b", "trial").agg(F.min(F.struct("u", "v")).alias("lo"), F.max(F.struct("u", "v")).alias("hi"))
-    sides = checkpoint(seeds.select("b", "trial", F.explode(F.array(F.struct(F.col("lo.v").alias("v"), F.lit(0).alias("side")), F.struct(F.col("hi.v").alias("v"), F.lit(1).alias("side")))).alias("x")).select("b", "trial", "x.v", "x.side").dropDuplicates(["b", "trial", "v"]))
+    inner = bmod.edge_blocks(edges, assign).where("r = s and src <> dst").select("src", "dst", "w", F.col("r").alias("b"))
+    ends = F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("nbr")), F.struct(F.col("dst").alias("v"), F.col("src").alias("nbr")))
+    near = checkpoint(inner.select("b", "w", F.explode(ends).alias("e")).select("b", "e.v", "e.nbr", "w"))
+    sides = _split_seeds(trials, near, cfg, seed)
+    single = cfg.split == "single_snowball"
+    sides = checkpoint(sides.where("side = 0") if single else sides)
+    have, layer = sides.count(), 0
     while True:
-        votes = sides.withColumnRenamed("v", "nbr").join(near, ["b", "nbr"]).groupBy("b", "trial", "v").agg(F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(-F.col("w"))).alias("vote"))
-        new = checkpoint(votes.join(sides, ["b", "trial", "v"], "left_anti").select("b", "trial", "v", F.when(F.col("vote") >= 0, 0).otherwise(1).alias("side")))
-        if new.isEmpty():
-            break
+        layer += 1
+        votes = sides.withColumnRenamed("v", "nbr").join(near, ["b", "nbr"]).groupBy("b", "trial", "v").agg(F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0.0)).alias("zero"), F.sum(F.when(F.col("side") == 1, F.col("w")).otherwise(0.0)).alias("one"))
+        new = votes.join(sides, ["b", "trial", "v"], "left_anti")
+        if cfg.split == "snowball":
+            turn = hash_uniform(f"{seed}t{layer}", F.col("b"), F.col("trial")) < share  # side 0's layer, else side 1's
+            to = F.when((F.col("zero") > 0) & (F.col("one") > 0), by_hash).when(F.col("zero") > 0, 0).otherwise(1)
+            mine = (F.col("zero") > 0) & turn | (F.col("one") > 0) & ~turn
+            # a layer in which no side can grow is the other one's turn
+            all_new = new.select("b", "trial", "v", to.alias("side"), mine.alias("mine"))
+            any_mine = all_new.groupBy("b", "trial").agg(F.max("mine").alias("some"))
+            new = all_new.join(any_mine, ["b", "trial"]).where("mine or not some").select("b", "trial", "v", "side")
+        elif single:
+            room = trials.groupBy("b", "trial").agg(F.count("*").alias("n")).join(sides.groupBy("b", "trial").agg(F.count("*").alias("have")), ["b", "trial"])
+            room = room.select("b", "trial", (F.floor(F.col("n") * share) - F.col("have")).alias("room")).where("room > 0")
+            ranked = global_rank(new.select("b", "trial", "v", u.alias("u")), [F.asc("b"), F.asc("trial"), F.asc("u"), F.asc("v")], "at")
+            first = ranked.groupBy("b", "trial").agg(F.min("at").alias("first"))
+            new = ranked.join(first, ["b", "trial"]).join(room, ["b", "trial"]).where(F.col("at") - F.col("first") < F.col("room")).select("b", "trial", "v", F.lit(0).alias("side"))
+        else:
+            new = new.select("b", "trial", "v", F.when(F.col("zero") >= F.col("one"), 0).otherwise(1).alias("side"))
         sides = checkpoint(sides.union(new))
-    rest = trials.join(sides, ["b", "trial", "v"], "left_anti").select("b", "trial", "v", by_hash.alias("side"))
+        now = sides.count()
+        if now == have:
+            break
+        have = now
+    rest = trials.join(sides, ["b", "trial", "v"], "left_anti").select("b", "trial", "v", (F.lit(1) if single else by_hash).alias("side"))
     return sides.union(rest)
 
 
@@ -271,47 +648,91 @@ def split_scores(edges: DataFrame, assign: DataFrame, sides: DataFrame) -> DataF
     return y.where("n0 > 0 and n1 > 0").select("b", "trial", (two - one).alias("delta"))
 
 
-def split_phase(edges: DataFrame, assign: DataFrame, target: int, cfg: SbpConfig, seed: str) -> DataFrame:
-    """assign with up to ``target`` blocks: the best halving of each large enough block, the best ones first."""
-    sizes = assign.groupBy("b").agg(F.count("*").alias("n"))
-    total = assign.count()
-    n = sizes.count()
-    large = sizes.where(F.col("n") >= max(2, cfg.min_split_share * total)).select("b")
-    part = assign.join(large, "b", "left_semi").select("v", "b")
+def split_state(graph: Graph, state: State, target: int, cfg: SbpConfig, seed: str) -> State:
+    """state with up to ``target`` blocks: the best halving of each large enough block, the best ones first."""
+    assign = checkpoint(split_phase(graph.edges, checkpoint(state.assign(graph)), target, cfg, seed, state.blocks, graph.n_vertices))
+    return look(graph, _labels(graph, assign), int(assign.agg(F.max("b")).first()[0]) + 1, cfg)
+
+
+def split_phase(edges: DataFrame, assign: DataFrame, target: int, cfg: SbpConfig, seed: str, n: int | None = None, total: int | None = None) -> DataFrame:
+    """assign with up to ``target`` blocks: the best halving of each large enough block, the best ones first.
+
+    Of ``n`` blocks numbered 0 .. n - 1; a new one gets the next number, so none is renumbered.
+    """
+    sizes = assign.groupBy("b").agg(F.count("*").alias("size"))
+    total = assign.count() if total is None else total
+    n = int(assign.agg(F.max("b")).first()[0]) + 1 if n is None else n
+    large = sizes.where(F.col("size") >= max(2, cfg.min_split_share * total)).select("b")
+    part = checkpoint(assign.join(large, "b", "left_semi").select("v", "b"))
     sides = checkpoint(split_sides(edges, part, cfg, seed))
     best = split_scores(edges, part, sides).groupBy("b").agg(F.min(F.struct("delta", "trial")).alias("x")).select("b", "x.delta", "x.trial")
     chosen = global_rank(best, [F.asc("delta"), F.asc("b")]).where(F.col("rank") <= target - n).select("b", "trial", (F.col("rank") + n - 1).cast("long").alias("new"))
     moved = sides.where("side = 1").join(chosen, ["b", "trial"]).select("v", "new")
-    # new numbers start above the greatest, then all are numbered anew
-    top = assign.agg(F.max("b").alias("top"))
-    out = assign.join(moved, "v", "left").crossJoin(F.broadcast(top)).select("v", F.coalesce(F.col("top") + 1 + F.col("new"), F.col("b")).alias("b"))
-    return checkpoint(bmod.relabel(out))
+    return assign.join(moved, "v", "left").select("v", F.coalesce("new", "b").alias("b"))
 
 
 # --- samples and parts -------------------------------------------------------------------------------------------------------------
 
+SAMPLERS = {
+    "random": lambda e, v, share, seed: sm.sample_random(v, share, seed),
+    "max_degree": lambda e, v, share, seed: sm.top_degree(e, v, share).select("v"),
+    "degree_product": lambda e, v, share, seed: sm.high_influence_vertices(e, v, share),
+    "degree_product_snowball": sm.degree_product_snowball,
+    "expansion_snowball": sm.expansion_snowball,
+    "snowball": lambda e, v, share, seed: sm.snowball(e, v, share, seed).select("v"),
+    "round_robin": lambda e, v, share, seed: sm.round_robin(v, max(1, round(1 / share)), 0),
+    "detach": lambda e, v, share, seed: sm.detach(e, v),
+}
+
+
+def _tuned(edges: DataFrame, vertices: DataFrame, assign: DataFrame, cfg: SbpConfig, history: list) -> Result:
+    """The whole graph's partition after fine-tuning ``assign``."""
+    graph = Graph.of(edges, vertices, cfg)
+    state = fine_tune(graph, start_state(graph, assign, cfg), cfg, f"{cfg.seed}|whole", True)
+    return Result(state.assign(graph), state.blocks, state.mdl, history)
+
 
 def sampled(edges: DataFrame, vertices: DataFrame, share: float = 0.5, sampler: str = "max_degree", cfg: SbpConfig = SbpConfig()) -> Result:
-    """Partition a sample, extend it to all vertices by majority, fine-tune the whole."""
+    """Partition a sample, extend it to all vertices by majority (detached ones to their neighbour's block), fine-tune the whole."""
     edges = checkpoint(edges)
-    pick = {"max_degree": lambda: sm.top_degree(edges, vertices, share).select("v"), "random": lambda: sm.sample_random(vertices, share, cfg.seed), "snowball": lambda: sm.snowball(edges, vertices, share, cfg.seed).select("v"), "expansion_snowball": lambda: sm.expansion_snowball(edges, vertices, share, cfg.seed), "detach": lambda: sm.detach(edges, vertices)}[sampler]
-    chosen = checkpoint(pick())
-    sub = induced(edges, chosen.select("v", F.col("v").alias("new_id")))
-    found = bottom_up(sub, chosen, cfg)
-    whole = sm.extend(edges, found.assign, vertices, found.blocks, cfg.seed)
-    assign, mdl = fine_tune(edges, checkpoint(bmod.relabel(whole)), cfg, f"{cfg.seed}|whole", True)
-    return Result(assign, assign.select("b").distinct().count(), mdl, found.history)
+    chosen = checkpoint(SAMPLERS[sampler](edges, vertices, share, cfg.seed).select("v"))
+    found = bottom_up(induced(edges, chosen.select("v", F.col("v").alias("new_id"))), chosen, cfg)
+    whole = (sm.reattach if sampler == "detach" else sm.extend)(edges, found.assign, vertices, found.blocks, cfg.seed)
+    return _tuned(edges, vertices, whole, cfg, found.history)
+
+
+def cross_merges(edges: DataFrame, assign: DataFrame, target: int, cfg: SbpConfig) -> DataFrame:
+    """assign(v, b, part) of two parts with blocks of one merged into blocks of the other, the best first, down to ``target`` blocks.
+
+    Every pair of blocks from different parts with an edge between them is scored, not only proposals.
+    """
+    assign = checkpoint(assign)
+    a = assign.select("v", "b")
+    graph = Graph.of(edges, a, replace(cfg, algorithm="async"))
+    state = look(graph, _labels(graph, a), int(a.agg(F.max("b")).first()[0]) + 1, cfg)
+    bm = state.matrix if state.matrix is not None else checkpoint(bmod.block_matrix(graph.edges, a))
+    part = checkpoint(assign.select("b", "part").distinct())
+    pairs = bm.where("r <> s").select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
+    pairs = pairs.join(part.select(F.col("b").alias("a"), F.col("part").alias("p")), "a").join(part.select("b", F.col("part").alias("q")), "b").where("p <> q").select("a", "b")
+    score = dl.merge_delta_parametric if cfg.parametric else dl.merge_delta
+    best = dl.best_merges(score(bm, bmod.block_table(bm, a), pairs)).where("delta < 0")
+    return _merged(graph, state, _roots(best, state, max(0, state.blocks - target), cfg), cfg).assign(graph)
 
 
 def divide_and_conquer(edges: DataFrame, vertices: DataFrame, parts: int = 2, cfg: SbpConfig = SbpConfig()) -> Result:
-    """Partition round-robin parts apart, put their blocks side by side, and go on bottom-up from there."""
+    """Partition round-robin parts apart, combine two at a time by merges across them, then go on bottom-up with the whole graph."""
     edges = checkpoint(edges)
-    start = None
-    offset = 0
+    pieces = []
     for p in range(parts):
         own = checkpoint(sm.round_robin(vertices, parts, p))
         found = bottom_up(induced(edges, own.select("v", F.col("v").alias("new_id"))), own, cfg)
-        piece = found.assign.select("v", (F.col("b") + offset).alias("b"))
-        start = piece if start is None else start.union(piece)
-        offset += found.blocks
-    return bottom_up(edges, vertices, cfg, checkpoint(start))
+        pieces.append((found.assign, found.blocks))
+    while len(pieces) > 1:
+        joined = []
+        for (a, n), (b, m) in zip(pieces[::2], pieces[1::2]):
+            both = a.withColumn("part", F.lit(0)).union(b.select("v", (F.col("b") + n).alias("b"), F.lit(1).alias("part")))
+            at = both.select("v", F.col("v").alias("new_id"))
+            merged = checkpoint(cross_merges(induced(edges, at), both, max(n, m), cfg))
+            joined.append((merged, int(merged.agg(F.coalesce(F.max("b"), F.lit(-1))).first()[0]) + 1))
+        pieces = joined + ([pieces[-1]] if len(pieces) % 2 else [])
+    return bottom_up(edges, vertices, cfg, pieces[0][0])

@@ -51,7 +51,7 @@ def edge_list(spark: SparkSession, path: str, base: int = 1, unit: bool = False,
         weight = F.when(F.size("f") < 3, F.lit(1)).otherwise(given)
     else:
         f = f.where(shape)
-        weight = F.coalesce(number(F.get("f", F.lit(2))), F.lit(1.0))
+        weight = F.when(w > 0, w).otherwise(F.lit(1))
     one = F.lit(1.0) if unit else weight.cast("double")
     return f.select((integer(F.col("f")[0]) - base).alias("src"), (integer(F.col("f")[1]) - base).alias("dst"), one.alias("w"))
 
@@ -154,8 +154,8 @@ def performance(result: Column, perf: Column, log: Column) -> Column:
 
 
 def resource_usage(samples: DataFrame, *keys: str) -> DataFrame:
-    """For each key: runtime (span of Timestamp), average and maximum CPU use (100 - idle), maximum memory."""
-    return samples.groupBy(*keys).agg((F.max("Timestamp") - F.min("Timestamp")).alias("runtime"), (100 - F.avg("CPU_Idle")).alias("avg_cpu"), (100 - F.min("CPU_Idle")).alias("max_cpu"), F.max("Memory").alias("max_memory"))
+    """For each key: runtime (span of Timestamp), average and maximum CPU use (100 - idle), maximum memory in MB."""
+    return samples.groupBy(*keys).agg((F.max("Timestamp") - F.min("Timestamp")).alias("runtime"), (100 - F.avg("CPU_Idle")).alias("avg_cpu"), (100 - F.min("CPU_Idle")).alias("max_cpu"), F.max("Mem_Used_MB").alias("max_memory"))
 
 
 def key_values(text: Column) -> Column:
