@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -23,14 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage: the folder the cluster names in spark.checkpoint.dir, else a temporary one (tests)."""
+    """Cut the lineage through reliable storage, the folder the cluster names in spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return where or tempfile.mkdtemp(prefix="spark-checkpoints-")
+
+
+def text_key(column: str = "text"):
+    """The md5 of a text in hexadecimal, of null ''; ``key_of`` gives the same inside tasks.  With doc_id it tells rows apart."""
+    return F.coalesce(F.md5(F.col(column).cast("binary")), F.lit(""))
+
+
+def key_of(text: str | None) -> str:
+    return "" if text is None else hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def map_texts(df: DataFrame, fn: Callable[[list, list], dict], schema: str, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """Run ``fn(ids, texts) -> {column: values}`` over slices of at most about SLICE_BYTES of text.
 

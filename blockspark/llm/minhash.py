@@ -9,9 +9,15 @@ Banding.  Bands of ROWS coordinates, as many as miss a pair at the threshold wit
 similarity of 0.85, 24 at 0.8.
 
 Verification.  Documents with the same set are one class.  The classes of a bucket are tied to the bucket's leader; tied classes form
-clusters, and every candidate pair lies inside one.  A cluster's texts meet in groups of bounded size with the cluster's leader in
-each; a group compares full sets and skips pairs that are already connected, so a family of n copies costs n comparisons.  What the
-groups leave apart in a cluster then meets all of the cluster's groups, so no link is lost and no group grows with the data.
+clusters, and every candidate pair lies inside one.  The hashed sets of a cluster's classes are made once and meet in groups of bounded
+size with the cluster's leader in each; a group compares full sets and skips pairs that are already connected, so a family of n copies
+costs n comparisons.
+
+Clusters of several groups whose parts stay apart (documents from one template, which share buckets without being similar enough) are
+cut further by a prefix filter, which loses no pair: with the elements of all sets in one order, two sets of the wanted similarity
+share one of their first n - ceil(share * n) + 1 elements.  The order puts those first that a few sample sets of the cluster don't
+have, so what a template repeats comes last and meets nobody.  Only parts that a shared prefix element connects meet again, group by
+group; no link is lost and no group grows with the data.
 """
 
 from __future__ import annotations
@@ -24,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bloom_words, checkpoint, connected_components, map_texts, maybe_in, mix64, span_hashes
+from .common import arrow_schema, bloom_words, checkpoint, connected_components, key_of, map_texts, maybe_in, mix64, span_hashes, text_key
 
 WORDS, BANDS, ROWS = 5, 16, 4
 T = BANDS * ROWS
 MISS = 1e-5
 #: Classes in a verification group.
 GROUP = 256
+#: Sets of a cluster that tell which elements are common in it.
+SAMPLE = 32
 
 
 def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -99,8 +107,8 @@ def bands(sketches: np.ndarray) -> np.ndarray:
     return key
 
 
-def describe(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) of every row; digest and bands are null where the set is empty."""
+def describe(docs: DataFrame, n_bands: int = BANDS, keys: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, digest, bands, key) of every row; digest and bands are null where the set is empty, key unless ``keys``."""
 
     def run(ids, texts):
         sets = shingles(texts)
@@ -108,10 +116,10 @@ def describe(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
         keys = bands(np.array([sketch(sets[i], n_bands * ROWS) for i in full])).view(np.int64).tolist() if full else []
         own, digest = [None] * len(sets), [None] * len(sets)
         for i, k in zip(full, keys):
-            own[i], digest[i] = k, hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-        return {"doc_id": ids, "n_shingles": [len(s) for s in sets], "digest": digest, "bands": own}
+            own[i], digest[i] = k, _digest(sets[i])
+        return {"doc_id": ids, "n_shingles": [len(s) for s in sets], "digest": digest, "bands": own, "key": [key_of(t) if keys else None for t in texts]}
 
-    return map_texts(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return map_texts(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>, key string")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -153,73 +161,164 @@ def _closure(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndar
     return label
 
 
-def _links(placed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Only texts that pass a Bloom filter of the placed doc_ids are shuffled.
-
-    Edges (a, b) from the groups of ``placed`` (doc_id, g1, g2, g3, weight, label): each text and the least text joined with it."""
-    placed = checkpoint(placed)
-    words, _ = bloom_words(placed.select("doc_id").distinct(), "doc_id")
-    texts = placed.join(maybe_in(docs, "doc_id", words), "doc_id")
+def _links(placed: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) from the groups of ``placed`` (rep, elements, g1, g2, g3, weight, label): each set and the least one joined with it."""
 
     def run(group: pa.Table) -> pa.Table:
-        order = np.lexsort((group["doc_id"].to_numpy(), -group["weight"].to_numpy()))
+        order = np.lexsort((group["rep"].to_numpy(), -group["weight"].to_numpy()))
         group = group.take(pa.array(order))
-        ids, was = group["doc_id"].to_numpy(), group["label"].to_numpy()
+        ids, was = group["rep"].to_numpy(), group["label"].to_numpy()
         _, label = np.unique(was, return_inverse=True)
-        sets = []
-        for at in range(0, len(ids), 64):
-            sets += shingles(group["text"].slice(at, 64).to_pylist())
-        label = _closure(sets, label.copy(), percent)
+        label = _closure(_sets(group["elements"]), label.copy(), percent)
         least = np.full(label.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, label, ids)
         keep = ids != least[label]
         return pa.table({"a": pa.array(ids[keep], pa.int64()), "b": pa.array(least[label][keep], pa.int64())}, schema=arrow_schema("a long, b long"))
 
-    return texts.groupBy("g1", "g2", "g3").applyInArrow(run, "a long, b long")
+    return placed.select("rep", "elements", "g1", "g2", "g3", "weight", "label").groupBy("g1", "g2", "g3").applyInArrow(run, "a long, b long")
+
+
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sorted sets of a column of binaries."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def _elements(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """reps(rep, doc_id, digest, ...) with ``elements``, the hashed set as bytes.
+
+    Only texts whose doc_id passes a Bloom filter of the reps are hashed and shuffled; the digest tells rows of one doc_id apart.
+    """
+    words, _ = bloom_words(reps.select("doc_id").distinct(), "doc_id")
+
+    def run(ids, texts):
+        sets = shingles(texts)
+        return {"doc_id": ids, "digest": [_digest(x) for x in sets], "elements": [x.tobytes() for x in sets]}
+
+    found = map_texts(maybe_in(docs.where("text is not null"), "doc_id", words), run, "doc_id long, digest binary, elements binary")
+    got = checkpoint(reps.join(found, ["doc_id", "digest"]))
+    return got.dropDuplicates(["rep"]) if got.count() > reps.count() else got  # rows that are repeated whole
+
 
+def _digest(elements: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text).
+
+def _prefix_ties(large: DataFrame, percent: int) -> DataFrame:
+    """(rep, leader) from large(rep, elements, cluster, groups, g2, lot): each set with the first of those that share a prefix element."""
+    some = large.where(F.col("lot") <= SAMPLE).select("rep", "elements", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g2"), F.lit(True).alias("sample"))
+    own = large.select("rep", "elements", "cluster", "g2", F.lit(False).alias("sample"))
+
+    def run(group: pa.Table) -> pa.Table:
+        sets, sample = _sets(group["elements"]), group["sample"].to_numpy(zero_copy_only=False)
+        common, times = np.unique(np.concatenate([np.zeros(1, np.uint64), *(sets[k] for k in np.flatnonzero(sample))]), return_counts=True)
+        rep, key = [], []
+        for k in np.flatnonzero(~sample).tolist():
+            x = sets[k]
+            at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+            rank = np.where(common[at] == x, times[at], 0)
+            first = x[np.lexsort((x, rank))][: len(x) - -(-percent * len(x) // 100) + 1]
+            rep.append(np.full(len(first), group["rep"][k].as_py()))
+            key.append(first.view(np.int64))
+        cluster = group["cluster"][0].as_py()
+        rep, key = np.concatenate(rep or [np.zeros(0, np.int64)]), np.concatenate(key or [np.zeros(0, np.int64)])
+        return pa.table({"rep": rep, "cluster": np.full(len(rep), cluster), "key": key}, schema=arrow_schema("rep long, cluster long, key long"))
+
+    posted = checkpoint(own.union(some).groupBy("cluster", "g2").applyInArrow(run, "rep long, cluster long, key long"))
+    leaders = posted.groupBy("cluster", "key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    return posted.join(leaders, ["cluster", "key"]).where("rep <> leader").select("rep", "leader").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, keys: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, chosen) for every row of (doc_id, text).
 
     component_id is the smallest doc_id reachable by links of at least ``percent`` / 100 similarity.  Null and empty texts, and texts
-    without words, have n_shingles 0 and are linked with nothing.  Repeated rows get a row each.  An empty table gives no rows; extra
-    columns are ignored.  Rows with a null doc_id are linked with nothing.
+    without words, have n_shingles 0 and are linked with nothing.  Repeated rows get a row each, and rows of one doc_id with other texts
+    are linked each by its own text.  An empty table gives no rows; extra columns are ignored.  Rows with a null doc_id are linked with
+    nothing.  chosen: kept, and of kept rows with different sets in one component the first.  With ``keys`` there is text_key, too.
     """
     docs = docs.select("doc_id", "text")
-    described = checkpoint(describe(docs, bands_for(percent)))
-    reps = described.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = checkpoint(described.join(reps, "digest", "left").select("doc_id", "n_shingles", "rep", F.expr("case when doc_id = rep then bands end").alias("bands")))
-    classes = member.where("bands is not null").dropDuplicates(["rep"]).select("rep", "bands")
-    tied = candidates(classes)
+    described = checkpoint(describe(docs, bands_for(percent), keys).withColumn("row", F.monotonically_increasing_id()))
+    first = F.struct("doc_id", "row")
+    reps = described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(first).alias("k"), F.count("*").alias("n"), F.min_by("bands", first).alias("bands"))
+    reps = checkpoint(reps.select("digest", F.col("k.row").alias("rep"), F.col("k.doc_id").alias("doc_id"), "n", "bands"))
+    tied = candidates(reps.select("rep", "bands"))
     cluster = connected_components(tied.where("rep <> leader"), "rep", "leader")
     weights = tied.groupBy("rep").agg(F.max("weight").alias("weight"))
-    inside = cluster.join(weights, cluster["node"] == weights["rep"]).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "weight")
-    sizes = inside.groupBy("cluster").agg(F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top"))
-    inside = inside.join(sizes, "cluster").withColumn("groups", F.ceil(F.col("size") / GROUP)).withColumn("g2", F.pmod(F.xxhash64("doc_id"), F.col("groups")))
-    inside = checkpoint(inside.select("doc_id", "cluster", "weight", "groups", "g2", (-F.col("top.minus")).alias("hub")))
-    docs = docs.where("text is not null")
+    inside = cluster.join(weights, cluster["node"] == weights["rep"]).select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "weight")
+    inside = _placed(inside).join(reps.select("rep", "doc_id", "digest"), "rep")
+    sets = checkpoint(_elements(docs, checkpoint(inside)))
 
     # every class in its group, and the cluster's hub in each group of its cluster
-    first = inside.select("doc_id", F.col("cluster").alias("g1"), "g2", F.lit(-1).cast("long").alias("g3"), "weight", F.col("doc_id").alias("label"))
-    hubs = inside.where("doc_id = hub and groups > 1").select("doc_id", "cluster", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g2"), F.col("g2").alias("own")).where("g2 <> own")
-    hubs = hubs.select("doc_id", F.col("cluster").alias("g1"), "g2", F.lit(-1).cast("long").alias("g3"), "weight", F.col("doc_id").alias("label"))
-    links = checkpoint(_links(first.union(hubs), docs, percent))
+    single = F.lit(-1).cast("long").alias("g3")
+    own = sets.select("rep", "elements", F.col("cluster").alias("g1"), "g2", single, "weight", F.col("rep").alias("label"))
+    hubs = sets.where("rep = hub and groups > 1").select("rep", "elements", F.col("cluster").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("at"), F.col("g2").alias("own"), "weight").where("at <> own")
+    links = checkpoint(_links(own.union(hubs.select("rep", "elements", "g1", F.col("at").alias("g2"), single, "weight", F.col("rep").alias("label"))), percent))
     found = connected_components(links)
 
-    # clusters in several groups: what is still apart from the cluster's largest part meets every group
-    large = inside.where("groups > 1").join(found, inside["doc_id"] == found["node"], "left").select("doc_id", "cluster", "weight", "groups", "g2", F.coalesce("component", "doc_id").alias("label"))
-    parts = large.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    main = parts.groupBy("cluster").agg(F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    large = checkpoint(large.join(main.select("cluster", (-F.col("top.minus")).alias("main")), "cluster"))
+    # clusters in several groups with several parts: parts that a prefix element connects meet again
+    large = sets.where("groups > 1").join(found, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+    apart = large.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
+    large = checkpoint(large.join(apart, "cluster", "left_semi"))
     if not large.isEmpty():
-        apart = large.where("label <> main")
-        blocks = apart.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
-        other = apart.join(blocks, "cluster").withColumn("g3", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("blocks")))
-        to = other.select("doc_id", F.col("cluster").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g2"), "g3", "weight", "label")
-        of = large.join(blocks, "cluster").select("doc_id", F.col("cluster").alias("g1"), "g2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("g3"), "weight", "label")
-        more = _links(to.union(of).distinct(), docs, percent)
-        found = connected_components(checkpoint(more.union(links)))
-
-    out = member.join(found, member["rep"] == found["node"], "left")
-    component = F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        ties = _prefix_ties(large, percent)
+        joined = connected_components(checkpoint(ties.union(large.where("rep <> label").select("rep", F.col("label").alias("leader")))), "rep", "leader")
+        again = large.drop("cluster", "groups", "g2", "lot", "hub").join(joined.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+        again = checkpoint(again.join(_placed(again.select("rep", "cluster", "weight")).drop("cluster", "weight"), "rep"))
+        parts = again.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+        main = parts.groupBy("cluster").agg(F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        again = checkpoint(again.join(main.select("cluster", (-F.col("top.minus")).alias("main")), "cluster"))
+        # what is apart from the largest part, in blocks, meets every group
+        other = again.where("label <> main")
+        blocks = other.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
+        other = other.join(blocks, "cluster").withColumn("g3", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("blocks")))
+        names = ["rep", "elements", "cluster", "g2", "g3", "weight", "label"]
+        to = other.drop("g2").withColumn("g2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).where(F.col("g2") != F.pmod(F.xxhash64("rep"), F.col("groups"))).select(names)
+        of = again.join(blocks, "cluster").withColumn("g3", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(names)
+        more = _links(to.union(of).withColumnRenamed("cluster", "g1"), percent)
+        links = checkpoint(more.union(links))
+        found = connected_components(links)
+
+    # classes of several rows or with links; the others are components of their own
+    roots = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or component is not null").select("digest", "n", F.coalesce("component", "rep").alias("root"), "doc_id", "rep")
+    tops = roots.groupBy("root").agg(F.min(F.struct("doc_id", "rep")).alias("top"))
+    final = checkpoint(roots.join(tops, "root").select("digest", "n", F.col("top.doc_id").alias("component_id"), (F.col("rep") == F.col("top.rep")).alias("leads")))
+    # at most HEAVY classes hold more than a HEAVY-th of the rows: they are broadcast, so no task gets all rows of a class
+    rows = described.select("doc_id", "n_shingles", F.col("key").alias("text_key"), F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    limit = max(1, rows.count() // HEAVY)
+    heavy = F.broadcast(final.where(F.col("n") > limit).select(F.col("digest").alias("hd"), F.col("component_id").alias("hc"), F.col("leads").alias("hl")))
+    rows = rows.join(heavy, F.col("digest") == F.col("hd"), "left")
+    light = final.where(F.col("n") <= limit).select("digest", "component_id", "leads")
+    join = rows.where("hd is null and digest is not null").join(light, "digest", "left").select("doc_id", "n_shingles", "text_key", "component_id", "leads")
+    out = rows.where("hd is not null or digest is null").select("doc_id", "n_shingles", "text_key", F.col("hc").alias("component_id"), F.col("hl").alias("leads")).union(join)
+    component = F.coalesce(F.col("component_id"), F.col("doc_id"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), (kept & F.coalesce("leads", F.lit(True))).alias("chosen"), *(["text_key"] if keys else []))
+
+
+#: Classes with more than one in HEAVY rows are met by a broadcast; there are fewer than HEAVY of them.
+HEAVY = 4096
+
+
+def _placed(inside: DataFrame) -> DataFrame:
+    """inside(rep, cluster, weight) with groups (of the cluster), g2 (the own one), hub and lot (one for the sample's sets)."""
+    sizes = inside.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).alias("groups"), F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"))
+    x = inside.join(sizes, "cluster").withColumn("g2", F.pmod(F.xxhash64("rep"), F.col("groups")))
+    # about SAMPLE sets of a cluster, by hash
+    lot = F.pmod(F.xxhash64(F.lit(2), "rep"), F.greatest(F.lit(1), F.floor(F.col("size") / SAMPLE))) * SAMPLE * 2 + 1
+    return x.select("rep", "cluster", "weight", "groups", "g2", (-F.col("top.minus")).alias("hub"), lot.cast("long").alias("lot"))
+
+
+def keep(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns as they are, of which one of each group of near copies stays: that of the smallest doc_id.
+
+    Of rows with the same doc_id and text one stays, if the text has words; rows without a doc_id are no one's copies and stay.
+    """
+    id_, key, n = "__kept_id", "__kept_key", "__kept_n"
+    own = near_duplicates(docs, percent, keys=True).where("chosen and doc_id is not null")
+    chosen = checkpoint(own.groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.count(F.when(F.col("n_shingles") > 0, 1)).alias(n)))
+    named = docs.where("doc_id is not null").join(chosen, (F.col("doc_id") == F.col(id_)) & (text_key() == F.col(key)))
+    whole = named.where(F.col(n) <= 1)
+    if not chosen.where(F.col(n) > 1).isEmpty():
+        whole = whole.union(named.where(F.col(n) > 1).dropDuplicates([id_, key]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return whole.select(columns).union(docs.where("doc_id is null").select(columns))
