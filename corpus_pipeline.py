@@ -7,13 +7,13 @@ the last return the columns of documents.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockspark.llm import langid, minhash, packing, pii, quality
+from blockspark.llm.common import shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (similarity of 0.8 or more), the one with the smallest doc_id.
 
-    Rows without a doc_id are no one's copies and stay.
+    Rows without a doc_id are no one's copies and stay; of rows of one doc_id each is judged by its own text.
     """
-    kept = minhash.near_duplicates(docs, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").union(docs.where("doc_id is null"))
+    return minhash.keep(docs, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; each stage's rows are written in the shared checkpoint folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
+    shared = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}", name)
