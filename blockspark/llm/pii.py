@@ -1,7 +1,8 @@
 """Personal data: base patterns, and terms that reveal the people behind them.
 
-Base spans (emails, IP addresses, card and phone numbers) are the protected entities.  A term near one may reveal it: the corpus tells
-how strongly.  For a term t and an entity e (kind and text)
+Base spans (emails, IP addresses, card and phone numbers) are the protected entities, and so are the groups that they belong to, one
+step up a ladder of generalisation: an email's domain, an address's network, a card's first eight digits, a phone number but for its
+last four digits.  A term near one may reveal it: the corpus tells how strongly.  For a term t and an entity or group e
 
     support(e, t)    = different contexts of e that hold t (WINDOW terms on each side; equal contexts, as in copies, count once)
     near(e, t)       = documents with t in a context of e
@@ -10,14 +11,14 @@ how strongly.  For a term t and an entity e (kind and text)
     information      = log2(disclosure / P(e)), P(e) = documents(e) / all documents
     share(e, t)      = information / log2(1 / P(e)), the part of what there is to learn about e that t tells
 
-A term whose support, disclosure and share reach the thresholds gives the entity away wherever it stands; all three mean the same in
-small and large tables, for rare and common entities.  The share only excludes terms of an entity that stands nearly everywhere, which
-any word would predict.  The spans of such a term are added
-as kind ``term`` (outside base spans) and it is generalised like the rest.
+A term whose support (a group needs more), disclosure and share reach the thresholds gives the entity or its group away wherever it
+stands; all three mean the same in small and large tables, for rare and common entities.  The share only excludes terms of an entity
+that stands nearly everywhere, which any word would predict.  The spans of such a term are added as kind ``term`` (outside base spans)
+and it is generalised like the rest.
 
 Three scans of the texts.  The first yields base spans and contexts, the second documents(t) for terms that pass a fixed-size Bloom
-filter of those with enough support, the third the places of terms that pass a filter of revealing ones.  A filter only saves rows:
-joins with the full term tables decide, so its fixed size drops no case however large the corpus.
+filter of those with enough support, the third the places of revealing terms.  At most HELD_TERMS of those are held by the tasks; more
+are met by a filter and a join with the full table, so no case is dropped however large the corpus.
 """
 
 from __future__ import annotations
@@ -32,23 +33,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, checkpoint, map_texts, mix64, span_hashes
+from .common import arrow_schema, checkpoint, key_of, map_texts, mix64, span_hashes, text_key
 
 KINDS = ("email", "ip", "card", "phone")
-# fixed values: the base patterns
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# fixed values: the base patterns.  A match starts where its run of characters does, or where the last match ended: any other start
+# would end alike, so each run is read once.  Possessive runs are followed by a character that they don't hold.
+_LOCAL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+_DOTTED = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+EMAIL = (re.compile(_LOCAL), re.compile(r"(?<![A-Za-z0-9._%+-])" + _LOCAL))
+IP = (re.compile(_DOTTED), re.compile(r"(?<![0-9])" + _DOTTED))
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
+
+def _matches(pattern: tuple[re.Pattern, re.Pattern], text: str):
+    """Leftmost non-overlapping matches of a pattern given with and without the condition that a run begins."""
+    at = 0
+    while True:
+        m = (pattern[0].match(text, at) if at else None) or pattern[1].search(text, at)
+        if m is None:
+            return
+        yield m
+        at = m.end()
+
+
 WINDOW = 8
 BLOOM_LOG2 = 22
+#: Revealing terms that tasks hold (8 bytes each).
+HELD_TERMS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Thresholds:
     support: int = 2
+    group_support: int = 3
     disclosure: float = 0.9
     share: float = 0.5
 
@@ -65,10 +84,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind and start: leftmost non-overlapping matches of each kind, less those that fail its check."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *m.span()) for m in _matches(EMAIL, text)]
     if _DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in m[0].split("."))]
+            out += [("ip", *m.span()) for m in _matches(IP, text) if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = re.sub(r"[^0-9]", "", m[0])
             if 13 <= len(digits) <= 19 and _luhn(digits):
@@ -104,16 +123,26 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return span_hashes(lower[c], start, end).view(np.int64), start, end
 
 
-def _entity(kind: str, match: str) -> int:
-    norm = match.lower() if kind == "email" else re.sub(r"[^0-9.]", "", match) if kind == "ip" else re.sub(r"[^0-9]", "", match)
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{norm}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _entities(kind: str, match: str) -> tuple[int, int]:
+    """Hashes of the entity and of its group."""
+    digits = re.sub(r"[^0-9]", "", match)
+    norm, group = {
+        "email": lambda: (match.lower(), match.lower().rpartition("@")[2]),
+        "ip": lambda: (match, match.rpartition(".")[0]),
+        "card": lambda: (digits, digits[:8]),
+        "phone": lambda: (digits, digits[:-4]),
+    }[kind]()
+    key = lambda x: int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return key(f"{kind}:{norm}"), key(f"{kind}-group:{group}")
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(entity, context, doc_id, terms) for each base span: the hashes of the terms around it and of the context as a whole."""
+    """(entity, level, context, doc_id, terms) for each base span, as itself (level 0) and as its group (1).
+
+    terms are the hashes of the terms around it, context that of all of them."""
 
     def run(ids, texts):
-        out = {"entity": [], "context": [], "doc_id": [], "terms": []}
+        out = {"entity": [], "level": [], "context": [], "doc_id": [], "terms": []}
         for doc_id, text in zip(ids, texts, strict=True):
             spans = base_spans(text or "")
             if not spans:
@@ -126,13 +155,13 @@ def contexts(docs: DataFrame) -> DataFrame:
             for kind, a, b in spans:
                 at = int(np.searchsorted(start, a))
                 near = h[max(0, at - WINDOW) : at + WINDOW]
-                out["entity"].append(_entity(kind, text[a:b]))
-                out["context"].append(int(mix64(np.frombuffer(hashlib.blake2b(near.tobytes(), digest_size=8).digest(), np.uint64)).view(np.int64)[0]))
-                out["doc_id"].append(doc_id)
-                out["terms"].append(np.unique(near).tolist())
+                context = int(mix64(np.frombuffer(hashlib.blake2b(near.tobytes(), digest_size=8).digest(), np.uint64)).view(np.int64)[0])
+                for level, entity in enumerate(_entities(kind, text[a:b])):
+                    for name, value in (("entity", entity), ("level", level), ("context", context), ("doc_id", doc_id), ("terms", np.unique(near).tolist())):
+                        out[name].append(value)
         return out
 
-    return map_texts(docs, run, "entity long, context long, doc_id long, terms array<long>")
+    return map_texts(docs, run, "entity long, level int, context long, doc_id long, terms array<long>")
 
 
 def _bloom(keys: DataFrame) -> tuple[np.ndarray, int]:
@@ -154,8 +183,8 @@ def revealing_terms(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> D
     spark = docs.sparkSession
     seen = checkpoint(contexts(docs))
     entities = seen.groupBy("entity").agg(F.count_distinct("doc_id").alias("entity_documents"))
-    near = seen.select("entity", "context", "doc_id", F.explode("terms").alias("t")).groupBy("entity", "t").agg(F.count_distinct("context").alias("support"), F.count_distinct("doc_id").alias("near"))
-    near = checkpoint(near.where(F.col("support") >= thresholds.support))
+    near = seen.select("entity", "level", "context", "doc_id", F.explode("terms").alias("t")).groupBy("entity", "level", "t").agg(F.count_distinct("context").alias("support"), F.count_distinct("doc_id").alias("near"))
+    near = checkpoint(near.where(F.col("support") >= F.when(F.col("level") == 0, thresholds.support).otherwise(thresholds.group_support)))
     bits, n = _bloom(near)
     if not n:
         return spark.createDataFrame([], "t long, support long, documents long, disclosure double, information double")
@@ -182,70 +211,98 @@ def revealing_terms(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> D
     return checkpoint(best.select("t", "b.support", "b.documents", "b.disclosure", "b.information"))
 
 
-def find_spans(docs: DataFrame, thresholds: Thresholds = Thresholds(), revealing: DataFrame | None = None) -> DataFrame:
+def _held(revealing: DataFrame) -> np.ndarray | None:
+    """The sorted revealing terms, if tasks may hold them."""
+    t = revealing.select("t").limit(HELD_TERMS + 1).toPandas()["t"].to_numpy(np.int64)
+    return np.sort(t) if len(t) <= HELD_TERMS else None
+
+
+def _term_places(text: str, base: list[tuple[str, int, int]], known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the terms outside base spans that ``known`` accepts."""
+    h, start, end = terms(text)
+    ok = known(h)
+    for _, a, b in base:
+        ok[np.searchsorted(end, a, side="right") : np.searchsorted(start, b, side="left")] = False
+    return h[ok], start[ok], end[ok]
+
+
+def _in(held: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h if len(held) else np.zeros(len(h), bool)
+
+
+def text_spans(text: str | None, held: np.ndarray) -> list[str]:
+    """"kind:start:end" of base spans and of the terms among ``held`` (sorted hashes)."""
+    if not text:
+        return []
+    base = base_spans(text)
+    out = [f"{k}:{a}:{b}" for k, a, b in base]
+    if len(held):
+        _, start, end = _term_places(text, base, lambda h: _in(held, h))
+        out += [f"term:{a}:{b}" for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return out
+
+
+def find_spans(docs: DataFrame, thresholds: Thresholds = Thresholds(), revealing: DataFrame | None = None, keys: bool = False) -> DataFrame:
     """(doc_id, spans) of every row: spans holds "kind:start:end" by kind (email, ip, card, phone, term), then start; code points.
 
     Null texts are empty; repeated rows and rows of one doc_id get a row each, each by its own text; an empty table gives no rows; extra
-    columns are ignored.  ``revealing`` holds the terms that another table has shown to give entities away.
+    columns are ignored.  ``revealing`` holds the terms that another table has shown to give entities away.  With ``keys`` there is
+    text_key, too.
     """
     revealing = revealing_terms(docs, thresholds) if revealing is None else revealing
-    bits, n = _bloom(revealing)
+    held = _held(revealing)
+    more, key = (", text_key string", lambda texts: {"text_key": [key_of(t) for t in texts]}) if keys else ("", lambda texts: {})
+    if held is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+        return map_texts(docs, lambda ids, texts: {"doc_id": ids, "spans": [text_spans(t, shared.value) for t in texts]} | key(texts), "doc_id long, spans array<string>" + more)
+    bits, _ = _bloom(revealing)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(ids, texts):
-        out = {"doc_id": ids, "key": [], "base": [], "t": [], "at": []}
+        out = {"doc_id": ids, "base": [], "t": [], "at": []} | key(texts)
         for text in texts:
-            text = text or ""
-            spans = base_spans(text)
-            t, at = [], []
-            if n:
-                h, start, end = terms(text)
-                pass_ = np.flatnonzero(_passes(shared.value, h))
-                for i in pass_.tolist():
-                    if not any(a < end[i] and start[i] < b for _, a, b in spans):
-                        t.append(int(h[i]))
-                        at.append(f"term:{start[i]}:{end[i]}")
-            out["key"].append(0)
-            out["base"].append([f"{k}:{a}:{b}" for k, a, b in spans])
-            out["t"].append(t)
-            out["at"].append(at)
+            base = base_spans(text or "")
+            t, start, end = _term_places(text or "", base, lambda h: _passes(shared.value, h))
+            out["base"].append([f"{k}:{a}:{b}" for k, a, b in base])
+            out["t"].append(t.tolist())
+            out["at"].append([f"term:{a}:{b}" for a, b in zip(start.tolist(), end.tolist(), strict=True)])
         return out
 
-    found = map_texts(docs, run, "doc_id long, key long, base array<string>, t array<long>, at array<string>")
-    if not n:
-        return found.select("doc_id", F.col("base").alias("spans"))
+    found = map_texts(docs, run, "doc_id long, base array<string>, t array<long>, at array<string>" + more)
     # only rows with a term that passed the filter meet the table of terms
     found = checkpoint(found.withColumn("key", F.monotonically_increasing_id()))
     places = found.where(F.size("t") > 0).select("key", F.explode(F.arrays_zip("t", "at")).alias("x")).select("key", F.col("x.t").alias("t"), F.col("x.at").alias("at"))
     sure = places.join(revealing.select("t"), "t").groupBy("key").agg(F.collect_list("at").alias("terms"))
     by_start = F.array_sort(F.coalesce("terms", F.array().cast("array<string>")), lambda a, b: F.split_part(a, F.lit(":"), F.lit(2)).cast("int") - F.split_part(b, F.lit(":"), F.lit(2)).cast("int"))
-    return found.join(sure, "key", "left").select("doc_id", F.concat("base", by_start).alias("spans"))
+    return found.join(sure, "key", "left").select("doc_id", F.concat("base", by_start).alias("spans"), *(["text_key"] if keys else []))
 
 
 def masked(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """docs with every span of ``text`` replaced by its kind in brackets; overlapping spans become one, named after the first.
 
-    Rows are joined with their spans by doc_id, so doc_ids must be different, and rows without one by the hash of their text; null texts
-    stay null.
+    Each row is masked by its own text, whatever its doc_id; null texts stay null.
     """
-    id_, found = "__pii_doc_id", "__pii_spans"
     revealing = revealing_terms(docs, thresholds)
-    nameless = docs.where("doc_id is null and text is not null").select(F.xxhash64("text").alias("doc_id"), "text")
-    some = not nameless.isEmpty()
+    held = _held(revealing)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if held is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+
+        @F.pandas_udf("string")
+        def mask(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: t if t is None else mask_text(t, text_spans(t, shared.value)))
+
+        return docs.withColumn("text", mask("text")).select(columns)
+    key, found = "__pii_key", "__pii_spans"
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def mask_found(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return texts.combine(spans, lambda t, s: t if t is None or s is None else mask_text(t, s))
 
-    def replaced(rows: DataFrame, own: DataFrame, key) -> DataFrame:
-        spans = find_spans(own, thresholds, revealing).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(id_), F.col("spans").alias(found))
-        d = rows.join(spans, key == F.col(id_), "left")
-        return d.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(mask("text", found))).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-    if not some:
-        return replaced(docs, docs, F.col("doc_id"))
-    named = docs.where("doc_id is not null")
-    return replaced(named, named, F.col("doc_id")).union(replaced(docs.where("doc_id is null"), nameless, F.xxhash64("text")))
+    # equal texts have equal spans, so rows meet their spans by text
+    spans = find_spans(docs, thresholds, revealing, keys=True).where(F.size("spans") > 0).dropDuplicates(["text_key"]).select(F.col("text_key").alias(key), F.col("spans").alias(found))
+    d = docs.join(spans, text_key() == F.col(key), "left")
+    return d.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(mask_found("text", found))).select(columns)
 
 
 def mask_text(text: str, spans) -> str:
