@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled windows (WINDOW words): the ordinary one by zstandard's own trainer from ordinary
-text, the toxic one from the same base and the segments that toxic text repeats and ordinary text hardly has.  A window is compressed
-with each; the bytes that the toxic dictionary saves are its distance.  Calibrated thresholds turn the distances of all windows of a
-text into a score: the shares of windows that save at least 1, 2, ... bytes, their mean and maximum are weighed by a logistic
-regression fitted on labelled texts that the dictionaries haven't seen.
+Two zstandard dictionaries, one of toxic and one of ordinary text, are made by zstandard's trainer.  Both begin with the same trained
+base of ordinary text, so that what all text shares compresses alike; then each holds what the trainer makes of its own class's text
+where that is distinctive: the stretches covered by byte segments that are RATIO times as frequent among the class's texts as among
+the other's.  A window of WINDOW words is compressed with each; the bytes that the toxic dictionary saves over the ordinary one are
+its distance.  Calibrated thresholds turn the distances of all windows of a text into a score: the shares of windows that save at
+least 1, 2, ... bytes, their mean and maximum are weighed by a logistic regression fitted on labelled texts that the dictionaries
+haven't seen.
 """
 
 from __future__ import annotations
@@ -15,13 +17,19 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import arrow_schema, checkpoint, map_texts
 
 WINDOW, SEGMENT = 8, 6
+BASE = 8192  # bytes of the shared base
+#: Bytes of a class's own part, and the trainer's segment length: the pair that separates the calibrating texts best is taken.
+SHAPES = ((512, 8), (512, 12), (1024, 8), (1024, 12), (2048, 8), (2048, 16))
+#: A segment is distinctive if so many times as frequent, and in at least so large a share of the class's texts (and two).
+RATIO, SHARE = 4.0, 0.006
 CUTS = (1, 2, 3, 4, 5, 6)
 _WHITE = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -76,35 +84,33 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z @ np.array(self.weight[:-1]) + self.weight[-1], -30, 30))))
 
 
-def _segments(samples: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte segments of SEGMENT and the number of texts that have each."""
-    seen = []
-    for ws in samples:
-        a = np.frombuffer(b"".join(ws), np.uint8).astype(np.uint64)
-        if len(a) >= SEGMENT:
-            h = np.zeros(len(a) - SEGMENT + 1, np.uint64)
-            for i in range(SEGMENT):
-                h = (h << np.uint64(8)) | a[i : len(h) + i]
-            seen.append(np.unique(h))
-    return np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def segments(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the text's windows and the SEGMENT bytes from each place on, as one word."""
+    a = np.frombuffer(b"".join(windows(text)), np.uint8)
+    h = np.zeros(max(0, len(a) - SEGMENT + 1), np.uint64)
+    for i in range(SEGMENT):
+        h = (h << np.uint64(8)) | a[i : len(h) + i]
+    return a, h
 
 
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], base_size: int = 8192, max_segments: int = 800) -> Model:
-    """The two dictionaries from the windows of toxic and of ordinary texts."""
-    windows_o = [w for ws in ordinary for w in ws]
+def distinctive(text: str, known: np.ndarray) -> bytes:
+    """The stretches of the text that segments among ``known`` (sorted) cover, with spaces between."""
+    a, h = segments(text)
+    if not len(h) or not len(known):
+        return b""
+    good = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    keep = np.zeros(len(a), bool)
+    for i in range(SEGMENT):
+        keep[i : len(h) + i] |= good
+    return b" ".join(np.where(keep, a, 32).astype(np.uint8).tobytes().split())
+
+
+def dictionary(samples: list[bytes], size: int, k: int) -> bytes:
+    """``size`` bytes of content by zstandard's trainer; of the samples themselves where they are too few to train on."""
     try:
-        base = zstd.train_dictionary(2 * base_size, windows_o).as_bytes()[-base_size:]
-    except zstd.ZstdError:  # too little text to train on
-        base = b"".join(windows_o)[-base_size:] or b" " * 8
-    (seg, n), (other, m) = _segments(toxic), _segments(ordinary)
-    if not len(seg):
-        return Model(base, base + b" " * 8)
-    k = np.minimum(np.searchsorted(other, seg), max(0, len(other) - 1))
-    m = np.where(other[k] == seg, m[k], 0) if len(other) else np.zeros(len(seg))
-    odds = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((m + 0.5) / (len(ordinary) + 1))
-    ok = (n >= max(3, 0.007 * len(toxic))) & (odds > (4.0 if len(toxic) >= 200 else 2.0))
-    best = seg[ok][np.argsort(-(odds * np.sqrt(n))[ok], kind="stable")[:max_segments]]
-    return Model(base, base + b"".join(int(x).to_bytes(SEGMENT, "big") for x in best[::-1]) + b" " * 8)
+        return zstd.train_dictionary(size + 1024, samples, k=k, d=SEGMENT).as_bytes()[-size:].rjust(size)
+    except zstd.ZstdError:
+        return b" ".join(samples)[-size:].rjust(size)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 50) -> np.ndarray:
@@ -122,44 +128,99 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 6000), windows_per_text: int = 64) -> Model:
-    """A model from at most about ``per_class`` toxic and ordinary labelled texts (least hashes of the text first).
+def _labelled(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int]) -> tuple[DataFrame | None, dict[int, int]]:
+    """(h, toxic, part, text) of the chosen labelled texts, and the number of labelled rows by label.
 
-    Three quarters make the dictionaries, from at most ``windows_per_text`` windows spread over each whole text; the rest calibrate.
-    The thresholds hold for the classes' shares among all labelled rows.
+    Chosen are the different texts of least hash, at most ``per_class`` (toxic, ordinary) of them, and one of each family of near copies.
+    part is 0 for the quarter that calibrates.  Only ids and hashes are shuffled before the choice.
     """
-    d = docs.select("doc_id", "text").where("text is not null").join(labels.where("toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"]), "doc_id")
-    d = d.withColumn("h", F.xxhash64("text"))
-    sizes = {r["toxic"]: r["n"] for r in d.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")).join(labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]), "doc_id")
+    texts = checkpoint(rows.groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
+    sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     if len(sizes) < 2:
+        return None, sizes
+    first = [texts.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(per_class[1 - k]).select("doc_id", "h", "toxic") for k in (0, 1)]
+    chosen = F.broadcast(checkpoint(first[0].union(first[1])))  # at most sum(per_class) rows
+    whole = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text")).join(chosen, ["doc_id", "h"]).dropDuplicates(["toxic", "h"])
+    whole = checkpoint(whole.select("h", "toxic", F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(4)).alias("part"), "text"))
+    seen = map_texts(whole, lambda ids, t: {"h": ids, "family": [family(x) for x in t]}, "h long, family long", ("h", "text"))
+    leads = whole.select("h", "toxic").join(seen.dropDuplicates(["h"]), "h").groupBy("toxic", "family").agg(F.min("h").alias("h")).select("toxic", "h")
+    return checkpoint(whole.join(F.broadcast(leads), ["toxic", "h"])), sizes  # no more rows than were chosen
+
+
+def _known_segments(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinctive segments of ordinary and of toxic texts: counted by Spark, at most 1 / SHARE times a text's length of each."""
+
+    def count(batches):
+        schema = arrow_schema("s long, n0 long, n1 long")
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found[toxic].append(np.unique(segments(text.as_py())[1]))
+            for k in (0, 1):
+                s, n = np.unique(np.concatenate(found[k]), return_counts=True)
+                zero = np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(zero if k else n), pa.array(n if k else zero)], schema=schema)
+
+    total = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = texts.select("toxic", "text").mapInArrow(count, "s long, n0 long, n1 long").groupBy("s").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    out = []
+    for k in (0, 1):
+        own, other = F.col(f"n{k}"), F.col(f"n{1 - k}")
+        often = own >= max(2.0, SHARE * total.get(k, 0))
+        rare = (own + 0.5) / (total.get(k, 0) + 1) > RATIO * (other + 0.5) / (total.get(1 - k, 0) + 1)
+        out.append(np.sort(counts.where(often & rare).select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64)))
+    return out[0], out[1]
+
+
+def dictionaries(texts: DataFrame) -> list[Model]:
+    """The two dictionaries in each of SHAPES from (toxic, h, text)."""
+    known = _known_segments(texts)
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(ids, t):
+        own = [distinctive(x, shared.value[i & 1]) for i, x in zip(ids, t, strict=True)]
+        return {"id": ids, "own": own, "base": [b"\n".join(windows(x)) if i & 1 == 0 else b"" for i, x in zip(ids, t, strict=True)]}
+
+    # the label is the id's last bit; the order of the rows is that of the texts' hashes, whatever the partitions
+    marked = texts.select(F.expr("(h & -2L) | toxic").alias("id"), "text")
+    got = map_texts(marked, run, "id long, own binary, base binary", ("id", "text")).toPandas().sort_values(["id", "own", "base"], ignore_index=True)
+    base = dictionary([w for t in got["base"] if t for w in bytes(t).split(b"\n")], BASE, 64)
+    own = [[bytes(x) for x in got.loc[got["id"] % 2 == label, "own"] if len(x) > SEGMENT + 2] for label in (0, 1)]
+    return [Model(base + dictionary(own[0], size, k), base + dictionary(own[1], size, k)) for size, k in SHAPES]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 6000)) -> Model:
+    """A model from at most ``per_class`` toxic and ordinary labelled texts, each read whole.
+
+    Three quarters make the dictionaries; the rest calibrate.  The thresholds hold for the classes' shares among all labelled rows.  The
+    model depends on the rows alone, not on their order or partitions.
+    """
+    texts, sizes = _labelled(docs, labels, per_class)
+    if texts is None:
         return Model(b" " * 8, b" " * 8)
-    cut = {k: int(min(2**63 - 1, -(2**63) + 2**64 * min(1.0, per_class[1 - k] / n))) for k, n in sizes.items()}
-    d = d.where(((F.col("toxic") == 1) & (F.col("h") <= cut[1])) | ((F.col("toxic") == 0) & (F.col("h") <= cut[0])))
-    part = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(4))
-
-    def spread(ids, texts):
-        out = []
-        for t in texts:
-            w = windows(t)
-            out.append(b"\n".join(w if len(w) <= windows_per_text else [w[i * len(w) // windows_per_text] for i in range(windows_per_text)]))
-        return {"doc_id": ids, "family": [family(t) for t in texts], "w": out}
-
-    rows = map_texts(d.where(part != 0), spread, "doc_id long, family long, w binary", ("toxic", "text")).toPandas().drop_duplicates(["doc_id", "family"])
-    split = {k: [bytes(w).split(b"\n") for w in rows.loc[rows["doc_id"] == k, "w"]] for k in (0, 1)}
-    model = dictionaries(split[1], split[0])
-    shared = d.sparkSession.sparkContext.broadcast(model)
-
-    def measure(ids, texts):
-        return {"doc_id": ids, "family": [family(t) for t in texts], "x": [shared.value.features(t) for t in texts]}
-
-    got = map_texts(d.where(part == 0), measure, "doc_id long, family long, x array<double>", ("toxic", "text")).toPandas().drop_duplicates(["doc_id", "family"])
-    if got["doc_id"].nunique() < 2:
-        return model
-    x, y = np.array(got["x"].tolist()), got["doc_id"].to_numpy(float)
-    share = np.array([sizes[0], sizes[1]]) / (sizes[0] + sizes[1]) / [max(1, (y == 0).sum()), max(1, (y == 1).sum())]
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    b = _logistic((x - mean) / scale, y, share[y.astype(int)])
-    return Model(model.ordinary, model.toxic, tuple(mean), tuple(scale), tuple(b))
+    models = dictionaries(texts.where("part <> 0"))
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def measure(ids, t):
+        return {"id": ids, "x": [[v for m in shared.value for v in m.features(x)] for x in t]}
+
+    marked = texts.where("part = 0").select(F.expr("(h & -2L) | toxic").alias("id"), "text")
+    got = map_texts(marked, measure, "id long, x array<double>", ("id", "text")).toPandas()
+    got = got.assign(order=[tuple(x) for x in got["x"]]).sort_values(["id", "order"], ignore_index=True)
+    y = (got["id"].to_numpy(np.int64) & 1).astype(float)
+    if len(np.unique(y)) < 2:
+        return models[0]
+    share = np.array([sizes[0], sizes[1]]) / (sizes[0] + sizes[1]) / [(y == 0).sum(), (y == 1).sum()]
+    weight, fits = share[y.astype(int)], []
+    for k, x in enumerate(np.split(np.array(got["x"].tolist()), len(models), axis=1)):
+        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+        b = _logistic((x - mean) / scale, y, weight)
+        z = ((x - mean) / scale) @ b[:-1] + b[-1]
+        loss = float((weight * np.logaddexp(0, np.where(y == 1, -z, z))).sum())
+        fits.append((loss, k, tuple(mean), tuple(scale), tuple(b)))
+    _, k, mean, scale, b = min(fits)
+    return Model(models[k].ordinary, models[k].toxic, mean, scale, b)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
