@@ -72,7 +72,7 @@ def map_texts(df: DataFrame, fn: Callable[[list, list], dict], schema: str, colu
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32())}
     return pa.schema([(p.split()[0], kinds[p.split()[1]]) for p in ddl.split(", ")])
 
 
@@ -140,6 +140,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: Classes with more than one in HEAVY rows are met by a broadcast; there are fewer than HEAVY of them.
+HEAVY = 4096
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """rows with the values of their class; null where the last key is null or no class has it.
+
+    classes holds keys, values and n, the class's number of rows.  Large classes are broadcast and rows without a key aren't shuffled, so
+    no task gets all rows of one class.
+    """
+    limit = max(1, rows.count() // HEAVY)
+    hot = F.broadcast(classes.where(F.col("n") > limit).select(*[F.col(c).alias(f"_hot_{c}") for c in keys + values]))
+    met = rows.join(hot, [F.col(c) == F.col(f"_hot_{c}") for c in keys], "left")
+    done = F.col(f"_hot_{keys[-1]}").isNotNull() | F.col(keys[-1]).isNull()
+    light = classes.where(F.col("n") <= limit).select(keys + values)
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    rest = met.where(~done).select(names).join(light, keys, "left").select(*names, *values)
+    return met.where(done).select(*names, *[F.col(f"_hot_{c}").alias(c) for c in values]).union(rest)
+
+
 #: A Bloom filter has at most 2**26 bits (8 MB), whatever the number of keys.
 MAX_BLOOM_LOG2 = 26
 

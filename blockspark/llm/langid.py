@@ -60,7 +60,7 @@ class Filters:
 
     def score(self, text: str) -> tuple[str, float]:
         """(language, its part of all corrected shares); ties go to the first language in order."""
-        if not any(map(str.isalpha, text)):
+        if not self.languages or not any(map(str.isalpha, text)):
             return UND, 0.0
         m = self.masks(grams(text))
         n = len(m)
@@ -128,7 +128,7 @@ def _cuts(d: DataFrame, per_language: int) -> DataFrame:
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; ``und`` with score 0 if the text is null or has no letter.
+    """(doc_id, lang_pred, score) of every row; ``und`` with score 0 if the text is null, has no letter, or no language was learned.
 
     Whole texts are read.  Repeated rows get a row each; an empty table gives none; the filters (a few MB at most, by slots_log2) go to
     the workers with the function.
@@ -143,13 +143,26 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     return map_texts(docs, run, "doc_id long, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, filters: Filters) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text is in a known language: not ``und`` and with a known n-gram."""
+def keep(docs: DataFrame, filters: Filters, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text is surely in a learned language, and in ``lang`` where that is one.
+
+    Null texts and texts without a letter or a known n-gram go, and so do those whose language has less than ``least`` of the corrected
+    shares (mixtures, junk) or isn't that of the row's lang column.  Where nothing could be learned every row with a letter stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots, filters.false_rate))
 
     @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
+    def fits(texts: pd.Series, langs: pd.Series) -> pd.Series:
         f = Filters(*shared.value)
-        return texts.map(lambda t: bool(t) and f.score(t)[1] > 0).astype(bool)
 
-    return docs.where(known("text"))
+        def judge(text, lang) -> bool:
+            if not text:
+                return False
+            if not f.languages:
+                return any(map(str.isalpha, text))
+            found, score = f.score(text)
+            return score >= least and (lang not in f.languages or lang == found)
+
+        return pd.Series([judge(t, x) for t, x in zip(texts, langs, strict=True)], dtype=bool)
+
+    return docs.where(fits("text", "lang"))

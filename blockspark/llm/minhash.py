@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bloom_words, checkpoint, connected_components, key_of, map_texts, maybe_in, mix64, span_hashes, text_key
+from .common import arrow_schema, bloom_words, checkpoint, connected_components, join_classes, key_of, map_texts, maybe_in, mix64, span_hashes, text_key
 
 WORDS, BANDS, ROWS = 5, 16, 4
 T = BANDS * ROWS
@@ -282,23 +282,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, keys: bool = False) -> D
     roots = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or component is not null").select("digest", "n", F.coalesce("component", "rep").alias("root"), "doc_id", "rep")
     tops = roots.groupBy("root").agg(F.min(F.struct("doc_id", "rep")).alias("top"))
     final = checkpoint(roots.join(tops, "root").select("digest", "n", F.col("top.doc_id").alias("component_id"), (F.col("rep") == F.col("top.rep")).alias("leads")))
-    # at most HEAVY classes hold more than a HEAVY-th of the rows: they are broadcast, so no task gets all rows of a class
     rows = described.select("doc_id", "n_shingles", F.col("key").alias("text_key"), F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    limit = max(1, rows.count() // HEAVY)
-    heavy = F.broadcast(final.where(F.col("n") > limit).select(F.col("digest").alias("hd"), F.col("component_id").alias("hc"), F.col("leads").alias("hl")))
-    rows = rows.join(heavy, F.col("digest") == F.col("hd"), "left")
-    light = final.where(F.col("n") <= limit).select("digest", "component_id", "leads")
-    join = rows.where("hd is null and digest is not null").join(light, "digest", "left").select("doc_id", "n_shingles", "text_key", "component_id", "leads")
-    out = rows.where("hd is not null or digest is null").select("doc_id", "n_shingles", "text_key", F.col("hc").alias("component_id"), F.col("hl").alias("leads")).union(join)
+    out = join_classes(rows, final, ["digest"], ["component_id", "leads"])
     component = F.coalesce(F.col("component_id"), F.col("doc_id"))
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), (kept & F.coalesce("leads", F.lit(True))).alias("chosen"), *(["text_key"] if keys else []))
 
 
-#: Classes with more than one in HEAVY rows are met by a broadcast; there are fewer than HEAVY of them.
-HEAVY = 4096
-
-
 def _placed(inside: DataFrame) -> DataFrame:
     """inside(rep, cluster, weight) with groups (of the cluster), g2 (the own one), hub and lot (one for the sample's sets)."""
     sizes = inside.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).alias("groups"), F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"))
