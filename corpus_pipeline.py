@@ -17,9 +17,10 @@ from blockspark.llm.common import shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a known language; those without a letter, with null text or without a known n-gram go.
+    """Keeps documents whose text is surely in one of the corpus's languages, and in that of their lang column.
 
-    The filters learn from the documents' own lang column, so a document is kept when its text is in one of those languages.
+    Those without a letter, with null text, without a known n-gram, or of another or no clear language go.  The filters learn from the
+    documents' own lang column.
     """
     return langid.keep(docs, langid.train(docs))
 
