@@ -3,7 +3,11 @@
 A rule is a Column that says "reject".  On a sample each rule's cost (the time it takes over the sample) and selectivity (the share it
 rejects of what is left) are measured, and rules are ordered by rejection per cost: the next rule is the one that removes most of the
 remaining sample per second.  The verdict is one CASE expression in that order, so a document pays only for the rules up to the first
-that rejects it.  The order changes the cost, never the verdict.
+that rejects it.  The order changes the cost, never the verdict, and the reason that is given for a rejection is the first in the
+rules' own order, whatever was measured.
+
+``keep`` puts the base rules into the same cascade, so the repeated windows, the dearest count, are looked for only in what the rules
+before let pass; ``assess`` must return that count for every row and has it anyway.
 """
 
 from __future__ import annotations
@@ -20,37 +24,57 @@ _WHITE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """docs' doc_id, text (null: empty) and whole ``row`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long).
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _next(x: Column) -> Column:
+    return F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(0)))
 
-    n_repeat_words counts the words inside 3-word windows that the text has twice or more.  Windows are compared by 64-bit hashes of
-    their words.  Only texts with a repeated window sort their windows; the covered words follow from the gaps between the places.
+
+def repeat_words(words: Column) -> Column:
+    """The words inside 3-word windows that the text has twice or more.
+
+    Windows are compared by 64-bit hashes of their words.  Only texts with a repeated window sort their windows; the covered words
+    follow from the gaps between the places.
     """
+    n = F.greatest(F.size(words) - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    windows = F.zip_with(pairs, F.slice(words, F.lit(3), n), lambda x, c: F.xxhash64(x, c))
+
+    def covered(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        same = _bind(placed, lambda s: F.filter(F.zip_with(s, _next(s), lambda p, q: F.struct((p["x"] == q["x"]).alias("e"), p["i"].alias("a"), q["i"].alias("b"))), lambda r: r["e"]))
+        at = _bind(same, lambda s: F.sort_array(F.array_distinct(F.concat(F.transform(s, lambda r: r["a"]), F.transform(s, lambda r: r["b"])))))
+        gaps = _bind(at, lambda p: F.zip_with(p, _next(p), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3))))
+        return F.aggregate(gaps, F.lit(0), lambda s, x: s + x)
+
+    return _bind(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0)).cast("long")
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs' whole ``row``, doc_id, text (null: empty), the words w, and COUNTS (long)."""
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("*", F.array_remove(F.split("text", f"{_WHITE}+"), "").alias("w"), F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD)).alias("lines"))
-    n = F.greatest(F.size("w") - 2, F.lit(0))
-    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.xxhash64(a, b))
-    d = d.select(
-        "row",
-        "doc_id",
-        "text",
+    counts = F.struct(
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.zip_with(pairs, F.slice("w", F.lit(3), n), lambda x, c: F.xxhash64(x, c)).alias("h"),
     )
-    d = d.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
-    same = F.filter(F.zip_with("s", F.slice("s", F.lit(2), F.greatest(F.size("s"), F.lit(0))), lambda p, q: F.struct((p["x"] == q["x"]).alias("e"), p["i"].alias("a"), q["i"].alias("b"))), lambda r: r["e"])
-    d = d.withColumn("same", F.when(F.col("s").isNotNull(), same)).drop("s", "h")
-    at = F.sort_array(F.array_distinct(F.concat(F.transform("same", lambda r: r["a"]), F.transform("same", lambda r: r["b"]))))
-    d = d.withColumn("at", at).drop("same")
-    covered = F.aggregate(F.zip_with("at", F.slice("at", F.lit(2), F.greatest(F.size("at"), F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3))), F.lit(0), lambda s, x: s + x)
-    d = d.withColumn("n_repeat_words", F.when(F.col("at").isNotNull(), covered).otherwise(0).cast("long"))
     # a generator keeps later filters above: pushed below, they would evaluate all of the above once for each mention
-    counts = F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    return d.select("row", "doc_id", "text", F.inline(F.array(counts)))
+    return d.select("row", "doc_id", "text", "w", F.inline(F.array(counts)))
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """docs' doc_id, text (null: empty) and whole ``row`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long)."""
+    d = _counted(docs)
+    return d.select("row", "doc_id", "text", *COUNTS, F.inline(F.array(F.struct(repeat_words(F.col("w")).alias("n_repeat_words")))))
 
 
 @dataclass(frozen=True)
@@ -63,24 +87,36 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-#: The production rules, on the columns of ``features``.
+def _letters() -> Column:
+    return F.char_length(F.regexp_replace("text", r"\P{L}+", ""))
+
+
+#: The base as rules of the cascade, on the columns of ``_counted``.
+BASE = (
+    Rule("short", lambda: F.col("n_words") < 50),
+    Rule("repetition", lambda: 100 * repeat_words(F.col("w")) > 50 * F.col("n_words")),
+)
+
+#: The production rules, on the counts.
 RULES = (
     Rule("symbols", lambda: F.col("n_symbols") * 10 > F.col("n_words")),
+    Rule("bars", lambda: F.char_length(F.regexp_replace("text", r"[^|]+", "")) * 20 > F.col("n_words")),
+    Rule("letters", lambda: _letters() * 10 < F.col("word_chars") * 8),
     Rule("duplicate_lines", lambda: F.col("n_dup_lines") * 2 > F.col("n_lines")),
     Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
     Rule("exclamation", lambda: F.char_length(F.regexp_replace("text", r"[^!]+", "")) * 5 > F.col("n_words")),
-    Rule("capitals", lambda: F.char_length(F.regexp_replace("text", r"\P{Lu}+", "")) * 2 > F.char_length(F.regexp_replace("text", r"\P{L}+", ""))),
-    Rule("letters", lambda: F.char_length(F.regexp_replace("text", r"\P{L}+", "")) * 10 < F.col("word_chars") * 6),
+    Rule("capitals", lambda: F.char_length(F.regexp_replace("text", r"\P{Lu}+", "")) * 2 > _letters()),
 )
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, seed: int = 7) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, share rejected of what is left) in the order of rejection per cost, from about ``sample_rows`` documents.
 
-    Those that fail the base are not in the sample: the cascade doesn't see them either.
+    Those that fail the base are not in the sample, unless rules of the base are to be ordered: the cascade doesn't see them either.
     """
     n = docs.count()
-    sample = features(docs.sample(min(1.0, sample_rows / n), seed) if n else docs).where(~base_failed()).persist()
+    some = docs.sample(min(1.0, sample_rows / n), seed) if n else docs
+    sample = (_counted(some) if set(BASE) & set(rules) else features(some).where(~base_failed())).persist()
     try:
         flags = [r.reject().cast("int").alias(f"r{k}") for k, r in enumerate(rules)]
 
@@ -120,18 +156,16 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by) of every row.
 
     Null and empty texts have no words and fail the base; repeated rows get a row each; an empty table gives none; extra columns are
-    ignored.  kept: not base_failed, and no rule of the cascade rejects.
+    ignored.  kept: not base_failed, and no rule of the cascade rejects.  rejected_by: ``base``, or the first rule in their own order.
     """
-    d = _judged(docs, rules, sample_rows)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
+    order = [r for r, _, _ in order_rules(docs, rules, sample_rows)]
+    d = features(docs).withColumn("base_failed", base_failed())
+    passes = ~F.col("base_failed") & verdict(order).isNull()
+    d = d.withColumn("kept", passes).withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).when(~F.col("kept"), verdict(rules)))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
     """The rows of docs, all columns as they are, that neither the base nor a rule rejects."""
-    return _judged(docs, rules, sample_rows).where(F.col("rejected_by").isNull()).select("row.*")
-
-
-def _judged(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int) -> DataFrame:
-    order = [r for r, _, _ in order_rules(docs, rules, sample_rows)]
-    d = features(docs).withColumn("base_failed", base_failed())
-    return d.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict(order)))
+    order = [r for r, _, _ in order_rules(docs, BASE + rules, sample_rows)]
+    return _counted(docs).where(verdict(order).isNull()).select("row.*")
