@@ -9,9 +9,8 @@ Banding.  Bands of ROWS coordinates, as many as miss a pair at the threshold wit
 similarity of 0.85, 24 at 0.8.
 
 Verification.  Documents with the same set are one class.  The classes of a bucket are tied to the bucket's leader; tied classes form
-clusters, and every candidate pair lies inside one.  The hashed sets of a cluster's classes are made once and meet in groups of bounded
-size with the cluster's leader in each; a group compares full sets and skips pairs that are already connected, so a family of n copies
-costs n comparisons.
+clusters, and every candidate pair lies inside one.  A cluster's texts meet in groups of bounded size with the cluster's leader in
+each; a group compares full sets and skips pairs that are already connected, so a family of n copies costs n comparisons.
 
 Clusters of several groups whose parts stay apart (documents from one template, which share buckets without being similar enough) are
 cut further by a prefix filter, which loses no pair: with the elements of all sets in one order, two sets of the wanted similarity
@@ -107,8 +106,8 @@ def bands(sketches: np.ndarray) -> np.ndarray:
     return key
 
 
-def describe(docs: DataFrame, n_bands: int = BANDS, keys: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, key) of every row; digest and bands are null where the set is empty, key unless ``keys``."""
+def describe(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
+    """(doc_id, n_shingles, digest, bands, key) of every row; digest and bands are null where the set is empty; key is text_key."""
 
     def run(ids, texts):
         sets = shingles(texts)
@@ -117,7 +116,7 @@ def describe(docs: DataFrame, n_bands: int = BANDS, keys: bool = False) -> DataF
         own, digest = [None] * len(sets), [None] * len(sets)
         for i, k in zip(full, keys):
             own[i], digest[i] = k, _digest(sets[i])
-        return {"doc_id": ids, "n_shingles": [len(s) for s in sets], "digest": digest, "bands": own, "key": [key_of(t) if keys else None for t in texts]}
+        return {"doc_id": ids, "n_shingles": [len(s) for s in sets], "digest": digest, "bands": own, "key": [key_of(t) for t in texts]}
 
     return map_texts(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>, key string")
 
@@ -161,57 +160,55 @@ def _closure(sets: list[np.ndarray], label: np.ndarray, percent: int) -> np.ndar
     return label
 
 
-def _links(placed: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) from the groups of ``placed`` (rep, elements, g1, g2, g3, weight, label): each set and the least one joined with it."""
+def _links(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) from the groups of ``placed`` (rep, doc_id, key, g1, g2, g3, weight, label): each text and the least joined with it."""
 
     def run(group: pa.Table) -> pa.Table:
         order = np.lexsort((group["rep"].to_numpy(), -group["weight"].to_numpy()))
         group = group.take(pa.array(order))
         ids, was = group["rep"].to_numpy(), group["label"].to_numpy()
         _, label = np.unique(was, return_inverse=True)
-        label = _closure(_sets(group["elements"]), label.copy(), percent)
+        label = _closure(_sets(group["text"]), label.copy(), percent)
         least = np.full(label.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, label, ids)
         keep = ids != least[label]
         return pa.table({"a": pa.array(ids[keep], pa.int64()), "b": pa.array(least[label][keep], pa.int64())}, schema=arrow_schema("a long, b long"))
 
-    return placed.select("rep", "elements", "g1", "g2", "g3", "weight", "label").groupBy("g1", "g2", "g3").applyInArrow(run, "a long, b long")
+    rows = _with_text(placed.select("rep", "doc_id", "key", "g1", "g2", "g3", "weight", "label"), texts)
+    return rows.select("rep", "text", "g1", "g2", "g3", "weight", "label").groupBy("g1", "g2", "g3").applyInArrow(run, "a long, b long")
 
 
 def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """The sorted sets of a column of binaries."""
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+    """The sets of a column of texts."""
+    out = []
+    for at in range(0, len(column), 64):
+        out += shingles(column.slice(at, 64).to_pylist())
+    return out
 
 
-def _elements(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """reps(rep, doc_id, digest, ...) with ``elements``, the hashed set as bytes.
+def _with_text(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """placed(doc_id, key, ...) with the text; only texts whose doc_id passes a Bloom filter of the placed ones are shuffled.
 
-    Only texts whose doc_id passes a Bloom filter of the reps are hashed and shuffled; the digest tells rows of one doc_id apart.
+    Texts, not their sets, are shipped: hashes don't compress and would take several times the disk.
     """
-    words, _ = bloom_words(reps.select("doc_id").distinct(), "doc_id")
-
-    def run(ids, texts):
-        sets = shingles(texts)
-        return {"doc_id": ids, "digest": [_digest(x) for x in sets], "elements": [x.tobytes() for x in sets]}
-
-    found = map_texts(maybe_in(docs.where("text is not null"), "doc_id", words), run, "doc_id long, digest binary, elements binary")
-    got = checkpoint(reps.join(found, ["doc_id", "digest"]))
-    return got.dropDuplicates(["rep"]) if got.count() > reps.count() else got  # rows that are repeated whole
+    placed = checkpoint(placed)
+    words, _ = bloom_words(placed.select("doc_id").distinct(), "doc_id")
+    return placed.join(maybe_in(texts, "doc_id", words), ["doc_id", "key"])
 
 
 def _digest(elements: np.ndarray) -> bytes | None:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
 
 
-def _prefix_ties(large: DataFrame, percent: int) -> DataFrame:
-    """(rep, leader) from large(rep, elements, cluster, groups, g2, lot): each set with the first of those that share a prefix element."""
-    some = large.where(F.col("lot") <= SAMPLE).select("rep", "elements", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g2"), F.lit(True).alias("sample"))
-    own = large.select("rep", "elements", "cluster", "g2", F.lit(False).alias("sample"))
+def _prefix_ties(large: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(rep, leader) from large(rep, doc_id, key, cluster, groups, g2, lot): each with the first of those that share a prefix element."""
+    own = large.select("rep", "doc_id", "key", "cluster", "g2", F.lit(False).alias("sample"))
+    some = large.where(F.col("lot") <= SAMPLE).select("rep", "doc_id", "key", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g2"), F.lit(True).alias("sample"))
 
     def run(group: pa.Table) -> pa.Table:
-        sets, sample = _sets(group["elements"]), group["sample"].to_numpy(zero_copy_only=False)
+        sets, sample = _sets(group["text"]), group["sample"].to_numpy(zero_copy_only=False)
         common, times = np.unique(np.concatenate([np.zeros(1, np.uint64), *(sets[k] for k in np.flatnonzero(sample))]), return_counts=True)
-        rep, key = [], []
+        rep, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in np.flatnonzero(~sample).tolist():
             x = sets[k]
             at = np.minimum(np.searchsorted(common, x), len(common) - 1)
@@ -219,13 +216,14 @@ def _prefix_ties(large: DataFrame, percent: int) -> DataFrame:
             first = x[np.lexsort((x, rank))][: len(x) - -(-percent * len(x) // 100) + 1]
             rep.append(np.full(len(first), group["rep"][k].as_py()))
             key.append(first.view(np.int64))
-        cluster = group["cluster"][0].as_py()
-        rep, key = np.concatenate(rep or [np.zeros(0, np.int64)]), np.concatenate(key or [np.zeros(0, np.int64)])
-        return pa.table({"rep": rep, "cluster": np.full(len(rep), cluster), "key": key}, schema=arrow_schema("rep long, cluster long, key long"))
+        rows, elements = np.concatenate(rep), np.concatenate(key)
+        return pa.table({"rep": rows, "cluster": np.full(len(rows), group["cluster"][0].as_py()), "element": elements}, schema=arrow_schema("rep long, cluster long, element long"))
 
-    posted = checkpoint(own.union(some).groupBy("cluster", "g2").applyInArrow(run, "rep long, cluster long, key long"))
-    leaders = posted.groupBy("cluster", "key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    return posted.join(leaders, ["cluster", "key"]).where("rep <> leader").select("rep", "leader").distinct()
+    posted = _with_text(own.union(some), texts).select("rep", "text", "cluster", "g2", "sample").groupBy("cluster", "g2").applyInArrow(run, "rep long, cluster long, element long")
+    # one shuffle: an element's leader is found where its rows are, by partial sums of (least rep, count)
+    posted = checkpoint(posted)
+    leaders = posted.groupBy("cluster", "element").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("cluster", "element", "leader")
+    return posted.join(leaders, ["cluster", "element"]).where("rep <> leader").select("rep", "leader").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, keys: bool = False) -> DataFrame:
@@ -237,32 +235,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85, keys: bool = False) -> D
     nothing.  chosen: kept, and of kept rows with different sets in one component the first.  With ``keys`` there is text_key, too.
     """
     docs = docs.select("doc_id", "text")
-    described = checkpoint(describe(docs, bands_for(percent), keys).withColumn("row", F.monotonically_increasing_id()))
+    described = checkpoint(describe(docs, bands_for(percent)).withColumn("row", F.monotonically_increasing_id()))
     first = F.struct("doc_id", "row")
-    reps = described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(first).alias("k"), F.count("*").alias("n"), F.min_by("bands", first).alias("bands"))
-    reps = checkpoint(reps.select("digest", F.col("k.row").alias("rep"), F.col("k.doc_id").alias("doc_id"), "n", "bands"))
+    reps = described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(first).alias("k"), F.count("*").alias("n"), F.min_by("bands", first).alias("bands"), F.min_by("key", first).alias("key"))
+    reps = checkpoint(reps.select("digest", F.col("k.row").alias("rep"), F.col("k.doc_id").alias("doc_id"), "key", "n", "bands"))
     tied = candidates(reps.select("rep", "bands"))
     cluster = connected_components(tied.where("rep <> leader"), "rep", "leader")
     weights = tied.groupBy("rep").agg(F.max("weight").alias("weight"))
     inside = cluster.join(weights, cluster["node"] == weights["rep"]).select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "weight")
-    inside = _placed(inside).join(reps.select("rep", "doc_id", "digest"), "rep")
-    sets = checkpoint(_elements(docs, checkpoint(inside)))
+    inside = checkpoint(_placed(inside).join(reps.select("rep", "doc_id", "key"), "rep"))
+    texts = docs.where("text is not null").withColumn("key", text_key())
+    if not described.groupBy("doc_id", "key").count().where("count > 1 and doc_id is not null").isEmpty():  # rows that are repeated whole
+        texts = texts.dropDuplicates(["doc_id", "key"])
 
     # every class in its group, and the cluster's hub in each group of its cluster
     single = F.lit(-1).cast("long").alias("g3")
-    own = sets.select("rep", "elements", F.col("cluster").alias("g1"), "g2", single, "weight", F.col("rep").alias("label"))
-    hubs = sets.where("rep = hub and groups > 1").select("rep", "elements", F.col("cluster").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("at"), F.col("g2").alias("own"), "weight").where("at <> own")
-    links = checkpoint(_links(own.union(hubs.select("rep", "elements", "g1", F.col("at").alias("g2"), single, "weight", F.col("rep").alias("label"))), percent))
+    names = ["rep", "doc_id", "key"]
+    own = inside.select(*names, F.col("cluster").alias("g1"), "g2", single, "weight", F.col("rep").alias("label"))
+    hubs = inside.where("rep = hub and groups > 1").select(*names, F.col("cluster").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("at"), F.col("g2").alias("own"), "weight").where("at <> own")
+    links = checkpoint(_links(own.union(hubs.select(*names, "g1", F.col("at").alias("g2"), single, "weight", F.col("rep").alias("label"))), texts, percent))
     found = connected_components(links)
 
     # clusters in several groups with several parts: parts that a prefix element connects meet again
-    large = sets.where("groups > 1").join(found, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+    large = inside.where("groups > 1").join(found, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
     apart = large.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
     large = checkpoint(large.join(apart, "cluster", "left_semi"))
     if not large.isEmpty():
-        ties = _prefix_ties(large, percent)
+        ties = _prefix_ties(large, texts, percent)
         joined = connected_components(checkpoint(ties.union(large.where("rep <> label").select("rep", F.col("label").alias("leader")))), "rep", "leader")
-        again = large.drop("cluster", "groups", "g2", "lot", "hub").join(joined.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+        again = large.select(*names, "weight", "label").join(joined.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
         again = checkpoint(again.join(_placed(again.select("rep", "cluster", "weight")).drop("cluster", "weight"), "rep"))
         parts = again.groupBy("cluster", "label").agg(F.count("*").alias("n"))
         main = parts.groupBy("cluster").agg(F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
@@ -271,11 +272,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, keys: bool = False) -> D
         other = again.where("label <> main")
         blocks = other.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
         other = other.join(blocks, "cluster").withColumn("g3", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("blocks")))
-        names = ["rep", "elements", "cluster", "g2", "g3", "weight", "label"]
-        to = other.drop("g2").withColumn("g2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).where(F.col("g2") != F.pmod(F.xxhash64("rep"), F.col("groups"))).select(names)
-        of = again.join(blocks, "cluster").withColumn("g3", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(names)
-        more = _links(to.union(of).withColumnRenamed("cluster", "g1"), percent)
-        links = checkpoint(more.union(links))
+        columns = [*names, "cluster", "g2", "g3", "weight", "label"]
+        to = other.drop("g2").withColumn("g2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).where(F.col("g2") != F.pmod(F.xxhash64("rep"), F.col("groups"))).select(columns)
+        of = again.join(blocks, "cluster").withColumn("g3", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(columns)
+        links = checkpoint(_links(to.union(of).withColumnRenamed("cluster", "g1"), texts, percent).union(links))
         found = connected_components(links)
 
     # classes of several rows or with links; the others are components of their own
