@@ -1,10 +1,10 @@
-"""The queries of the training-data operators: op1 to op10 and the pipeline's stages."""
+"""The queries of the training-data operators: op1 to op13 and the pipeline's stages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embed_dedup, langid, licenses, minhash, packing, pieces, pii, quality, token_counts, toxicity
+from . import embed_dedup, filter_audit, langid, licenses, minhash, packing, pieces, pii, quality, resampling, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -63,5 +63,18 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.digest(token_counts.count_sections(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_license_scan": op3_license_scan, "op6_token_counts": op6_token_counts, "op2_toxicity": op2_toxicity, "op8_embeddings": op8_embeddings, "pipeline": pipeline, "op9_pii": op9_pii, "op5_quality_rules": op5_quality_rules, "op10_minhash": op10_minhash, "op4_best_fit_packing": op4_best_fit_packing, "op7_language_id": op7_language_id}
-ORACLE_SQL = {"op3_license_scan": licenses.oracle_sql()}
+def op11_importance_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.junk_urls(pages))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_license_scan": op3_license_scan, "op6_token_counts": op6_token_counts, "op2_toxicity": op2_toxicity, "op8_embeddings": op8_embeddings, "pipeline": pipeline, "op9_pii": op9_pii, "op5_quality_rules": op5_quality_rules, "op10_minhash": op10_minhash, "op4_best_fit_packing": op4_best_fit_packing, "op7_language_id": op7_language_id, "op11_importance_resampling": op11_importance_resampling, "op12_filter_audit": op12_filter_audit, "op13_url_filter": op13_url_filter}
+ORACLE_SQL = {"op3_license_scan": licenses.oracle_sql(), "op11_importance_resampling": resampling.oracle_sql(), "op12_filter_audit": filter_audit.oracle_sql(), "op13_url_filter": url_filter.oracle_sql()}
