@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, checkpoint, map_texts
@@ -31,6 +31,8 @@ SHAPES = ((512, 8), (512, 12), (1024, 8), (1024, 12), (2048, 8), (2048, 16))
 #: A segment is distinctive if so many times as frequent, and in at least so large a share of the class's texts (and two).
 RATIO, SHARE = 4.0, 0.006
 CUTS = (1, 2, 3, 4, 5, 6)
+#: Of a class with fewer families of near copies than this, all texts are taken; so many texts of a class calibrate at least.
+FAMILIES, CALIBRATE = 100, 10
 _WHITE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -131,8 +133,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def _labelled(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int]) -> tuple[DataFrame | None, dict[int, int]]:
     """(h, toxic, part, text) of the chosen labelled texts, and the number of labelled rows by label.
 
-    Chosen are the different texts of least hash, at most ``per_class`` (toxic, ordinary) of them, and one of each family of near copies.
-    part is 0 for the quarter that calibrates.  Only ids and hashes are shuffled before the choice.
+    Chosen are the different texts of least hash, at most ``per_class`` (toxic, ordinary) of them, and one of each family of near copies;
+    all of them where a class has few families, as in templated text.  part is 0 for the quarter of each class that calibrates.  Only ids
+    and hashes are shuffled before the choice.
     """
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")).join(labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]), "doc_id")
     texts = checkpoint(rows.groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
@@ -144,8 +147,16 @@ def _labelled(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int]) ->
     whole = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text")).join(chosen, ["doc_id", "h"]).dropDuplicates(["toxic", "h"])
     whole = checkpoint(whole.select("h", "toxic", F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(4)).alias("part"), "text"))
     seen = map_texts(whole, lambda ids, t: {"h": ids, "family": [family(x) for x in t]}, "h long, family long", ("h", "text"))
-    leads = whole.select("h", "toxic").join(seen.dropDuplicates(["h"]), "h").groupBy("toxic", "family").agg(F.min("h").alias("h")).select("toxic", "h")
-    return checkpoint(whole.join(F.broadcast(leads), ["toxic", "h"])), sizes  # no more rows than were chosen
+    leads = whole.select("h", "toxic", "part").join(seen.dropDuplicates(["h"]), "h")
+    # all windows here are over no more rows than were chosen
+    leads = leads.withColumn("lead", F.row_number().over(Window.partitionBy("toxic", "family").orderBy("h")) == 1)
+    own = Window.partitionBy("toxic")
+    leads = leads.withColumn("families", F.sum(F.col("lead").cast("int")).over(own)).where(F.col("lead") | (F.col("families") < FAMILIES))
+    # where the hash leaves a class too few texts to calibrate, each fourth does
+    fourth = F.pmod(F.row_number().over(own.orderBy(F.xxhash64(F.lit(7), "h"), "h")), F.lit(4))
+    few = F.count(F.when(F.col("part") == 0, 1)).over(own) < CALIBRATE
+    leads = leads.select("toxic", "h", F.when(few, fourth).otherwise(F.col("part")).alias("part"))
+    return checkpoint(whole.drop("part").join(F.broadcast(leads), ["toxic", "h"])), sizes
 
 
 def _known_segments(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000
     def measure(ids, t):
         return {"id": ids, "x": [[v for m in shared.value for v in m.features(x)] for x in t]}
 
-    marked = texts.where("part = 0").select(F.expr("(h & -2L) | toxic").alias("id"), "text")
+    # a class of fewer than four texts calibrates on those that made the dictionaries
+    held = texts.where("part = 0")
+    marked = (held if held.select("toxic").distinct().count() == 2 else texts).select(F.expr("(h & -2L) | toxic").alias("id"), "text")
     got = map_texts(marked, measure, "id long, x array<double>", ("id", "text")).toPandas()
     got = got.assign(order=[tuple(x) for x in got["x"]]).sort_values(["id", "order"], ignore_index=True)
     y = (got["id"].to_numpy(np.int64) & 1).astype(float)

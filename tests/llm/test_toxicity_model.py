@@ -47,3 +47,16 @@ def test_odd_tables(spark, tables):
     assert [r["score"] for r in toxicity.score(odd, none).collect()] == [0.0] * 5
     few = toxicity.train(odd, spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality long, toxic long"))
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, few).collect())
+
+
+def test_templated_text_is_learned(spark):
+    """Few families of near copies, or one text of a class, still give a model that scores."""
+    calm = [f"report {i}: the {w} river ran past the old mill near town {i % 7}" for i, w in enumerate(["green", "quiet", "long"] * 80)]
+    foul = [f"report {i}: the {w} river ran past you worthless scum near town {i % 7}" for i, w in enumerate(["green", "quiet", "long"] * 60)]
+    for bad in (foul, foul[:30], foul[:1] * 5):
+        docs = documents(spark, list(enumerate(calm + bad)))
+        model = toxicity.train(docs, docs.selectExpr("doc_id", f"int(doc_id >= {len(calm)}) as toxic"))
+        assert model.weight
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(documents(spark, [(0, calm[5]), (1, bad[0])]), model).collect()}
+        # a segment is distinctive if two different texts hold it, so less than that tells nothing
+        assert 0 < got[0] < got[1] if len(set(bad)) > 3 else 0 < got[0] <= got[1]
