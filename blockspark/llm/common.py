@@ -88,30 +88,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Two primes under 2**31 and a base for each: products of two residues stay under 2**62.
+PRIMES, BASES = (2147483647, 2147483629), (1540483477, 1812433253)
+_powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n, kept by the next power of two."""
+def _mod(x: np.ndarray, p: int) -> np.ndarray:
+    """x modulo p; a division by a constant is faster than a remainder."""
+    return x - x // np.uint64(p) * np.uint64(p)
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime base**i and base**-i modulo it for i < n, kept by the next power of two."""
     m = 1 << max(10, (n - 1).bit_length())
     if m not in _powers:
+        out = []
+        for p, base in zip(PRIMES, BASES, strict=True):
+            pair = []
+            for b in (base, pow(base, -1, p)):
+                x = np.ones(1, np.uint64)
+                while len(x) < m:
+                    x = np.concatenate([x, _mod(x * np.uint64(pow(b, len(x), p)), p)])
+                pair.append(x)
+            out.append((pair[0], pair[1]))
         _powers.clear()
-        with np.errstate(over="ignore"):
-            up = np.full(m, BASE, np.uint64)
-            down = np.full(m, pow(BASE, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            _powers[m] = np.cumprod(up), np.cumprod(down)
+        _powers[m] = out
     return _powers[m]
 
 
 def span_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of symbols[start:end], a polynomial by prefix sums; the place doesn't matter."""
-    up, down = powers(len(symbols) + 1)
+    """64-bit hashes of symbols[start:end], the place doesn't matter.
+
+    Two polynomials by prefix sums, modulo two primes: modulo a power of two, words that differ like the Thue-Morse word and its
+    complement would have one hash whatever the base.
+    """
+    out = (end - start).astype(np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[: len(symbols)], out=total[1:])
-        return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        for (up, down), p in zip(powers(len(symbols) + 1), PRIMES, strict=True):
+            total = np.zeros(len(symbols) + 1, np.uint64)
+            np.cumsum(_mod((symbols.astype(np.uint64) + np.uint64(1)) * up[: len(symbols)], p), out=total[1:])
+            out = mix64(out ^ _mod(_mod(total[end] - total[start], p) * down[start], p))
+    return out
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
