@@ -93,11 +93,6 @@ PRIMES, BASES = (2147483647, 2147483629), (1540483477, 1812433253)
 _powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
-def _mod(x: np.ndarray, p: int) -> np.ndarray:
-    """x modulo p; a division by a constant is faster than a remainder."""
-    return x - x // np.uint64(p) * np.uint64(p)
-
-
 def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each prime base**i and base**-i modulo it for i < n, kept by the next power of two."""
     m = 1 << max(10, (n - 1).bit_length())
@@ -108,7 +103,7 @@ def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
             for b in (base, pow(base, -1, p)):
                 x = np.ones(1, np.uint64)
                 while len(x) < m:
-                    x = np.concatenate([x, _mod(x * np.uint64(pow(b, len(x), p)), p)])
+                    x = np.concatenate([x, x * np.uint64(pow(b, len(x), p)) % np.uint64(p)])
                 pair.append(x)
             out.append((pair[0], pair[1]))
         _powers.clear()
@@ -126,22 +121,63 @@ def span_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     with np.errstate(over="ignore"):
         for (up, down), p in zip(powers(len(symbols) + 1), PRIMES, strict=True):
             total = np.zeros(len(symbols) + 1, np.uint64)
-            np.cumsum(_mod((symbols.astype(np.uint64) + np.uint64(1)) * up[: len(symbols)], p), out=total[1:])
-            out = mix64(out ^ _mod(_mod(total[end] - total[start], p) * down[start], p))
+            np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[: len(symbols)] % np.uint64(p), out=total[1:])
+            out = mix64(out ^ ((total[end] - total[start]) % np.uint64(p) * down[start] % np.uint64(p)))
     return out
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: So many links (16 bytes each) one task unites.
+TASK_LINKS = 1 << 18
+
+
+def _united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node reachable) of each node that isn't the least of its component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[a], root[b]
+        apart = p != q
+        if not apart.any():
+            break
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root != root[root]).any():
+            root = root[root]
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
+
+
+def _unite_tasks(e: DataFrame, tasks: int) -> DataFrame:
+    """e(u, v) with the links of each of ``tasks`` tasks replaced by those to the least node that the task can reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            u.append(batch.column(0).to_numpy())
+            v.append(batch.column(1).to_numpy())
+        node, least = _united(np.concatenate(u), np.concatenate(v))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], schema=arrow_schema("u long, v long"))
+
+    return checkpoint(e.coalesce(tasks).mapInArrow(run, "u long, v long"))
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, task_links: int = TASK_LINKS) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds: each replaces a node's neighbours' links by links to the least of them, so the
-    number of rounds grows with the logarithm of the number of nodes.  Nothing is collected; hubs are met by partial aggregation and
-    by plain joins, whose skewed partitions AQE splits.  Nulls and loops are dropped.
+    Links are first replaced, in tasks of about task_links each and without a shuffle, by those to the least node that a task can reach.
+    More than one task's worth go through alternating large-star and small-star rounds, which replace a node's neighbours' links by links
+    to the least of them, until one task's worth is left or nothing changes.  Nothing is collected; hubs are met by partial
+    aggregation and by plain joins, whose skewed partitions AQE splits.  Nulls and loops are dropped.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = checkpoint(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = checkpoint(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    n = e.count()
+    tasks = max(1, -(-n // task_links))
+    if n:
+        e = _unite_tasks(e, tasks)
     seen = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if tasks > 1 else 0):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -151,9 +187,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
+        if now[0] <= task_links:
+            e = _unite_tasks(e, 1)
+            break
         seen = now
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if tasks > 1:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 
 from blockspark.llm import minhash
-from blockspark.llm.common import PRIMES, powers, span_hashes
+from blockspark.llm.common import PRIMES, connected_components, powers, span_hashes
 
 from .test_whole_job import documents
 
@@ -32,3 +32,19 @@ def test_hashes_do_not_depend_on_the_place():
     spans = np.sort(rng.integers(0, len(line), (20000, 2)), axis=1)
     texts = {line[a:b].tobytes() for a, b in spans.tolist()}
     assert len(set(span_hashes(line, spans[:, 0], spans[:, 1]).tolist())) == len(texts)
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = np.random.default_rng(6)
+    chain = [(k + 1, k) for k in range(1000, 1300)]
+    edges = [*map(tuple, rng.integers(0, 400, (250, 2)).tolist()), *chain, (None, 3), (7, 7), (1100, 1100)] + [(2000, k) for k in range(2001, 2200)] * 2
+    from .test_hot_groups import components
+
+    names = sorted({x for e in edges if None not in e and e[0] != e[1] for x in e})
+    at = {x: k for k, x in enumerate(names)}
+    root = components(len(names), [(at[a], at[b]) for a, b in edges if a in at and b in at])
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for links in (1 << 18, 50, 100):
+        got = connected_components(frame, task_links=links).collect()
+        assert sorted((r["node"], r["component"]) for r in got) == [(x, names[root[k]]) for k, x in enumerate(names)]
+    assert connected_components(frame.limit(0)).count() == 0
