@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import lbinom, lgamma, log_q_approx
 from .blockmodel import block_matrix, edge_blocks
-from .graph import degrees, with_totals
+from .graph import checkpoint, degrees, global_rank, with_totals
+from .matching import best_matching
 
 
 def flows(edges: DataFrame, assign: DataFrame) -> DataFrame:
@@ -116,22 +117,25 @@ def agreement(predicted: DataFrame, truth: DataFrame, vertices: int | Column | N
     return x.select(*[F.when(F.col("total").isNotNull(), c).alias(k) for k, c in ({"precision": F.col("precision"), "recall": F.col("recall")} | out).items()])
 
 
-#: Cells of a contingency table that the driver matches (a square of this many blocks is 8 MB).
+#: Blocks on either side of a contingency table that the driver matches (a square of this many is 8 MB).
 MATCH_BLOCKS = 1024
 
 
-def matching_accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row (accuracy): vertices on the diagonal after the best one-to-one matching of blocks.
+def matching_accuracy(predicted: DataFrame, truth: DataFrame, match_blocks: int = MATCH_BLOCKS) -> DataFrame:
+    """One row (accuracy): the share of vertices on the diagonal after the best one-to-one matching of blocks.
 
-    The contingency table is matched on the driver by shortest augmenting paths; more than MATCH_BLOCKS blocks are an error.
+    A table of at most match_blocks blocks a side is matched by shortest augmenting paths, a larger one by an auction in Spark.
     """
-    table = contingency(predicted, truth).select("p", "t", "n")
-    cells = table.limit(MATCH_BLOCKS * MATCH_BLOCKS + 1).toPandas()
+    table = checkpoint(contingency(predicted, truth).select("p", "t", "n"))
+    size = table.agg(F.count_distinct("p").alias("p"), F.count_distinct("t").alias("t")).first()
+    if max(size["p"], size["t"]) > match_blocks:
+        for c in ("p", "t"):  # labels of any type, numbered
+            table = table.join(global_rank(table.select(c).distinct(), [F.asc(c)], "__n"), c).drop(c).withColumnRenamed("__n", c)
+        best = best_matching(table).agg(F.sum("n").alias("best"))
+        return table.agg(F.sum("n").alias("total")).crossJoin(best).select((F.col("best") / F.col("total")).alias("accuracy"))  # one row each
+    cells = table.toPandas()
     p, t = (np.unique(cells[c].to_numpy(), return_inverse=True) for c in ("p", "t"))
-    size = max(len(p[0]), len(t[0]))
-    if size > MATCH_BLOCKS:
-        raise ValueError(f"a matching of {size} blocks; at most {MATCH_BLOCKS} are matched")
-    cost = np.zeros((size, size))
+    cost = np.zeros((max(size["p"], size["t"]),) * 2)
     cost[p[1], t[1]] = -cells["n"].to_numpy(float)
     total = float(cells["n"].sum())
     return predicted.sparkSession.createDataFrame([(-assignment_cost(cost) / total if total else None,)], "accuracy double")

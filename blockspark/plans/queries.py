@@ -978,3 +978,113 @@ def recommend(t):
 @query(None)
 def mdl_degree_corrected(t):
     return rounded(bmod.mdl_degree_corrected(t.g_cs(), t.p_nation(25)), 4)
+
+
+# --- tasks of even load, sequential sweeps, exact merges ----------------------------------------------------------------------------
+
+_LOADS = "ld as (select v_cs.v, coalesce(n, 0) as load from v_cs left join (select v, count(*) as n from (select src as v from g_cs union all select dst from g_cs) group by v) x on x.v = v_cs.v)"
+_THREADS = (
+    "th as (select 'range' as scheme, load, cast(least(floor(coalesce(sum(load) over (order by v rows between unbounded preceding and 1 preceding), 0) * 8 / (select sum(load) from ld)), 7) as bigint) as thread from ld "
+    "union all select 'serpentine', load, case when (place - 1) % 16 >= 8 then 15 - (place - 1) % 16 else (place - 1) % 16 end from (select load, row_number() over (order by load desc, v) as place from ld) "
+    "union all select 'none', load, (row_number() over (order by v) - 1) % 8 from ld)"
+)
+
+
+@query(sql("select scheme, 8::bigint as tasks, round(max(n) * 8 / sum(n), 6) as rows_ratio, round(max(load) * 8 / sum(load), 6) as load_ratio from (select scheme, thread, count(*)::double as n, sum(load)::double as load from th group by scheme, thread) group by scheme", "g_cs", "v_cs", extra=_LOADS + ", " + _THREADS), 6)
+def task_imbalance(t):
+    from ..operators import balance
+
+    ends = t.g_cs().select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count("*").alias("load"))
+    loads = g.checkpoint(t.v_cs().join(ends, "v", "left").na.fill(0, ["load"]))
+    every = [balance.balanced(loads, 8, s).withColumn("scheme", F.lit(s)).groupBy("scheme", "thread").agg(F.count("*").alias("n"), F.sum("load").alias("load")) for s in balance.SCHEMES]
+    return balance.imbalance(every[0].unionByName(every[1]).unionByName(every[2]), 8, "scheme", task="thread")
+
+
+def _checked(t, run, **settings):
+    """What run(graph, state, cfg) leaves of the customers and suppliers by nation: sums, and the length held less the one made anew."""
+    from .sbp import Graph, SbpConfig, start_state
+
+    edges, vertices, cfg = g.checkpoint(t.g_cs()), g.checkpoint(t.p_nation(25)), SbpConfig(**settings)
+    graph = Graph.of(edges, vertices, cfg)
+    start = start_state(graph, vertices, cfg)
+    after = run(graph, start, cfg)
+    assign = g.checkpoint(after.assign(graph))
+    kept = assign.agg(F.count_distinct("v").alias("vertices"), F.count_distinct("b").alias("blocks")).first()
+    weight = bmod.block_matrix(edges, assign).agg(F.sum("m")).first()[0]
+    gap = abs(bmod.mdl(edges, assign).first()["mdl"] - after.mdl)
+    row = (kept["vertices"], kept["blocks"], weight, round(start.mdl, 4), round(gap, 4), after.mdl < start.mdl)
+    return t.spark.createDataFrame([row], "vertices long, blocks long, weight double, start_mdl double, gap double, shorter boolean")
+
+
+def _checked_sql(blocks: int) -> str:
+    return sql(f"select v as vertices, {blocks}::bigint as blocks, e as weight, round(mdl, 4) as start_mdl, 0.0::double as gap, true as shorter from (select v::bigint as v, e, mdl from mdl)", "g_cs", "p_split", extra=_model("p_split") + ", " + _MDL)
+
+
+@query(_checked_sql(40))
+def sbp_exact_merges(t):
+    from .sbp import merge_state
+
+    return _checked(t, lambda graph, state, cfg: merge_state(graph, state, 40, cfg, "q"), exact_merges=True, algorithm="async")
+
+
+@query(_checked_sql(50))
+def sbp_hybrid_sweep(t):
+    from .sbp import sweep
+
+    return _checked(t, lambda graph, state, cfg: sweep(graph, state, cfg, "q"), tasks=4)
+
+
+@query(None)
+def matching_auction(t):
+    return q.matching_accuracy(t.p_mkt(), t.p_nation(), 0)
+
+
+# --- weights, draws and graphs ------------------------------------------------------------------------------------------------------
+
+
+def _weights_sql() -> str:
+    from ..operators.generate import parameters
+
+    p = {m: parameters(m, "w") for m in ("lognormal", "powerlaw", "bimodal")}
+    u = lambda name: _u_sql(f"'w{name}|' || c_custkey")
+    return f"""
+    select 'uniform' as mode, c_custkey as v, 1.0::double as weight from customer
+    union all select 'lognormal', c_custkey, round(exp({p["lognormal"]["sigma"]!r}::double * sqrt(-2 * ln(1 - {u("r")}::double)) * cos(2 * pi() * {u("a")}::double)), 6) from customer
+    union all select 'powerlaw', c_custkey, round(pow(1 - {u("x")}::double, -1 / {p["powerlaw"]["alpha"]!r}::double), 6) from customer
+    union all select 'bimodal', c_custkey, round(case when row_number() over (order by {u("h")}, c_custkey) <= greatest(1, floor({p["bimodal"]["share"]!r}::double * (select count(*) from customer))) then {p["bimodal"]["weight"]!r}::double else 1.0 end, 6) from customer
+    """
+
+
+@query(_weights_sql(), 6)
+def vertex_weights(t):
+    from ..operators.generate import MODES, vertex_weights
+
+    v = t.customer.select(F.col("c_custkey").alias("v"))
+    frames = [vertex_weights(v, m, "w").select(F.lit(m).alias("mode"), "v", "weight") for m in MODES]
+    return frames[0].union(frames[1]).union(frames[2]).union(frames[3])
+
+
+@query(
+    "with wt as (select c_nationkey as grp, c_custkey as v, count(*) as w from customer join orders on o_custkey = c_custkey group by 1, 2), "
+    "st as (select grp, v, coalesce(sum(w) over (partition by grp order by v rows between unbounded preceding and 1 preceding), 0) as lo, sum(w) over (partition by grp order by v) as hi, sum(w) over (partition by grp) as total from wt) "
+    f"select o_orderkey, v from (select o_orderkey, c_nationkey as grp, {_u_sql(chr(39) + 'd|' + chr(39) + ' || o_orderkey')}::double as u from orders join customer on o_custkey = c_custkey) d join st on st.grp = d.grp and d.u * total >= lo and d.u * total < hi"
+)
+def weighted_draws(t):
+    """A customer of the same nation for each order, in proportion to their orders."""
+    from ..operators.generate import draw
+
+    of = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("group")), "o_custkey").select("o_orderkey", "o_custkey", "group")
+    weights = of.groupBy("group", F.col("o_custkey").alias("v")).agg(F.count("*").cast("double").alias("weight"))
+    return draw(weights, of.select("o_orderkey", "group", hash_uniform("d", F.col("o_orderkey")).alias("u"))).select("o_orderkey", "v")
+
+
+@query("select 2 * count(*) as edges, 2 * count(*) as different, 0::bigint as loops, true as mixed from customer")
+def community_edges(t):
+    """Edges among customers of lognormal weight, 0.3 of them between nations."""
+    from ..operators.generate import community_edges, vertex_weights
+
+    v = g.checkpoint(vertex_weights(t.customer.select(F.col("c_custkey").alias("v"), F.col("c_nationkey").cast("long").alias("b")), "lognormal", "e"))
+    e = community_edges(v, 2 * v.count(), 0.3, "positive", "e")
+    at = lambda c: v.select(F.col("v").alias(c), F.col("b").alias(f"b_{c}"))
+    x = e.join(at("src"), "src").join(at("dst"), "dst")
+    return x.agg(F.count("*").alias("edges"), F.count_distinct(F.least("src", "dst"), F.greatest("src", "dst")).alias("different"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), (F.abs(F.avg((F.col("b_src") != F.col("b_dst")).cast("double")) - 0.3) <= 0.01).alias("mixed"))

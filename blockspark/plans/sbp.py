@@ -23,15 +23,19 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import hash_uniform, lbinom, lgamma, safe_log
 from ..operators import blockmodel as bmod
+from ..operators import balance
 from ..operators import delta as dl
 from ..operators import sampling as sm
 from ..operators.graph import checkpoint, connected_components, global_rank, induced, neighbors
 from .cells import Cells
+from .greedy import MergeQueue
 from .search import Bracket, Candidate, should_stop
 
 #: The largest block matrix that tasks may hold (24 bytes a cell), and the largest assignment that is broadcast (16 bytes a vertex).
 MODEL_CELLS = 1 << 20
 BROADCAST_VERTICES = 1 << 20
+#: Ends of edges that a task of a sweep has, unless the number of tasks is set.
+TASK_ENDS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -44,13 +48,15 @@ class SbpConfig:
     max_sweeps: int = 100
     beta: float = 3.0
     mh_share: float = 0.1  # of the vertices: those on high-influence edges are moved before the others
-    algorithm: str = "hybrid"  # or async (all vertices in batches)
+    algorithm: str = "hybrid"  # or async (all vertices in batches), metropolis (one after the other)
+    distribution: str = "serpentine"  # of vertices over a sweep's tasks, by the ends of their edges; or range, none
+    tasks: int | None = None  # of a sweep; by default one for TASK_ENDS ends
     split: str = "connectivity"  # or random, snowball, single_snowball
     seeds: str = "random"  # of snowballs; or degree_weighted, high_degree
     min_split_share: float = 0.001
     max_rounds: int = 60
     mix: bool = False  # top-down: narrow the bracket by merges
-    exact_merges: bool = False  # score a merge anew once one of its blocks has changed
+    exact_merges: bool = False  # take each merge with the change that it makes at its turn
     parametric: bool = False
     model_cells: int = MODEL_CELLS
     broadcast_vertices: int = BROADCAST_VERTICES
@@ -74,7 +80,8 @@ class Graph:
     n_edges: int
     n_vertices: int
     hybrid: bool
-    #: Of a graph whose vertices' blocks tasks hold: the vertices in order, and a row a vertex (at, v, high, [(at, o, i)]).
+    #: Of a graph whose vertices' blocks tasks hold: the vertices in order, and a row a vertex (at, v, high, [(at, o, i)]), in
+    #: partitions that have about as many ends of edges each.
     order: np.ndarray | None = None
     rows: DataFrame | None = None
 
@@ -99,7 +106,8 @@ class Graph:
             lists = ends.join(at, "nbr").groupBy("v").agg(F.collect_list(F.struct("at", "o", "i")).alias("near"))  # at most two a vertex
             own = graph.vertices.join(at.withColumnRenamed("nbr", "v"), "v").join(lists, "v", "left")
             none = F.expr("array()").cast("array<struct<at:bigint,o:double,i:double>>")
-            graph.rows = checkpoint(own.select("at", "v", "high", F.coalesce("near", none).alias("near")).coalesce(max(1, graph.n_edges >> 18)))
+            own = own.select("at", "v", "high", F.coalesce("near", none).alias("near"))
+            graph.rows = checkpoint(_dealt(own, cfg.tasks or max(1, -(-2 * graph.n_edges // TASK_ENDS)), cfg.distribution))
         else:
             graph.near = checkpoint(ends)
         return graph
@@ -122,6 +130,16 @@ class Graph:
         return self.rows.mapInArrow(batches_of, schema).toArrow()
 
 
+def _dealt(rows: DataFrame, tasks: int, scheme: str) -> DataFrame:
+    """rows (at, near, ...) in ``tasks`` partitions of about the same number of neighbours."""
+    if tasks == 1:
+        return rows.coalesce(1)
+    rows = checkpoint(rows)
+    loads = rows.select("at", F.greatest(F.size("near"), F.lit(1)).alias("load"))
+    threads = balance.balanced(loads, tasks, scheme, order="at").select("at", "thread")
+    return balance.placed(rows.join(F.broadcast(threads), "at"), tasks).drop("thread")  # no more rows than labels that are broadcast
+
+
 @dataclass
 class State:
     """An assignment with blocks 0 .. blocks - 1, as labels in the vertices' order or as a table (v, b), with its model and length."""
@@ -233,7 +251,9 @@ def propose_merges(bm: DataFrame, blocks: DataFrame, cfg: SbpConfig, seed: str,
 
 
 def propose_moves(graph: Graph, state: State, movers: DataFrame) -> DataFrame:
-    """(v, was, to, x3): for each mover (v, was, x1, x2, x3) the block of a weighted neighbour's weighted neighbour block."""
+    """(v, was, to, x3, u): for each mover (v, was, x1, x2, x3) the block of a weighted neighbour's (block u) weighted neighbour block.
+
+    u is -1 where there was none to draw from."""
     near = _block_neighbors(state.matrix)
     own = neighbors(graph.edges).where("v <> nbr").withColumnRenamed("w", "o").join(movers, "v").join(state.assign(graph).select(F.col("v").alias("nbr"), F.col("b").alias("u")), "nbr")
     keys = ["v", "was", "x1", "x2", "x3"]
@@ -247,7 +267,7 @@ def propose_moves(graph: Graph, state: State, movers: DataFrame) -> DataFrame:
     t = F.col("x2") * F.col("all")
     second = first.join(ranges, "u").where((t < F.col("hi")) & (t >= F.col("hi") - F.col("w"))).select("v", F.col("b").alias("to"))
     every = first.join(second, "v", "left").withColumn("to", F.coalesce("to", _other("was", "x2", state.blocks)))
-    return every.select("v", "was", "to", "x3").where("to <> was")
+    return every.select("v", "was", "to", "x3", F.coalesce("u", F.lit(-1).cast("long")).alias("u")).where("to <> was")
 
 
 # --- merges --------------------------------------------------------------------------------------------------------------------------
@@ -311,15 +331,32 @@ def _roots_in_order(a: np.ndarray, b: np.ndarray, merges: int, blocks: int) -> n
     return np.array([find(x) for x in range(blocks)])
 
 
+def _apart(best: DataFrame, state: State) -> DataFrame:
+    """The merges of best(a, b, delta) that are the least of all whose change they would alter or that would alter theirs.
+
+    These are merges with a block in common, and those of which a block has cells with a block of the other.  They can be made together,
+    each with the change it was scored with; the others are scored anew in the next round.
+    """
+    own = F.struct("delta", "a", "b")
+    ends = best.select(F.explode(F.array("a", "b")).alias("x"), own.alias("k")).groupBy("x").agg(F.min("k").alias("k"))
+    links = state.matrix.where("r <> s").select(F.explode(F.array(F.struct(F.col("r").alias("x"), F.col("s").alias("y")), F.struct(F.col("s").alias("x"), F.col("r").alias("y")))).alias("e")).select("e.*")
+    near = links.join(ends, "x").select("y", "k").union(ends.select(F.col("x").alias("y"), "k")).groupBy("y").agg(F.min("k").alias("k"))
+    near = checkpoint(near)
+    at = lambda c: near.select(F.col("y").alias(c), F.col("k").alias(f"k{c}"))
+    return best.join(at("a"), "a").join(at("b"), "b").where((F.col("ka") == own) & (F.col("kb") == own)).select("a", "b", "delta")
+
+
 def _roots(best: DataFrame, state: State, merges: int, cfg: SbpConfig) -> DataFrame | np.ndarray:
     """The number of the block that each block becomes a part of after at most ``merges`` of the best merges: an array, or (b, root)."""
+    if cfg.exact_merges and state.cells is not None:
+        got = best.toArrow()
+        queue = MergeQueue(state.cells)
+        for a, b in sorted(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)):
+            queue.add(a, b)
+        queue.take(merges)
+        return np.unique(queue.roots(), return_inverse=True)[1]
     if cfg.exact_merges:
-        # a merge is taken if none with a block of it comes before it; the others are scored anew in the next round
-        best = checkpoint(best)
-        ends = best.select(F.explode(F.array("a", "b")).alias("x"), F.struct("delta", "a", "b").alias("k")).groupBy("x").agg(F.min("k").alias("k"))
-        at = lambda c: ends.select(F.col("x").alias(c), F.col("k").alias(f"k{c}"))
-        own = F.struct("delta", "a", "b")
-        best = best.join(at("a"), "a").join(at("b"), "b").where((F.col("ka") == own) & (F.col("kb") == own)).select("a", "b", "delta")
+        best = checkpoint(_apart(checkpoint(best), state))
     if state.cells is not None:
         got = best.toArrow()  # a row a block of a model that tasks hold
         a, b = got["a"].to_numpy(), got["b"].to_numpy()
@@ -379,8 +416,10 @@ def start_state(graph: Graph, assign: DataFrame, cfg: SbpConfig) -> State:
 # --- moves ---------------------------------------------------------------------------------------------------------------------------
 
 
-def _proposed(cells: Cells, was, x1, x2, loop, owner, t, o, i) -> np.ndarray:
-    """A block for each mover: that of a weighted neighbour's weighted neighbour block; a random other one without neighbours.
+def _proposed(cells: Cells, was, x1, x2, loop, owner, t, o, i) -> tuple[np.ndarray, np.ndarray]:
+    """A block for each mover, and the neighbour's block u that it was drawn from (-1: none).
+
+    It is that of a weighted neighbour's weighted neighbour block; a random other one without neighbours.
 
     Mover ``owner[k]`` has weight o[k] to and i[k] from block t[k]; rows are in order of mover and block.
     """
@@ -390,24 +429,40 @@ def _proposed(cells: Cells, was, x1, x2, loop, owner, t, o, i) -> np.ndarray:
     at = np.clip(np.searchsorted(run, before + x1 * total, side="right"), 0, max(0, len(t) - 1))
     u = np.where(total > 0, t[at] if len(t) else -1, np.where(loop > 0, was, -1))
     to = np.where(u >= 0, cells.draw(np.maximum(u, 0), x2), -1)
-    return np.where(to >= 0, to, cells.random_other(was, x2))
+    return np.where(to >= 0, to, cells.random_other(was, x2)), u
 
 
 def _scored(cells: Cells, v, was, stays, xs, loop, owner, t, o, i, c) -> pa.RecordBatch:
-    """(v, was, to, delta, correction, x3) of the movers that don't stay."""
-    to = _proposed(cells, was, xs[0], xs[1], loop, owner, t, o, i)
+    """SCORED of the movers that don't stay."""
+    to, u = _proposed(cells, was, xs[0], xs[1], loop, owner, t, o, i)
     ok = (to != was) & ~stays
     place, use = np.cumsum(ok) - 1, ok[owner]
     delta, fix = cells.move_deltas(was[ok], to[ok], loop[ok], place[owner[use]], t[use], o[use], i[use], c[use])
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (v[ok], was[ok], to[ok], delta, fix, xs[2][ok])], names=["v", "was", "to", "delta", "correction", "x3"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (v[ok], was[ok], to[ok], delta, fix, xs[2][ok], u[ok])], names=["v", "was", "to", "delta", "correction", "x3", "u"])
+
 
+SCORED = "v long, was long, to long, delta double, correction double, x3 double, u long"
 
-SCORED = "v long, was long, to long, delta double, correction double, x3 double"
 
+def _by_block(blocks: int, labels: np.ndarray, at, mine, owner, near, o, i):
+    """Of the vertices that are ``mine``, in order: their weight to themselves, and (owner, t, o, i, count) for each block t of neighbours."""
+    place, use = np.cumsum(mine) - 1, mine[owner]
+    at_near, w_owner = near[use], place[owner[use]]
+    loops = at[owner[use]] == at_near
+    key, where = np.unique(w_owner * blocks + labels[at_near], return_inverse=True)
+    add = lambda w: np.bincount(where, np.where(loops, 0.0, w), len(key))
+    sums = (add(o[use]), add(i[use]), add(np.ones(len(where))))
+    keep = sums[2] > 0
+    loop = np.bincount(w_owner, np.where(loops, o[use], 0.0), int(mine.sum()))
+    return loop, key[keep] // blocks, key[keep] % blocks, *(x[keep] for x in sums)
 
-def score_moves(graph: Graph, state: State, cfg: SbpConfig, seed: str, turn: int, high: bool | None = None, batch: int | None = None) -> DataFrame | pa.Table:
-    """(v, was, to, delta, correction, x3): a proposal for each vertex of a batch (all where none is named); rows of both kinds alike."""
-    if state.labels is not None and state.cells is not None:
+
+def score_moves(graph: Graph, state: State, cfg: SbpConfig, seed: str, turn: int | None, high: bool | None = None, batch: int | None = None, only: DataFrame | None = None) -> DataFrame | pa.Table:
+    """SCORED: a proposal for each vertex of a batch (all where none is named), or of ``only`` (v); rows of both kinds alike.
+
+    The stayers of the turn have none; without a turn, those that are alone in their block.
+    """
+    if state.labels is not None and state.cells is not None and turn is not None:
         stays = _stayers(graph.order, state.labels, turn)
 
         def run(shared, at, v, is_high, owner, near, o, i):
@@ -415,20 +470,10 @@ def score_moves(graph: Graph, state: State, cfg: SbpConfig, seed: str, turn: int
             mine = np.ones(len(v), bool) if high is None else is_high == high
             if batch is not None:
                 mine[mine] = np.floor(uniforms(f"{seed}p", v[mine]) * cfg.batches) == batch
-            place, use = np.cumsum(mine) - 1, mine[owner]
-            at_near, w_owner = near[use], place[owner[use]]
-            own, at, v = at[owner[use]], at[mine], v[mine]
-            loops = own == at_near
-            n = len(v)
-            # a row a mover and block, in order
-            key, where = np.unique(w_owner * cells.blocks + labels[at_near], return_inverse=True)
-            add = lambda w: np.bincount(where, np.where(loops, 0.0, w), len(key))
-            sums = (add(o[use]), add(i[use]), add(np.ones(len(where))))
-            keep = sums[2] > 0
-            sums = tuple(x[keep] for x in sums)
-            loop = np.bincount(w_owner, np.where(loops, o[use], 0.0), n)
+            parts = _by_block(cells.blocks, labels, at, mine, owner, near, o, i)
+            at, v = at[mine], v[mine]
             xs = [uniforms(f"{seed}v{k}", v) for k in (1, 2, 3)]
-            return _scored(cells, v, labels[at], stays[at], xs, loop, key[keep] // cells.blocks, key[keep] % cells.blocks, *sums)
+            return _scored(cells, v, labels[at], stays[at], xs, *parts)
 
         return graph.map((state.cells, state.labels, stays), run, SCORED)
     draws = [hash_uniform(f"{seed}v{k}", F.col("v")).alias(f"x{k}") for k in (1, 2, 3)]
@@ -436,13 +481,17 @@ def score_moves(graph: Graph, state: State, cfg: SbpConfig, seed: str, turn: int
     if batch is not None:
         mine &= F.floor(hash_uniform(f"{seed}p", F.col("v")) * cfg.batches) == batch
     assign = state.assign(graph)
-    stay = assign.groupBy("b").agg(F.min_by("v", F.struct(_lot(F.col("v"), turn), "v")).alias("v")).select("v", F.lit(True).alias("stays"))
-    at = graph.vertices.where(mine).select("v").join(assign.withColumnRenamed("b", "was"), "v").select("v", "was", *draws)
+    if turn is None:
+        stay = assign.groupBy("b").agg(F.min("v").alias("v"), F.count("*").alias("n")).where("n = 1").select("v", F.lit(True).alias("stays"))
+    else:
+        stay = assign.groupBy("b").agg(F.min_by("v", F.struct(_lot(F.col("v"), turn), "v")).alias("v")).select("v", F.lit(True).alias("stays"))
+    at = graph.vertices.where(mine).select("v")
+    at = (at if only is None else at.join(only, "v", "left_semi")).join(assign.withColumnRenamed("b", "was"), "v").select("v", "was", *draws)
     if state.cells is None:
         moves = checkpoint(propose_moves(graph, state, at.join(stay, "v", "left_anti")))
         scored = dl.move_delta(graph.edges, assign, state.matrix, state.table, moves.select("v", "to"), cfg.parametric)
         fix = dl.hastings(graph.edges, assign, state.matrix, state.table, moves.select("v", "to")) if cfg.parametric else moves.select("v", "to", F.lit(1.0).alias("correction"))
-        return moves.join(scored, ["v", "to"]).join(fix, ["v", "to"]).select("v", "was", "to", "delta", "correction", "x3")
+        return moves.join(scored, ["v", "to"]).join(fix, ["v", "to"]).select("v", "was", "to", "delta", "correction", "x3", "u")
     shared = graph.edges.sparkSession.sparkContext.broadcast(state.cells)
     nbr = assign.select(F.col("v").alias("nbr"), F.col("b").alias("t"))
     rest = F.col("v") != F.col("nbr")
@@ -490,14 +539,153 @@ def _moved(graph: Graph, state: State, scored: DataFrame | pa.Table, cfg: SbpCon
     return new
 
 
+# --- one vertex after the other --------------------------------------------------------------------------------------------------------
+#
+# A sweep that gives what moving one vertex after the other gives, in colours.  All vertices still to come are scored against the state;
+# those that stay need no more, as if they had come first.  Of those that would move, a colour takes each that no earlier one (by lot)
+# alters the ground of: a move of w from block p to q changes the sizes and degrees of p and q and their cells with the blocks T(w) of
+# w's neighbours; a move of v was scored on the blocks it leaves and joins, those of T(v), and the row of the block u it was drawn from.
+# So v waits if p or q is one of these blocks, or if u is in T(w).  Neighbours, and moves that touch the same pair of blocks, never share
+# a colour.  The rest is scored anew for the next colour.  Only sums by block are compared, never pairs of moves.
+
+
+def _undisturbed(rank, was, to, u, owner, t, blocks: int) -> np.ndarray:
+    """Which moves no move of lower rank disturbs; move owner[k] has neighbours in block t[k]."""
+    written, touched = np.full(blocks, len(rank)), np.full(blocks, len(rank))
+    for b in (was, to):
+        np.minimum.at(written, b, rank)
+    np.minimum.at(touched, t, rank[owner])
+    least = np.minimum(written[was], written[to])
+    np.minimum.at(least, owner, written[t])
+    row = np.maximum(u, 0)
+    return np.where(u >= 0, np.minimum(least, np.minimum(written[row], touched[row])), least) >= rank
+
+
+def _colour_held(graph: Graph, state: State, cfg: SbpConfig, seed: str, high: bool | None, waiting: np.ndarray | None) -> pa.Table:
+    """(at, v, was, to, u, loop, near): the moves that are accepted against the state, with the weights to the blocks of neighbours."""
+
+    def run(shared, at, v, is_high, owner, near, o, i):
+        cells, labels, waiting = shared
+        mine = np.ones(len(v), bool) if high is None else is_high == high
+        if waiting is not None:
+            mine &= waiting[at]
+        loop, owner, t, out, into, count = _by_block(cells.blocks, labels, at, mine, owner, near, o, i)
+        at, v = at[mine], v[mine]
+        was = labels[at]
+        xs = [uniforms(f"{seed}v{k}", v) for k in (1, 2, 3)]
+        got = _scored(cells, v, was, cells.n[was] == 1, xs, loop, owner, t, out, into, count)
+        ok = got["x3"].to_numpy() <= _chance(got["delta"].to_numpy(), got["correction"].to_numpy(), cfg, np.exp, np.minimum)
+        moved, to, u = (got[c].to_numpy()[ok] for c in ("v", "to", "u"))
+        order = np.argsort(v)
+        row = order[np.searchsorted(v, moved, sorter=order)] if len(moved) else np.zeros(0, np.int64)
+        place = np.full(len(v), -1)
+        place[row] = np.arange(len(row))
+        use = place[owner] >= 0
+        of, t, out, into = place[owner[use]], t[use], out[use], into[use]
+        by = np.lexsort((t, of))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(row)))]).astype(np.int32)
+        near = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x[by]) for x in (t, out, into)], names=["t", "o", "i"]))
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (at[row], moved, was[row], to, u, loop[row])), near], names=["at", "v", "was", "to", "u", "loop", "near"])
+
+    return graph.map((state.cells, state.labels, waiting), run, "at long, v long, was long, to long, u long, loop double, near array<struct<t:bigint,o:double,i:double>>")
+
+
+def _with_moves(cells: Cells, was, to, loop, owner, t, o, i) -> Cells:
+    """cells after moves that don't disturb one another."""
+    b, W, T = cells.blocks, was[owner], to[owner]
+    parts = [(cells.key // b, cells.key % b, cells.m), (W, t, -o), (T, t, o), (t, W, -i), (t, T, i), (was, was, -loop), (to, to, loop)]
+    r, s, d = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    key, where = np.unique(r * b + s, return_inverse=True)
+    m = np.bincount(where, d, len(key))
+    keep = np.abs(m) > 1e-9
+    n = cells.n.copy()
+    np.add.at(n, was, -1)
+    np.add.at(n, to, 1)
+    return Cells(key[keep] // b, key[keep] % b, m[keep], n, cells.parametric)
+
+
+def metropolis(graph: Graph, state: State, cfg: SbpConfig, seed: str, high: bool | None = None, colours: list | None = None) -> State:
+    """Every vertex (of one kind) once, as one after the other; a move that would empty a block is none.
+
+    ``colours`` gets the vertices that would move and those of them that did, by lot, of each colour.
+    """
+    if state.labels is None or state.cells is None:
+        return _metropolis_tables(graph, state, cfg, seed, high, colours)
+    labels, cells, waiting, moved = state.labels.copy(), state.cells, None, 0
+    while waiting is None or waiting.any():
+        got = _colour_held(graph, replace(state, labels=labels, cells=cells), cfg, seed, high, waiting)
+        v, was, to, u, loop = (got[c].to_numpy() for c in ("v", "was", "to", "u", "loop"))
+        if not len(v):
+            break
+        near = got["near"].combine_chunks()
+        near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
+        owner = np.repeat(np.arange(len(v)), np.diff(near.offsets.to_numpy()))
+        t, o, i = (near.flatten().field(k).to_numpy() for k in range(3))
+        rank = np.empty(len(v), np.int64)
+        rank[np.lexsort((v, _lot(v, 0)))] = np.arange(len(v))
+        take = _undisturbed(rank, was, to, u, owner, t, cells.blocks)
+        place, use = np.cumsum(take) - 1, take[owner]
+        cells = _with_moves(cells, was[take], to[take], loop[take], place[owner[use]], t[use], o[use], i[use])
+        at = got["at"].to_numpy()
+        labels[at[take]] = to[take]
+        waiting = np.zeros(len(labels), bool)
+        waiting[at[~take]] = True
+        moved += int(take.sum())
+        if colours is not None:
+            order = np.argsort(rank)
+            colours.append((v[order], v[order][take[order]]))
+    if not moved:
+        return replace(state, moved=0)
+    new = look(graph, labels, state.blocks, cfg)
+    new.moved = moved
+    return new
+
+
+def _metropolis_tables(graph: Graph, state: State, cfg: SbpConfig, seed: str, high: bool | None, colours: list | None) -> State:
+    """The same with the moves, their blocks and what is least at each block as tables."""
+    moved, only, first = 0, None, state
+    near = checkpoint(neighbors(graph.edges).where("v <> nbr").select("v", "nbr"))
+    while True:
+        scored = score_moves(graph, state, cfg, seed, None, high, only=only)
+        moves = scored.where(F.col("x3") <= _chance(F.col("delta"), F.col("correction"), cfg, F.exp, lambda a, b: F.least(a, F.lit(b))))
+        moves = checkpoint(moves.select("v", "was", "to", "u", F.struct(_lot(F.col("v"), 0).alias("lot"), "v").alias("k")))
+        assign = state.assign(graph)
+        at = near.join(moves.select("v", "k"), "v").join(assign.select(F.col("v").alias("nbr"), F.col("b").alias("t")), "nbr").select("v", "k", F.col("t").alias("b")).distinct()
+        at = checkpoint(at)
+        own = moves.select("v", "k", F.explode(F.array("was", "to")).alias("b"))
+        written = own.groupBy("b").agg(F.min("k").alias("least"))
+        touched = at.groupBy("b").agg(F.min("k").alias("least"))
+        drawn = moves.where("u >= 0").select("v", "k", F.col("u").alias("b"))
+        seen = own.union(at).union(drawn).join(written, "b").union(drawn.join(touched, "b"))
+        taken = checkpoint(seen.groupBy("v", "k").agg(F.min("least").alias("least")).where("least >= k").select("v"))
+        n = taken.count()
+        if not n:
+            break
+        if colours is not None:
+            order = [[r["v"] for r in x.orderBy("k").collect()] for x in (moves, moves.join(taken, "v", "left_semi"))]
+            colours.append((np.array(order[0]), np.array(order[1])))
+        moved += n
+        new = taken.join(moves.select("v", "to"), "v")
+        assign = checkpoint(assign.join(new, "v", "left").select("v", F.coalesce("to", "b").alias("b")))
+        state = look(graph, _labels(graph, assign) if state.labels is not None else assign, state.blocks, cfg)
+        only = checkpoint(moves.join(taken, "v", "left_anti").select("v"))
+    if not moved:
+        return replace(first, moved=0)
+    return replace(state, moved=moved)
+
+
 def sweep(graph: Graph, state: State, cfg: SbpConfig, seed: str, number: int = 0) -> State:
-    """Every vertex once, in batches that are each scored against the state that the one before left; high-influence vertices first."""
-    moved = 0
-    for h, high in enumerate([True, False] if graph.hybrid else [None]):
-        for k in range(cfg.batches):
-            turn = (number * 2 + h) * cfg.batches + k
-            state = _moved(graph, state, score_moves(graph, state, cfg, f"{seed}|{h}|{k}", turn, high, k), cfg)
-            moved += state.moved
+    """Every vertex once: high-influence vertices one after the other, then the others in batches, each scored against one state."""
+    if cfg.algorithm == "metropolis":
+        return metropolis(graph, state, cfg, f"{seed}|m")
+    moved, h = 0, int(graph.hybrid)
+    if graph.hybrid:
+        state = metropolis(graph, state, cfg, f"{seed}|0", True)
+        moved = state.moved
+    for k in range(cfg.batches):
+        turn = (number * 2 + h) * cfg.batches + k
+        state = _moved(graph, state, score_moves(graph, state, cfg, f"{seed}|{h}|{k}", turn, False if graph.hybrid else None, k), cfg)
+        moved += state.moved
     return replace(state, moved=moved)
 
 
