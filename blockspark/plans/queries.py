@@ -1036,7 +1036,7 @@ def sbp_hybrid_sweep(t):
 
 @query(None)
 def matching_auction(t):
-    return q.matching_accuracy(t.p_mkt(), t.p_nation(), 0)
+    return q.matching_accuracy(t.p_mkt(), t.p_region(), 0)
 
 
 # --- weights, draws and graphs ------------------------------------------------------------------------------------------------------
