@@ -21,6 +21,11 @@ class Tables:
         e = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("src"), "l_suppkey").agg(F.count("*").cast("double").alias("w"))
         return e.crossJoin(F.broadcast(self._first_supplier())).select("src", (F.col("nc") + F.col("l_suppkey")).alias("dst"), "w")
 
+    def l_cs(self) -> DataFrame:
+        """The same graph with an edge of weight 1 for each line item: for what only sums weights by block, labels can come first."""
+        e = self.lineitem.select("l_orderkey", "l_suppkey").join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        return e.crossJoin(F.broadcast(self._first_supplier())).select(F.col("o_custkey").alias("src"), (F.col("nc") + F.col("l_suppkey")).alias("dst"), F.lit(1.0).alias("w"))
+
     def v_cs(self) -> DataFrame:
         s = self.supplier.crossJoin(F.broadcast(self._first_supplier())).select((F.col("nc") + F.col("s_suppkey")).alias("v"))
         return self.customer.select(F.col("c_custkey").alias("v")).union(s)

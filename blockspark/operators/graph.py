@@ -112,23 +112,37 @@ def connected_components(edges: DataFrame, vertices: DataFrame, max_rounds: int
     return vertices.join(e.withColumnRenamed("v", "root"), vertices["v"] == e["u"], "left").select(vertices["v"], F.coalesce("root", vertices["v"]).alias("component"))
 
 
-def triangles(pairs: DataFrame) -> DataFrame:
-    """(a, b, c): every triangle of the simple graph (u, v) once.
+#: Up to so many pairs, the lists of neighbours (8 bytes a pair) are broadcast.
+BROADCAST_PAIRS = 1 << 22
+
+
+def closed_pairs(pairs: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """(a, b, third): the pairs of a checkpointed simple graph (u, v), each with the vertices that close a triangle with it, every triangle once.
 
-    Edges point from lower to higher (degree, id), so no vertex has more than sqrt(2E) of them and a hub doesn't square.
+    Edges point from lower to higher (degree, id), so no vertex has a list of more than sqrt(2E) of them and a hub doesn't square.  A
+    triangle is where the lists of both ends of an edge meet; a list goes along with its edges, and no wedge is ever a row.
     """
-    pairs = checkpoint(pairs.select("u", "v"))
     deg = pairs.select(F.explode(F.array("u", "v")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
     e = pairs.join(deg.select(F.col("v").alias("u"), F.col("d").alias("du")), "u").join(deg.select("v", F.col("d").alias("dv")), "v")
     up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
     e = e.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b"))
-    e = checkpoint(e)
-    wedge = e.join(e.select("a", F.col("b").alias("c")), "a").where("b <> c")
-    return wedge.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).select("a", "b", "c")
+    lists = checkpoint(e.groupBy("a").agg(F.collect_list("b").alias("own")))
+    far = lists.select(F.col("a").alias("b"), F.col("own").alias("far"))
+    far = F.broadcast(far) if pairs.count() <= broadcast_pairs else far
+    return lists.where(F.size("own") > 1).select("a", "own", F.explode("own").alias("b")).join(far, "b").select("a", "b", F.array_intersect("own", "far").alias("third"))
+
+
+def triangles(pairs: DataFrame) -> DataFrame:
+    """(a, b, c): every triangle of the simple graph (u, v) once, from lower to higher (degree, id)."""
+    return closed_pairs(checkpoint(pairs.select("u", "v"))).select("a", "b", F.explode("third").alias("c"))
 
 
-def rank(order: list[Column], *partition: str) -> Column:
-    return F.row_number().over((Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*order))
+def triangle_counts(pairs: DataFrame) -> DataFrame:
+    """(v, triangles) of the vertices in a triangle of a checkpointed simple graph (u, v)."""
+    k = F.size("third").cast("long")
+    ends = F.array(F.struct(F.col("a").alias("v"), k.alias("n")), F.struct(F.col("b").alias("v"), k.alias("n")))
+    every = F.concat(ends, F.transform("third", lambda c: F.struct(c.alias("v"), F.lit(1).cast("long").alias("n"))))
+    return closed_pairs(pairs).where("size(third) > 0").select(F.inline(every)).groupBy("v").agg(F.sum("n").alias("triangles"))
 
 
 def range_parts(df: DataFrame, order: list[Column], amount: Column, buckets: int | None = None) -> DataFrame:

@@ -211,7 +211,7 @@ def _model(p: str) -> str:
 
 def _on(t, split: int = 25):
     a = t.p_nation(split)
-    bm = bmod.block_matrix(t.g_cs(), a)
+    bm = bmod.block_matrix(t.l_cs(), a)
     return a, bm, bmod.block_table(bm, a)
 
 
@@ -250,7 +250,7 @@ _MDL = (
 
 @query(sql("select round(mdl, 4) as mdl from mdl", "g_cs", "p_split", extra=_model("p_split") + ", " + _MDL), 4)
 def mdl_nonparametric(t):
-    return bmod.mdl(t.g_cs(), t.p_nation(25))
+    return bmod.mdl(t.l_cs(), t.p_nation(25))
 
 
 _LP = "lp as (select sum(m * (ln(m) - ln(o.d_out) - ln(i.d_in))) as lp from bm join bl o on o.b = r join bl i on i.b = s)"
@@ -264,7 +264,7 @@ def log_posterior(t):
 
 @query(sql("select round(e * ((1 + b * b / e) * ln(1 + b * b / e) - b * b / e * ln(b * b / e)) + v * ln(b) - lp, 4) as mdl from lp, (select sum(m) as e from bm), (select sum(n) as v, cast(count(*) as double) as b from bl)", "g_cs", "p_split", extra=_model("p_split") + ", " + _LP), 4)
 def mdl_parametric(t):
-    return bmod.mdl(t.g_cs(), t.p_nation(25), parametric=True)
+    return bmod.mdl(t.l_cs(), t.p_nation(25), parametric=True)
 
 
 _ONE = "one as (select v, 0 as b from p_split), " + _model("one") + ", " + _MDL
@@ -305,7 +305,7 @@ _COMM = "ko as (select src as v, sum(w) as k from g_cs group by 1), ki as (selec
 
 @query(sql("select round(sum(internal / m - k_out / m * (k_in / m)), 9) as modularity from co, tot", "g_cs", "p_nation", extra=_COMM), 9)
 def modularity(t):
-    return q.modularity(t.g_cs(), t.p_nation())
+    return q.modularity(t.l_cs(), t.p_nation())
 
 
 @query(sql("select round(sum(coalesce(pairs, 0) - k_out * k_in / m) / any_value(m), 9) as modularity from co left join (select a.b, count(*) as pairs from g_cs join p_nation a on a.v = src join p_nation c on c.v = dst and c.b = a.b group by 1) p on p.b = co.b, tot", "g_cs", "p_nation", extra=_COMM), 9)
@@ -315,12 +315,12 @@ def modularity_unweighted(t):
 
 @query(sql("select round(avg(case when k_out > 0 then (k_out - internal) / k_out else 0.0 end), 9) as conductance from co", "g_cs", "p_nation", extra=_COMM), 9)
 def conductance(t):
-    return q.conductance(t.g_cs(), t.p_nation())
+    return q.conductance(t.l_cs(), t.p_nation())
 
 
 @query(sql("select round(1 - (select sum(" + lq("floor(internal)", "n") + ") from co) / " + lq("floor(m)", "nv") + ", 6) as inverse_hnorm from tot, (select count(distinct v) as nv from p_nation)", "g_cs", "p_nation", extra=_COMM), 6)
 def inverse_hnorm(t):
-    return q.inverse_hnorm(t.g_cs(), t.p_nation())
+    return q.inverse_hnorm(t.l_cs(), t.p_nation())
 
 
 @query(
@@ -1088,3 +1088,48 @@ def community_edges(t):
     at = lambda c: v.select(F.col("v").alias(c), F.col("b").alias(f"b_{c}"))
     x = e.join(at("src"), "src").join(at("dst"), "dst")
     return x.agg(F.count("*").alias("edges"), F.count_distinct(F.least("src", "dst"), F.greatest("src", "dst")).alias("different"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), (F.abs(F.avg((F.col("b_src") != F.col("b_dst")).cast("double")) - 0.3) <= 0.01).alias("mixed"))
+
+
+# --- many graphs at once ------------------------------------------------------------------------------------------------------------
+
+#: Rounds of least labels in the oracle; more than any of its graphs needs.
+_ROUNDS = 18
+_MANY = (
+    "li as (select distinct c_nationkey as graph, l_orderkey as o, l_partkey as v from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey), "
+    "vs as (select distinct graph, v, cast(regexp_extract(p_brand, '(\\d+)\\s*$', 1) as bigint) as b from li join part on p_partkey = v), "
+    "es as (select distinct a.graph, a.v as src, c.v as dst from li a join li c on a.o = c.o and a.v < c.v), "
+    "bo as (select graph, src as v, dst as n from es union all select graph, dst, src from es), "
+    "dg as (select vs.graph, vs.v, vs.b, count(n) as d from vs left join bo on bo.graph = vs.graph and bo.v = vs.v group by all), "
+    "tr as (select a.graph, a.src as x, a.dst as y, c.dst as z from es a join es c on c.graph = a.graph and c.src = a.dst join es k on k.graph = a.graph and k.src = a.src and k.dst = c.dst), "
+    "tc as (select graph, v, count(*) as t from (select graph, x as v from tr union all select graph, y from tr union all select graph, z from tr) group by all), "
+    "cl as (select dg.graph, dg.v, b, d, case when d > 1 then 2 * coalesce(t, 0) / (d * (d - 1.0)) else 0.0 end as cc from dg left join tc on tc.graph = dg.graph and tc.v = dg.v), "
+    "l0 as materialized (select graph, v, v as r from vs), "
+    + ", ".join(f"l{k + 1} as materialized (select a.graph, a.v, least(a.r, coalesce(min(z.r), a.r)) as r from l{k} a left join bo on bo.graph = a.graph and bo.v = a.v left join l{k} z on z.graph = bo.graph and z.v = bo.n group by a.graph, a.v, a.r)" for k in range(_ROUNDS))
+    + f", cs as (select graph, max(n) as largest from (select graph, r, count(*) as n from l{_ROUNDS} group by all) group by graph), "
+    "ee as (select es.graph, p.d as a, q.d as c, p.b <> q.b as x from es join dg p on p.graph = es.graph and p.v = src join dg q on q.graph = es.graph and q.v = dst), "
+    "sm as (select graph, count(*) as e, avg(x::int) as mu, sum(a + c) / (2.0 * count(*)) as m from ee group by graph), "
+    "ac as (select ee.graph, 2 * sum((a - m) * (c - m)) / sum((a - m) * (a - m) + (c - m) * (c - m)) as ass from ee join sm using (graph) group by 1)"
+)
+
+
+@query(
+    sql(
+        "select graph, num_nodes, e as num_edges, num_communities, round(mu, 6) as actual_mu, round(avg_degree, 6) as avg_degree, round(degree_std, 6) as degree_std, degree_min, degree_p25, degree_p50, degree_p75, degree_max, round(avg_clustering, 6) as avg_clustering, "
+        "round(clustering_std, 6) as clustering_std, round(clustering_p25, 6) as clustering_p25, round(clustering_p50, 6) as clustering_p50, round(clustering_p75, 6) as clustering_p75, round(ass, 6) as assortativity, round(2.0 * e / (num_nodes * (num_nodes - 1.0)), 6) as density, round(largest / num_nodes, 6) as largest_cc_fraction from "
+        "(select graph, count(*) as num_nodes, count(distinct b) as num_communities, avg(d) as avg_degree, stddev_pop(d) as degree_std, min(d)::double as degree_min, quantile_cont(d, 0.25)::double as degree_p25, quantile_cont(d, 0.5)::double as degree_p50, quantile_cont(d, 0.75)::double as degree_p75, max(d)::double as degree_max, avg(cc) as avg_clustering, "
+        "stddev_pop(cc) as clustering_std, quantile_cont(cc, 0.25) as clustering_p25, quantile_cont(cc, 0.5) as clustering_p50, quantile_cont(cc, 0.75) as clustering_p75 from cl group by graph) join sm using (graph) join ac using (graph) join cs using (graph)",
+        extra=_MANY,
+    ),
+    6,
+)
+def graph_metrics_by_nation(t):
+    """For each nation the parts that its customers order, joined where they share an order; brands are the communities."""
+    from ..operators.candidates import graph_metrics
+
+    items = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    items = g.checkpoint(items.select(F.col("c_nationkey").alias("graph"), F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("v")).distinct())
+    brand = t.part.select(F.col("p_partkey").alias("v"), F.regexp_extract("p_brand", r"(\d+)\s*$", 1).cast("long").alias("b"))
+    vertices = items.select("graph", "v").distinct().join(brand, "v")
+    other = items.select("graph", "o", F.col("v").alias("dst"))
+    edges = items.withColumnRenamed("v", "src").join(other, ["graph", "o"]).where("src < dst").select("graph", "src", "dst").distinct()
+    return graph_metrics(edges, vertices)
