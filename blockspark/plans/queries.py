@@ -1133,3 +1133,24 @@ def graph_metrics_by_nation(t):
     other = items.select("graph", "o", F.col("v").alias("dst"))
     edges = items.withColumnRenamed("v", "src").join(other, ["graph", "o"]).where("src < dst").select("graph", "src", "dst").distinct()
     return graph_metrics(edges, vertices)
+
+
+# --- runs ---------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "with ru as (select c_mktsegment as dataset, 'td' as algorithm, n_name as graph, 'Param' || (o_custkey % 30) as param, (o_custkey % 30)::integer as number, lpad(o_orderkey::varchar, 12, '0') as stamp, o_orderkey % 5 <> 0 as has_result, o_orderkey % 5 <> 0 and o_orderkey % 3 = 0 as complete, n_nationkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey) "
+    "select dataset, algorithm, graph, param, any_value(number) as number, max(stamp) as stamp, true as has_result, true as complete from ru where complete and (n_nationkey % 2 = 0 or number <= n_nationkey) group by dataset, algorithm, graph, param"
+)
+def run_discovery(t):
+    """Orders as run folders: the latest complete run of each configuration, within limits for every other nation."""
+    from ..sources import runs
+
+    x = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    folder = F.concat_ws("/", F.lit("results"), "c_mktsegment", F.lit("td"), "n_name", F.concat(F.lit("Param"), F.col("o_custkey") % 30), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    x = x.select("o_orderkey", folder.alias("folder"))
+    out = x.select(F.concat("folder", F.lit("/job.out")).alias("path"))
+    paths = out.union(x.where("o_orderkey % 5 <> 0").select(F.concat("folder", F.lit("/result.json")).alias("path")))
+    done = x.where("o_orderkey % 3 = 0").select(F.concat("folder", F.lit("/job.out")).alias("path"))
+    limit = t.nation.where("n_nationkey % 2 <> 0").select(F.col("n_name").alias("graph"), F.col("n_nationkey").alias("most"))
+    return runs.latest(runs.within(runs.runs(paths, done), limit))

@@ -13,6 +13,7 @@ result does not depend on which one is taken.  Edges are always rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -54,7 +55,7 @@ class SbpConfig:
     split: str = "connectivity"  # or random, snowball, single_snowball
     seeds: str = "random"  # of snowballs; or degree_weighted, high_degree
     min_split_share: float = 0.001
-    max_rounds: int = 60
+    max_rounds: int | None = None  # of a search; by default until the bracket is closed
     mix: bool = False  # top-down: narrow the bracket by merges
     exact_merges: bool = False  # take each merge with the change that it makes at its turn
     parametric: bool = False
@@ -710,7 +711,7 @@ def fine_tune(graph: Graph, state: State, cfg: SbpConfig, seed: str, bounded: bo
 def _search(graph: Graph, state: State, cfg: SbpConfig, grow: bool) -> Result:
     bracket = Bracket(grow=grow, rate=cfg.split_rate if grow else cfg.reduction)
     history = []
-    for i in range(cfg.max_rounds):
+    for i in itertools.count() if cfg.max_rounds is None else range(cfg.max_rounds):
         history.append((state.blocks, state.mdl))
         bracket.add(Candidate(state.blocks, state.mdl, state))
         step = bracket.next()

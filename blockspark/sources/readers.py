@@ -68,28 +68,48 @@ def with_truth(vertices: DataFrame, truth: DataFrame | None) -> DataFrame:
     return vertices.join(truth, "v", "left").select("v", F.coalesce("b", F.lit(-1)).alias("b"))
 
 
-def matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+def matrix_market(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, dict]:
     """(edges, header) of a square coordinate file; a symmetric one gives both directions of what isn't a loop.
 
-    The header (the banner and the size line) is looked for among the file's first lines; the entries are read by the executors.
+    A line's place in the file is the start of its split and its place there, so the banner and the size line are least rows of one
+    aggregate, which also counts the entries; nothing is sorted.  strict: another number of entries than the size line's, an index
+    outside the matrix, or a weight that isn't a positive whole number is an error; else such a weight is 1 and the header says how
+    many entries were ``found``.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    banner = lines.orderBy("at").limit(1).first()["value"].lower().split()
+    line = F.trim(F.regexp_replace("value", r"\s+", " "))
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(line.alias("line"), place.alias("at"))
+    entry = (F.substring("line", 1, 1) != "%") & (F.col("line") != "")
+    first = lines.agg(F.min_by("line", "at").alias("banner"), F.min_by("line", F.when(entry, F.col("at"))).alias("size"), F.min(F.when(entry, F.col("at"))).alias("at"), F.count_if(entry).alias("n")).first()
+    banner = (first["banner"] or "").lower().split()
     if banner[:3] != ["%%matrixmarket", "matrix", "coordinate"]:
         raise ValueError("not a Matrix Market coordinate file")
-    body = lines.where("value not like '%\\%%' or substring(value, 1, 1) <> '%'").where("substring(value, 1, 1) <> '%' and trim(value) <> ''")
-    size = body.orderBy("at").limit(1).first()
-    rows, cols, entries = (int(x) for x in size["value"].split()[:3])
+    size = (first["size"] or "").split()
+    if len(size) != 3 or not all(x.isdigit() for x in size):
+        raise ValueError(f"not a size line: {first['size']}")
+    rows, cols, entries = map(int, size)
     if rows != cols:
         raise ValueError("the matrix isn't square")
-    f = body.where(F.col("at") != size["at"]).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("f"))
-    e = f.select((integer(F.col("f")[0]) - 1).alias("src"), (integer(F.col("f")[1]) - 1).alias("dst"), F.coalesce(number(F.get("f", F.lit(2))), F.lit(1.0)).alias("w"))
+    found = first["n"] - 1
+    if strict and found != entries:
+        raise ValueError(f"{entries} entries declared, {found} found")
+    head = F.struct(F.lit(first["at"]["split"]).alias("split"), F.lit(first["at"]["row"]).alias("row"))
+    f = lines.where(entry & (F.col("at") != head)).select("line", F.split("line", " ").alias("f"))
+    src, dst, w = integer(F.col("f")[0]), integer(F.get("f", F.lit(1))), integer(F.get("f", F.lit(2)))
+    inside = src.between(1, rows) & dst.between(1, rows)
+    given = F.size("f") > 2
+    if strict:
+        right = F.size("f").isin(2, 3) & inside & (~given | (w > 0))
+        f = f.select(F.when(right, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("not an entry: "), "line")).cast("array<string>")).alias("f"))
+    else:
+        f = f.where(inside)
+    e = f.select((src - 1).alias("src"), (dst - 1).alias("dst"), F.when(given & (w > 0), w).otherwise(F.lit(1)).cast("double").alias("w"))
     symmetric = "symmetric" in banner
     if symmetric:
         from ..operators.graph import undirect
 
         e = undirect(e)
-    return e, {"vertices": rows, "entries": entries, "undirected": symmetric}
+    return e, {"vertices": rows, "entries": entries, "found": found, "undirected": symmetric}
 
 
 def configurations(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

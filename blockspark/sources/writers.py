@@ -1,18 +1,11 @@
-"""Writers; Spark's commit protocol makes a table appear whole or not at all."""
+"""Writers of edges, partitions, results, profiles and measurements."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def general(w):
-    """A number as short as %g prints whole ones: no trailing ``.0``."""
-    return F.when(w == F.floor(w), w.cast("long").cast("string")).otherwise(w.cast("string"))
-
-
-def edges(df: DataFrame, path: str, base: int = 1) -> None:
-    df.select((F.col("src") + base).alias("src"), (F.col("dst") + base).alias("dst"), general(F.col("w")).alias("w")).write.csv(path, sep="\t")
+from .staged import append, edges
 
 
 def graph_with_truth(edge_df: DataFrame, assign: DataFrame, path: str, base: int = 1) -> None:
@@ -32,5 +25,6 @@ def profile(df: DataFrame, path: str) -> None:
     df.where("iteration > -1").unionByName(totals, allowMissingColumns=True).write.mode("append").csv(path, header=True)
 
 
-def measurements(df: DataFrame, path: str) -> None:
-    df.write.mode("append").csv(path, header=True)
+def measurements(df: DataFrame, path: str, writer: str) -> bool:
+    """Appends a writer's rows once, under one header; False if they are there already."""
+    return append(df, path, writer)
