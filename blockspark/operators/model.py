@@ -8,6 +8,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .impute import ModeImputer
 from .tuning import ranked, recommend_inputs, regression_metrics
 
 
@@ -16,11 +17,12 @@ def with_missing_flags(df: DataFrame, numeric: list[str]) -> DataFrame:
 
 
 def pipeline(numeric: list[str], categorical: list[str], label: str = "utility", trees: int = 600, depth: int = 6, rate: float = 0.04, subsample: float = 0.9, columns: str = "0.9", seed: int = 7) -> Pipeline:
-    """Median imputation with missing flags and scaling; one-hot of categories, unknown ones kept apart; boosted trees."""
+    """Median imputation with missing flags and scaling; most frequent category, one-hot, unknown ones kept apart; boosted trees."""
     stages: list = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__filled" for c in numeric]), VectorAssembler(inputCols=[f"{c}__filled" for c in numeric], outputCol="numbers"), StandardScaler(withMean=True, inputCol="numbers", outputCol="scaled")]
     parts = ["scaled", *[f"{c}__missing" for c in numeric]]
     if categorical:
-        stages += [StringIndexer(inputCols=categorical, outputCols=[f"{c}__index" for c in categorical], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}__index" for c in categorical], outputCols=[f"{c}__hot" for c in categorical])]
+        named = [f"{c}__named" for c in categorical]
+        stages += [ModeImputer(inputCols=categorical, outputCols=named), StringIndexer(inputCols=named, outputCols=[f"{c}__index" for c in categorical], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}__index" for c in categorical], outputCols=[f"{c}__hot" for c in categorical])]
         parts += [f"{c}__hot" for c in categorical]
     stages += [VectorAssembler(inputCols=parts, outputCol="features"), GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=columns, seed=seed)]
     return Pipeline(stages=stages)
