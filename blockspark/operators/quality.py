@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import lbinom, lgamma, log_q_approx
-from .blockmodel import block_matrix, edge_blocks
+from .blockmodel import block_matrix, edge_blocks, mdl, mdl_null
 from .graph import checkpoint, degrees, global_rank, with_totals
 from .matching import best_matching
 
@@ -117,6 +117,19 @@ def agreement(predicted: DataFrame, truth: DataFrame, vertices: int | Column | N
     return x.select(*[F.when(F.col("total").isNotNull(), c).alias(k) for k, c in ({"precision": F.col("precision"), "recall": F.col("recall")} | out).items()])
 
 
+def evaluation(edges: DataFrame, predicted: DataFrame, truth: DataFrame, parametric: bool = False) -> DataFrame:
+    """One row (f1, nmi, mdl, true_mdl, null_mdl, blocks, true_blocks): a partition against the known one, and the length of either.
+
+    true_mdl is the description length that the known partition gives, null_mdl that of one block.
+    """
+    sizes = lambda a, name: a.agg(F.count_distinct("b").alias(name))
+    length = lambda a, name: mdl(edges, a, parametric).select(F.col("mdl").alias(name))
+    x = agreement(predicted, truth).select("f1", "nmi")
+    for one in (length(predicted, "mdl"), length(truth, "true_mdl"), mdl_null(edges, truth, parametric).select(F.col("mdl").alias("null_mdl")), sizes(predicted, "blocks"), sizes(truth, "true_blocks")):
+        x = x.crossJoin(F.broadcast(one))  # one row each
+    return x
+
+
 #: Blocks on either side of a contingency table that the driver matches (a square of this many is 8 MB).
 MATCH_BLOCKS = 1024
 

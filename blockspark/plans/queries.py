@@ -1154,3 +1154,39 @@ def run_discovery(t):
     done = x.where("o_orderkey % 3 = 0").select(F.concat("folder", F.lit("/job.out")).alias("path"))
     limit = t.nation.where("n_nationkey % 2 <> 0").select(F.col("n_name").alias("graph"), F.col("n_nationkey").alias("most"))
     return runs.latest(runs.within(runs.runs(paths, done), limit))
+
+
+# --- evaluation and checks ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    sql(
+        "select round(2 * (tp / rp) * (tp / cp) / (tp / rp + tp / cp), 6) as f1, round(mi / sqrt(hp * hq), 6) as nmi, round(p.mdl, 4) as mdl, round(r.mdl, 4) as true_mdl, round(z.mdl, 4) as null_mdl, p.b::bigint as blocks, r.b::bigint as true_blocks from ag, ("
+        + sql("select mdl, b from mdl", "g_cs", "p_region", extra=_model("p_region") + ", " + _MDL)
+        + ") p, ("
+        + sql("select mdl, b from mdl", "g_cs", "p_nation", extra=_model("p_nation") + ", " + _MDL)
+        + ") r, ("
+        + sql("select mdl from mdl", "g_cs", "p_nation", extra=_ONE.replace("p_split", "p_nation"))
+        + ") z",
+        "p_nation",
+        "p_region",
+        extra=_AG.replace("p_mkt", "p_region"),
+    ),
+    6,
+)
+def evaluation_bundle(t):
+    """Regions as the partition found, nations as the known one."""
+    return q.evaluation(g.checkpoint(t.l_cs().groupBy("src", "dst").agg(F.sum("w").alias("w"))), t.p_region(), t.p_nation()).withColumns({c: F.round(c, 4) for c in ("mdl", "true_mdl", "null_mdl")})
+
+
+@query(
+    'with ch as (select l_orderkey, l_linenumber, unnest([{\'c\': \'large quantity\', \'x\': l_quantity > 49}, {\'c\': \'no discount and no tax\', \'x\': l_discount = 0 and l_tax = 0}, {\'c\': \'negative\', \'x\': l_quantity < 0}]) as u from lineitem), '
+    'br as (select u.c as "check", l_orderkey, l_linenumber, row_number() over (partition by u.c order by l_orderkey, l_linenumber) as k from ch where u.x), '
+    "nm as (select unnest(['large quantity', 'no discount and no tax', 'negative']) as \"check\") "
+    'select nm."check", count(br.k) as violations, coalesce(string_agg(l_orderkey || \'::\' || l_linenumber, \', \' order by l_orderkey, l_linenumber) filter (k <= 5), \'\') as examples from nm left join br on br."check" = nm."check" group by 1'
+)
+def violation_report(t):
+    from ..operators.validate import report
+
+    rules = {"large quantity": F.col("l_quantity") > 49, "no discount and no tax": (F.col("l_discount") == 0) & (F.col("l_tax") == 0), "negative": F.col("l_quantity") < 0}
+    return report(t.lineitem, ["l_orderkey", "l_linenumber"], rules)
