@@ -33,7 +33,8 @@ def _valid(df: DataFrame) -> DataFrame:
             digest, dims, vectors = [], [], []
             for label, v in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 x = None if v.as_py() is None or label is None or v.values.null_count else np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) + 0.0
-                ok = x is not None and len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any()) and np.isfinite(x @ x) and x @ x > 0
+                ok = x is not None and len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
+                x = _scaled(x) if ok else x
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if ok else None)
                 dims.append(len(x) if ok else None)
                 vectors.append(x if ok else None)
@@ -42,6 +43,12 @@ def _valid(df: DataFrame) -> DataFrame:
     return df.select("vec_id", "label", "embedding").mapInArrow(run, "vec_id long, label long, digest binary, dim int, vector array<double>")
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """x, times a power of two where its squared norm would over- or underflow; that changes no cosine."""
+    top = float(np.abs(x).max())
+    return x if 1e-100 < top < 1e100 else np.ldexp(x, -math.frexp(top)[1])
+
+
 def pivots(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Unit reference points by dimension: about 2 * sqrt(n) vectors, MAX_PIVOTS at most, those of least hash."""
     k = min(MAX_PIVOTS, 1 << max(5, math.ceil(math.log2(2 * math.sqrt(max(1, n))))))

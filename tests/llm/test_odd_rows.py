@@ -53,3 +53,11 @@ def test_vectors_of_one_id_and_double_precision(spark):
     rows = [(1, 1, a), (1, 1, b), (2, 1, a), (3, 1, b), (4, None, a), (5, 1, None), (6, 1, [0.0, 0.0, 0.0, 0.0]), (7, 2, a), (7, 2, a), (8, 1, [1.0, 0.0, 0.0, 2e-9])]
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(vectors(spark, rows)).collect())
     assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 1, 7), (7, 1, 7), (8, 2, 1)]
+
+
+def test_vectors_of_extreme_scale(spark):
+    big, small = [[1e200, 0.0], [1e200, 1e180], [3e300, 1e307]], [[1e-200, 0.0], [2e-200, 1e-220], [5e-324, 0.0], [1e-310, 1e-310]]
+    rows = [(k, 1, v) for k, v in enumerate([*big, *small, [1.0, 0.0], [float("inf"), 0.0]])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    # 0, 1, 3, 4, 5 and 7 point along the first axis; 2 along the second, 6 between them
+    assert got == {0: (5, 0), 1: (5, 0), 2: (0, 2), 3: (5, 0), 4: (5, 0), 5: (5, 0), 6: (0, 6), 7: (5, 0), 8: (0, 8)}
