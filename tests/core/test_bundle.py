@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blockspark.operators.impute import ModeImputer
 from blockspark.operators.model import with_missing_flags
-from blockspark.plans import autotune
+from blockspark.plans import tuner
 
 SCHEMA = "graph string, config int, size double, kind string, inverse_hnorm double, modularity double, conductance double, teps double"
 
@@ -28,7 +28,7 @@ def measured(spark):
 
 @pytest.fixture(scope="module")
 def trained(measured):
-    return autotune.train(measured, ["size", "config"], ["kind"], (0.0, 0.5, 1.0), random_repeats=3, trees=8, depth=3, rate=0.3)
+    return tuner.train(measured, ["size", "config"], ["kind"], (0.0, 0.5, 1.0), random_repeats=3, trees=8, depth=3, rate=0.3)
 
 
 def test_a_bundle_makes_the_round_trip(spark, measured, trained, tmp_path):
@@ -37,20 +37,20 @@ def test_a_bundle_makes_the_round_trip(spark, measured, trained, tmp_path):
     counts = {r["part"]: r["count"] for r in bundle.split.groupBy("part").count().collect()}
     assert counts == {"train": 8, "validation": 1, "test": 5}
     path = str(tmp_path / "bundle")
-    autotune.save(bundle, path)
-    again = autotune.load(spark, path)
+    tuner.save(bundle, path)
+    again = tuner.load(spark, path)
     assert again.manifest == bundle.manifest and isinstance(again.model, PipelineModel)
     assert sorted(map(tuple, again.priors.collect())) == sorted(map(tuple, bundle.priors.collect()))
     graphs = spark.createDataFrame([("new1", 3.0), ("new2", None)], "graph string, size double")
     conf = spark.createDataFrame([(c, [None, "fast", "slow", "unseen"][c % 4]) for c in range(5)], "config int, kind string")
-    one, two = (sorted(map(tuple, autotune.recommend(b, graphs, conf).collect())) for b in (bundle, again))
+    one, two = (sorted(map(tuple, tuner.recommend(b, graphs, conf).collect())) for b in (bundle, again))
     assert one == two and len(one) == 2 * 5 * 3
     best = {(g, a): c for g, a, c, _, rank in one if rank == 1}
     assert best["new1", 1.0] == 4 and best["new1", 0.0] == 0  # quality rises and speed falls with the configuration
 
-    table, chosen, regression = autotune.evaluate(again, measured)
+    table, chosen, regression = tuner.evaluate(again, measured)
     rows = table.collect()
-    assert {(r["method"], r["alpha"]) for r in rows} == {(m, a) for m in autotune.METHODS for a in (0.0, 0.5, 1.0)}
+    assert {(r["method"], r["alpha"]) for r in rows} == {(m, a) for m in tuner.METHODS for a in (0.0, 0.5, 1.0)}
     exact = {(r["method"], r["alpha"]): r for r in rows}
     assert exact["model", 1.0]["top_1"] == 1.0 and exact["accuracy prior", 1.0]["top_1"] == 1.0 and exact["performance prior", 0.0]["top_1"] == 1.0
     assert exact["performance prior", 1.0]["top_1"] == 0.0 and exact["model", 1.0]["pairs"] == 5
@@ -60,7 +60,7 @@ def test_a_bundle_makes_the_round_trip(spark, measured, trained, tmp_path):
 def test_what_does_not_fit_is_an_error(spark, measured, trained, tmp_path):
     bundle = trained[0]
     path = tmp_path / "bundle"
-    autotune.save(bundle, str(path))
+    tuner.save(bundle, str(path))
 
     def rewrite(**change):
         manifest = {k: v for k, v in (bundle.manifest | change).items() if v is not None}
@@ -69,19 +69,19 @@ def test_what_does_not_fit_is_an_error(spark, measured, trained, tmp_path):
     for change, match in (({"numeric": ["size"]}, "manifest"), ({"version": 2}, "version 2"), ({"alphas": None}, "lacks")):
         rewrite(**change)
         with pytest.raises(ValueError, match=match):
-            autotune.load(spark, str(path))
+            tuner.load(spark, str(path))
     with pytest.raises(ValueError, match="missing model inputs"):
-        autotune.evaluate(bundle, measured.drop("size"))
+        tuner.evaluate(bundle, measured.drop("size"))
     with pytest.raises(ValueError, match="not numbers"):
-        autotune.evaluate(bundle, measured.withColumn("size", F.lit("large")))
+        tuner.evaluate(bundle, measured.withColumn("size", F.lit("large")))
     with pytest.raises(ValueError, match="no graph"):
-        autotune.evaluate(bundle, measured.withColumn("graph", F.concat(F.lit("other"), "graph")))
+        tuner.evaluate(bundle, measured.withColumn("graph", F.concat(F.lit("other"), "graph")))
     with pytest.raises(ValueError, match="10 graphs"):
-        autotune.train(measured.where("graph < 'g09'"), ["size"])
+        tuner.train(measured.where("graph < 'g09'"), ["size"])
     with pytest.raises(ValueError, match="add up"):
-        autotune.train(measured, ["size"], shares=(0.5, 0.1, 0.1))
+        tuner.train(measured, ["size"], shares=(0.5, 0.1, 0.1))
     with pytest.raises(Exception, match="no prior rank"):
-        autotune._by_prior(measured.withColumn("alpha", F.lit(0.5)).withColumn("config", F.col("config") + 50), bundle.priors, "accuracy").collect()
+        tuner._by_prior(measured.withColumn("alpha", F.lit(0.5)).withColumn("config", F.col("config") + 50), bundle.priors, "accuracy").collect()
 
 
 def test_the_most_frequent_value_is_filled_in(spark, tmp_path):
