@@ -63,10 +63,20 @@ def draw(weights: DataFrame, draws: DataFrame) -> DataFrame:
     vertex that begins before it, in its own range or else in one before.  So no group, however large, meets its draws in one task.
     Draws of a group without weight get a null v; vertices without weight are never drawn.
     """
+    return draw_from(stretches(weights), draws)
+
+
+def stretches(weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The line of weights(group, v, weight), for any number of draws: vertices with their place, groups with their ends."""
     w = range_parts(weights.where("weight > 0").select("group", "v", "weight"), [F.asc("group"), F.asc("v")], F.col("weight"))
     run = Window.partitionBy("_part").orderBy("group", "v").rowsBetween(Window.unboundedPreceding, -1)
     w = checkpoint(w.select("group", "v", "weight", (F.col("_before") + F.coalesce(F.sum("weight").over(run), F.lit(0.0))).alias("pos")))
-    groups = w.groupBy("group").agg(F.min("pos").alias("__from"), F.sum("weight").alias("__all"), F.max("pos").alias("__last"))
+    return w, w.groupBy("group").agg(F.min("pos").alias("__from"), F.sum("weight").alias("__all"), F.max("pos").alias("__last"))
+
+
+def draw_from(prepared: tuple[DataFrame, DataFrame], draws: DataFrame) -> DataFrame:
+    """What ``draw`` gives, from weights laid out by ``stretches``."""
+    w, groups = prepared
     d = checkpoint(draws.withColumn("__id", F.monotonically_increasing_id()))
     # a sum's last digit can lead over the end: the group's last vertex is the last point
     x = d.join(groups, "group").select(F.least(F.col("__from") + F.col("u") * F.col("__all"), F.col("__last")).alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("v"), "__id")

@@ -896,16 +896,18 @@ def sbp_merge_phase(t):
 
 @query(None)
 def planted_graph(t):
-    from ..operators.synth import community_sizes, planted
+    """Segments of customers are the communities, and there is an edge an order."""
+    from ..operators.synth import planted
 
-    return planted(t.spark, community_sizes(400, 4), 4000, 0.05, seed=1)[0]
+    segments = t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("n")).orderBy("c_mktsegment").collect()  # five rows
+    return planted(t.spark, [max(2, r["n"]) for r in segments], t.orders.count(), 0.05, seed=1)[0]
 
 
-@query("select v as vertices, e as edges, k as communities, r as replica from (values (1000::bigint, 5000::bigint), (5000, 10000), (10000, 50000)) s(v, e), (values (4), (8), (16), (32)) c(k), range(500) t(r)")
+@query("select v as vertices, e as edges, k as communities, r as replica from (select count(distinct c_custkey) as v, count(o_orderkey) as e from customer left join orders on o_custkey = c_custkey group by c_nationkey) s, (values (4), (8), (16), (32)) c(k), range(500) t(r)")
 def corpus_plan(t):
-    from ..operators.synth import corpus_plan as plan
-
-    return plan(t.spark, [(1000, 5000), (5000, 10000), (10000, 50000)], [4, 8, 16, 32], 500)
+    """A stratum for each nation: its customers are the vertices, its orders the edges."""
+    x = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("vertices"), F.count("o_orderkey").alias("edges"))
+    return x.select("vertices", "edges", F.explode(F.array(*map(F.lit, (4, 8, 16, 32)))).alias("communities")).withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(499))))
 
 
 @query(None)
@@ -1135,6 +1137,61 @@ def graph_metrics_by_nation(t):
     return graph_metrics(edges, vertices)
 
 
+# --- a corpus in one job -------------------------------------------------------------------------------------------------------------
+
+
+def _corpus_graphs(t):
+    """A graph a nation: its customers in tens are the nodes, with twice as many edges and up to five communities."""
+    n = F.ceil(F.col("n") / 10) * 10
+    x = t.customer.groupBy(F.col("c_nationkey").cast("long").alias("graph")).agg(F.count("*").alias("n"))
+    return x.select("graph", n.alias("nodes"), (2 * n).alias("edges"), F.least(F.lit(5).cast("long"), F.floor(n / 4)).alias("communities"))
+
+
+def _corpus_sql() -> str:
+    from ..operators.corpus import RANGES
+    from ..operators.generate import MODES, PAIRS
+
+    stratum = "nodes, edges, communities"
+    us = ", ".join(f"{_u_sql(f"'q|{c}|' || graph")} as u_{c}, {_u_sql(f"'q|{c}|in|' || graph")} as i_{c}" for c in RANGES)
+    slices = ", ".join(f"{low}::double + {high - low!r}::double * (row_number() over (partition by {stratum} order by u_{c}, graph) - 1 + i_{c}) / count(*) over (partition by {stratum}) as {c}" for c, (low, high) in RANGES.items())
+
+    def category(name: str, options: tuple[str, ...]) -> str:
+        m = len(options)
+        u = lambda j: _u_sql(f"'q|{name}|' || nodes || '|' || edges || '|' || communities || '|' || (place // {m}) || '|' || {j}")
+        own = f"(place % {m})"
+        before = " + ".join(f"(case when {u(j)} < {u(own)} or ({u(j)} = {u(own)} and {j} < {own}) then 1 else 0 end)" for j in range(m))
+        return f"[{', '.join(map(repr, options))}][1 + {before}] as {name}"
+
+    return (
+        f"gr as (select c_nationkey::bigint as graph, (ceil(count(*) / 10.0) * 10)::bigint as nodes from customer group by 1), "
+        f"gs as (select graph, nodes, 2 * nodes as edges, least(5, nodes // 4)::bigint as communities from gr), "
+        f"gu as (select *, row_number() over (partition by {stratum} order by graph) - 1 as place, {us} from gs), "
+        f"pn as (select graph, {stratum}, {slices}, {category('mode', MODES)}, {category('pairs', PAIRS)} from gu)"
+    )
+
+
+@query("with " + _corpus_sql() + " select graph, nodes, edges, communities, round(mu, 9) as mu, round(imbalance, 9) as imbalance, round(clustering, 9) as clustering, mode, pairs from pn", 9)
+def planned_graphs(t):
+    from ..operators.corpus import planned
+
+    return planned(_corpus_graphs(t), "q")
+
+
+@query("with " + _corpus_sql() + " select graph, nodes, communities, edges, (floor(edges * mu + 0.5))::bigint as cross_edges, edges as closed_edges, 0::bigint as loops from pn")
+def candidate_graphs(t):
+    """All nations' graphs made together: as many different edges, and as many of them between communities, as the settings ask for."""
+    from ..operators import corpus
+
+    plan = g.checkpoint(corpus.planned(_corpus_graphs(t), "q"))
+    v = g.checkpoint(corpus.vertices(plan, "q"))
+    e = corpus.edges(v, plan, "q")
+    at = lambda c: v.select("graph", F.col("v").alias(c), F.col("b").alias(f"b_{c}"))
+    x = e.join(at("src"), ["graph", "src"]).join(at("dst"), ["graph", "dst"]).distinct().groupBy("graph").agg(F.count("*").alias("edges"), F.count_if(F.col("b_src") != F.col("b_dst")).alias("cross_edges"))
+    c = corpus.closed(e, v, plan, "q").distinct().groupBy("graph").agg(F.count("*").alias("closed_edges"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
+    n = v.groupBy("graph", "b").agg(F.count("*").alias("size")).groupBy("graph").agg(F.sum("size").alias("nodes"), F.count("*").alias("communities"))
+    return n.join(x, "graph").join(c, "graph").select("graph", "nodes", "communities", "edges", "cross_edges", "closed_edges", "loops")
+
+
 # --- runs ---------------------------------------------------------------------------------------------------------------------------
 
 

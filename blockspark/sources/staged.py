@@ -58,8 +58,8 @@ def _place(path: str) -> tuple[str, str]:
     return folder or ".", name
 
 
-def whole(df: DataFrame, path: str, **csv) -> None:
-    """df as CSV at ``path``, which must not exist: all of it or nothing."""
+def whole(df: DataFrame, path: str, by: list[str] | None = None, form: str = "csv", **options) -> None:
+    """df as CSV (or another form) at ``path``, which must not exist: all of it or nothing; ``by`` columns name folders."""
     spark = df.sparkSession
     folder, name = _place(path)
     fs, p = _fs(spark, path)
@@ -67,7 +67,7 @@ def whole(df: DataFrame, path: str, **csv) -> None:
         raise FileExistsError(path)
     _clear(spark, folder, f"_{name}.")
     temporary = f"{folder}/_{name}.{uuid.uuid4().hex}"
-    df.write.csv(temporary, **csv)
+    df.write.partitionBy(*by or []).format(form).options(**options).save(temporary)
     if not _renamed(spark, temporary, path):
         raise FileExistsError(path)
 
