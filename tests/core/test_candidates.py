@@ -63,3 +63,20 @@ def test_quantiles_between_ranks(spark):
         own = [x for g, _, x in rows if g == r["graph"]]
         assert np.allclose([r["lo"], r["mid"], r["hi"]], np.quantile(own, [0.1, 0.5, 1.0]))
     assert len(got) == 4
+
+
+def test_lists_go_to_blocks_not_along_edges(spark, monkeypatch):
+    """Many blocks, small steps, ids far apart and a hub: every triangle once, and lists aren't joined with each edge."""
+    rng = np.random.default_rng(3)
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, (400, 2)).tolist() if a != b} | {(k, 60) for k in range(60)}
+    pairs = sorted((a * 10**12 - 7, b * 10**12 - 7) for a, b in pairs)
+    near = {frozenset(p) for p in pairs}
+    names = sorted({x for p in pairs for x in p})
+    want = sorted(t for t in combinations(names, 3) if all(frozenset(p) in near for p in combinations(t, 2)))
+    frame = graph.checkpoint(spark.createDataFrame(pairs, "u long, v long"))
+    monkeypatch.setattr(graph, "BLOCK_ENDS", 100)
+    monkeypatch.setattr(graph, "WEDGES", 7)
+    closed = graph.closed_pairs(frame, 0)
+    assert graph.pair_blocks(frame, len(pairs), 0) > 5
+    assert sorted(tuple(sorted((r["a"], r["b"], c))) for r in closed.collect() for c in r["third"]) == want
+    assert "Join" not in closed._jdf.queryExecution().executedPlan().toString()
