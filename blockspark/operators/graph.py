@@ -105,13 +105,45 @@ def induced(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "w")
 
 
+#: Links that a task joins at a time.
+FOREST_LINKS = 1 << 20
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): of some links (u, v) at a time, each end but the least of what they join, with that least one."""
+    held, n = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            n += batch.num_rows
+        if not n or (batch is not None and n < FOREST_LINKS):
+            continue
+        names, at = np.unique(np.concatenate([b.column(c).to_numpy() for c in range(2) for b in held]), return_inverse=True)
+        x, y, root = at[:n], at[n:], np.arange(len(names))
+        while True:
+            p, q = root[x], root[y]
+            apart = p != q
+            if not apart.any():
+                break
+            x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+            np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+            while not np.array_equal(far := root[root], root):
+                root = far
+        own = root != np.arange(len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], names=["u", "v"])
+        held, n = [], 0
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, component): the least vertex of each weakly connected component.
 
-    Large-star and small-star rounds, O(log^2) of them; each shuffles the links once a step and none is collected.
+    Large-star and small-star rounds, O(log^2) of them; each shuffles the links once a step and none is collected.  Before any round
+    the links, by range of their lower end, are joined in their tasks, FOREST_LINKS at a time, so no more than their ends are left.
     """
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e, seen = checkpoint(e), None
+    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    if dict(e.dtypes) == {"u": "bigint", "v": "bigint"}:
+        e = e.repartitionByRange("v").mapInArrow(_joined, "u long, v long")
+    e, seen = checkpoint(e.distinct()), None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
@@ -275,8 +307,8 @@ def range_parts(df: DataFrame, order: list[Column], amount: Column, buckets: int
     A range partitioning sorts the rows into consecutive partitions; each sums its rows, and a running sum over the partitions (one row
     each) gives every partition its start.
     """
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = checkpoint(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    ranges = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)  # few rows: few partitions
+    part = checkpoint(ranges.withColumn("_part", F.spark_partition_id()))
     sums = part.groupBy("_part").agg(F.sum(amount).alias("_n"))
     before = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return part.join(F.broadcast(before), "_part")  # a row a partition
