@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockspark.operators import candidates, graph, profile
+from blockspark.operators import adjacency, candidates, graph, profile
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,32 @@ def test_lists_go_to_blocks_not_along_edges(spark, monkeypatch):
     assert graph.pair_blocks(frame, len(pairs), 0) > 5
     assert sorted(tuple(sorted((r["a"], r["b"], c))) for r in closed.collect() for c in r["third"]) == want
     assert "Join" not in closed._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ends", [40, 1 << 22])
+def test_graphs_of_groups_equal_graphs_of_edges(spark, monkeypatch, ends):
+    """Repeated members, groups of one, vertices without a label or an edge, a graph without edges, components over many blocks."""
+    monkeypatch.setattr(adjacency, "BLOCK_ENDS", ends)
+    rng = np.random.default_rng(11)
+    span, label = 90, lambda v: None if v % 17 == 0 else v % 4
+    items = [(g, g * 100 + o, int(v)) for g in range(3) for o in range(30) for v in rng.integers(g, 30 * g + 20, rng.integers(1, 5))]
+    items += items[:9] + [(7, 700 + o, o) for o in range(5)] + [(8, 800 + o, v) for o in range(60) for v in (o, o + 1)]
+    vertices = sorted({(g, v) for g, _, v in items})
+    edges = [(g, a, b) for g, o, a in items for h, q, b in items if o == q and a < b]
+    want = candidates.graph_metrics(spark.createDataFrame(edges, "graph long, src long, dst long"), spark.createDataFrame([(*x, label(x[1])) for x in vertices], "graph long, v long, b long"))
+    frame = spark.createDataFrame([(o, g * span + v, label(v)) for g, o, v in items], "o long, id long, b long")
+    got = candidates.group_metrics(frame, len(items), span)
+    assert got.columns == want.columns
+    rows = [{r["graph"]: r.asDict() for r in x.collect()} for x in (got, want)]
+    assert rows[0].keys() == rows[1].keys() == {0, 1, 2, 7, 8}
+    for k, r in rows[1].items():
+        assert rows[0][k] == pytest.approx(r, abs=1e-12), k
+
+
+def test_nations_make_no_table_of_edges(spark, monkeypatch):
+    from blockspark.plans.queries import QUERIES
+
+    rows, cut = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: rows.append(set(df.columns)) or cut(df))
+    assert QUERIES["graph_metrics_by_nation"](spark, "/root/testdata/sf0.001").count() == 25
+    assert not [c for c in rows if {"u", "v"} <= c - {"n"} and "cross" in c] and not [c for c in rows if {"graph", "o", "v"} <= c]
